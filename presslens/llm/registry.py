@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presslens.llm import mixing, quality_rules, sharding
+from presslens.llm import bpe, line_dedup, mixing, quality_rules, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_bpe": bpe.op5_bpe,
     "op6_mixing": mixing.op6_mixing,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
