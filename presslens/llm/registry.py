@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presslens.llm import bpe, line_dedup, mixing, quality_rules, sharding, simhash
+from presslens.llm import ann, bpe, chat, line_dedup, mixing, pii, quality_rules, quality_vote, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_ann": ann.op3_ann,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op6_mixing": mixing.op6_mixing,
+    "op7_chat": chat.op7_chat,
+    "op8_quality_vote": quality_vote.op8_quality_vote,
+    "op9_pii": pii.op9_pii,
     "op10_simhash": simhash.op10_simhash,
 }
 
