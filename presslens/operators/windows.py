@@ -80,7 +80,8 @@ def rolling_beta(df: DataFrame, keys: Sequence[str], x: str, y: str, rows: int,
 def rolling_stability(betas: DataFrame, keys: Sequence[str], beta: str = "beta") -> DataFrame:
     """Share of windows whose slope has the sign of their mean."""
     whole = betas.groupBy(*keys).agg(F.signum(F.avg(beta)).alias("s"), F.collect_list(F.signum(beta)).alias("signs"))
-    return whole.select(*keys, (F.size(F.filter("signs", lambda x: x == F.col("s"))) / F.size("signs")).alias("sign_stability"))
+    share = F.try_divide(F.size(F.filter("signs", lambda x: x == F.col("s"))), F.size("signs"))  # null without any slope
+    return whole.select(*keys, share.alias("sign_stability"))
 
 
 def exp_smooth(df: DataFrame, keys: Sequence[str], value: str, a: float, day: str = "date") -> DataFrame:
