@@ -8,9 +8,11 @@ and visits are widened until ``RECALL`` of those neighbours lie in visited leave
 
 Rows with the very same vector have the same cosine to everything, so of each distinct vector only
 the k + 1 smallest ids can ever be among somebody's k nearest; the others are left out before
-anything is shuffled (an exact reduction, also where one vector holds a third of all rows). A leaf
-with many rows is split into blocks and one with many queries into groups; a task meets one block
-with one group, so neither ever meets whole.
+anything is shuffled (an exact reduction, also where one vector holds a third of all rows). Neighbouring
+leaves share a shelf of about ``BLOCK`` rows, so a query travels once per shelf and not once per
+leaf; in there only the leaves that it visits are multiplied. A shelf that is one large leaf is split
+into blocks and one that many queries visit into groups; a task meets one block with one group, so
+neither ever meets whole, and gives out no more than k rows per query.
 
 Vectors that are null, zero, of another length than most, or hold a null or non-finite component take
 no part, nor do rows without id. Repeated rows count once. Rows that share an id are candidates
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from presslens.llm.common import materialize, table
 
-K, SAMPLE, BRANCH, LEAF, RECALL, CALIBRATION = 5, 20_000, 12, 64, 0.96, 256
+K, SAMPLE, BRANCH, LEAF, RECALL, CALIBRATION = 5, 20_000, 32, 64, 0.95, 256
 BLOCK, GROUP = 4096, 4096
 #: Cosines from a matrix product may be off by this much; what comes this close to the k-th is computed again.
 SLACK = 1e-9
@@ -116,23 +118,42 @@ def usable(vector: Column, dim: int) -> Column:
     return vector.isNotNull() & (F.size(vector) == dim) & fine & F.exists(vector, lambda x: x != 0)
 
 
-def nearest_in_block(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, row id, cosine) of each query's k nearest of a block and all that tie with the last or nearly so."""
+def nearest_in_block(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int, leaf: np.ndarray | None = None, visits: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, row id, cosine) of each query's k nearest of a block; with ``visits``, among rows whose ``leaf`` it visits."""
+    if leaf is not None:
+        order = np.argsort(leaf, kind="stable")
+        v_ids, v, leaf = v_ids[order], v[order], leaf[order]
+        present, first = np.unique(leaf, return_index=True)
+        ends = np.append(first[1:], len(leaf))
     qu, vu, out = unit(q), unit(v), []
     q_len, v_len = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
-    for at in range(0, len(q), 256):
-        s = qu[at : at + 256] @ vu.T
-        s[q_ids[at : at + 256, None] == v_ids[None, :]] = -np.inf
+    for at in range(0, len(q), 128):
+        n = min(128, len(q) - at)
+        if leaf is None:
+            s = qu[at : at + n] @ vu.T
+        else:
+            s = np.full((n, len(v)), -np.inf)
+            seen = np.zeros((n, len(present)), bool)
+            for i in range(n):
+                seen[i, np.isin(present, visits[at + i])] = True
+            for j, (lo, hi) in enumerate(zip(first, ends, strict=True)):
+                rows = np.flatnonzero(seen[:, j])
+                s[rows, lo:hi] = qu[at + rows] @ vu[lo:hi].T
+        s[q_ids[at : at + n, None] == v_ids[None, :]] = -np.inf
         last = np.partition(s, len(v) - min(k, len(v)), axis=1)[:, len(v) - min(k, len(v))]
         i, j = np.nonzero((s >= last[:, None] - SLACK) & (s > -np.inf))
-        i += at
-        out.append((q_ids[i], v_ids[j], (q[i] * v[j]).sum(axis=1) / (q_len[i] * v_len[j])))
+        exact = np.concatenate([np.empty(0), *((q[at + i[x : x + 8192]] * v[j[x : x + 8192]]).sum(axis=1) / (q_len[at + i[x : x + 8192]] * v_len[j[x : x + 8192]]) for x in range(0, len(i), 8192))])
+        order = np.lexsort((v_ids[j], -exact, i))  # by query, best first, ties to the smaller id
+        i, j, exact = i[order], j[order], exact[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = rank < k
+        out.append((q_ids[at + i[keep]], v_ids[j[keep]], exact[keep]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (q_ids[:0], v_ids[:0], np.empty(0))
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = K, recall: float = RECALL) -> DataFrame:
@@ -143,9 +164,9 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if common is None:
         return empty
-    good = materialize(plain.filter(usable(F.col("v"), common["d"])), "vectors")
+    good = materialize(plain.filter(usable(F.col("v"), common["d"])).groupBy("vec_id").agg(F.min("v").alias("v"), F.bool_or("asks").alias("asks")), "vectors")
     same = Window.partitionBy("v").orderBy("vec_id")
-    distinct = good.select("vec_id", "v").withColumn("n", F.dense_rank().over(same)).filter(F.col("n") <= k + 1).drop("n")
+    distinct = good.select("vec_id", "v").withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).drop("n")
 
     sample = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
     if not sample.num_rows:
@@ -178,27 +199,48 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     needed = sorted(visit_of[r["query_id"]][r["leaf"]] + 1 for r in truth)
     visits = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else n_leaves
 
+    # neighbouring leaves go on one shelf until it holds BLOCK rows; all that is collected has a row per leaf or shelf
+    sizes = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    shelf_of, rows_on = np.zeros(n_leaves, np.int32), [0]
+    for leaf in range(n_leaves):
+        if rows_on[-1] and rows_on[-1] + sizes.get(leaf, 0) > BLOCK:
+            rows_on.append(0)
+        shelf_of[leaf] = len(rows_on) - 1
+        rows_on[-1] += sizes.get(leaf, 0)
+    shelves = spark.sparkContext.broadcast(shelf_of)
+
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaves = [tree.value.leaves(q, visits) for q in unit(matrix(b.column(1)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "q", "leaves"])
-
-    asks = materialize(queries.mapInArrow(visited, "query_id long, q array<double>, leaves array<int>"), "visits")
-    sizes = index.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    loads = asks.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
-    grid = F.broadcast(materialize(sizes.join(loads, "leaf").coalesce(1), "grid"))  # a row per leaf
+            at, shelf, leaves = [], [], []
+            for i, q in enumerate(unit(matrix(b.column(1)))):
+                seen = np.sort(np.array(tree.value.leaves(q, visits), np.int32))
+                there = shelves.value[seen]
+                for own in np.split(np.arange(len(seen)), np.flatnonzero(np.diff(there)) + 1):
+                    at.append(i)
+                    shelf.append(there[own[0]])
+                    leaves.append(seen[own])
+            part = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shelf, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "q", "shelf", "leaves"])
+
+    asks = materialize(queries.mapInArrow(visited, "query_id long, q array<double>, shelf int, leaves array<int>"), "visits")
+    loads = {r["shelf"]: r["n"] for r in asks.groupBy("shelf").agg(F.count("*").alias("n")).collect()}
+    grid = F.broadcast(spark.createDataFrame([(i, max(1, -(-n // BLOCK)), max(1, -(-loads.get(i, 0) // GROUP))) for i, n in enumerate(rows_on)], "shelf int, blocks int, groups int"))
+    place = F.broadcast(spark.createDataFrame([(leaf, int(x)) for leaf, x in enumerate(shelf_of)], "leaf int, shelf int"))
 
     def spread(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    part = index.join(grid, "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), spread("groups").alias("grp"), "vec_id", "v")
-    ask = asks.select("query_id", "q", F.explode("leaves").alias("leaf")).join(grid, "leaf").select("leaf", spread("blocks").alias("block"), F.pmod(F.xxhash64("query_id"), "groups").cast("int").alias("grp"), "query_id", "q")
+    part = index.join(place, "leaf").join(grid, "shelf").select("shelf", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), spread("groups").alias("grp"), "leaf", "vec_id", "v")
+    ask = asks.join(grid, "shelf").select("shelf", spread("blocks").alias("block"), F.pmod(F.xxhash64("query_id"), "groups").cast("int").alias("grp"), "query_id", "q", "leaves")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, v, s = nearest_in_block(right["query_id"].to_numpy(), matrix(right["q"]), left["vec_id"].to_numpy(), matrix(left["v"]), k) if left.num_rows and right.num_rows else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        if left.num_rows and right.num_rows:
+            q, v, s = nearest_in_block(right["query_id"].to_numpy(), matrix(right["q"]), left["vec_id"].to_numpy(), matrix(left["v"]), k, left["leaf"].to_numpy(), right["leaves"].to_pylist())
+        else:
+            q, v, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         return pa.table({"query_id": q, "vec_id": v, "score": s})
 
-    by = ["leaf", "block", "grp"]
+    by = ["shelf", "block", "grp"]
     found = part.groupBy(*by).cogroup(ask.groupBy(*by)).applyInArrow(meet, "query_id long, vec_id long, score double")
     return top(found, k).select("query_id", "rank", "vec_id", "score")
 

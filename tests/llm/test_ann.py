@@ -38,7 +38,7 @@ def test_finds_neighbours_with_calibrated_recall(spark):
 
 def test_unusable_vectors_ties_and_copies(spark):
     one = [1.0] + [0.0] * 7
-    rows = [(0, one), (20, one), (20, one), *[(i, one) for i in range(1, 12)], (30, [2.0] + [0.0] * 7), (40, None), (41, [0.0] * 8), (42, [float("nan")] * 8), (43, [None] * 8), (44, [1.0, 2.0]), (None, one), (45, [float("inf")] * 8), (60, [0.0, 1.0] + [0.0] * 6)]
+    rows = [(0, one), (20, one), (20, one), *[(7, one)] * 9, *[(i, one) for i in range(1, 12)], (30, [2.0] + [0.0] * 7), (40, None), (41, [0.0] * 8), (42, [float("nan")] * 8), (43, [None] * 8), (44, [1.0, 2.0]), (None, one), (45, [float("inf")] * 8), (60, [0.0, 1.0] + [0.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
     for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
