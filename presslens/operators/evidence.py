@@ -18,7 +18,7 @@ def any_of(terms: Sequence[str], whole_words: bool = False) -> str:
 
 
 def sentences(df: DataFrame, text: str = "text", out: str = "sentence") -> DataFrame:
-    return df.withColumn(out, F.explode(F.filter(F.transform(F.split(text, r"[.!?\n]+"), F.trim), lambda x: x != "")))
+    return df.withColumn(out, F.explode(F.filter(F.transform(F.split(text, r"[.!?\n]+"), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def stance(sentence: Column, hawkish: Sequence[str] = HAWKISH, dovish: Sequence[str] = DOVISH, flips: Sequence[str] = FLIPS) -> Column:
@@ -44,24 +44,28 @@ def copy_groups(articles: DataFrame, key: str = "article_id") -> DataFrame:
     return hashed.join(groups, "content_hash")
 
 
-def near_copies(articles: DataFrame, threshold: float = 0.8, key: str = "article_id", hashes: int = 12) -> DataFrame:
+def near_copies(articles: DataFrame, threshold: float = 0.8, key: str = "article_id", bands: int = 10, rows: int = 4) -> DataFrame:
     """(key, group_id): near copies by MinHash over five-word shingles, verified by their Jaccard similarity.
 
-    Candidates are exact copies' representatives only, so a syndicated text counts once.
+    Exact copies count once. Under a band's key every text is compared with the smallest id there, so a
+    key's texts make as many pairs as there are texts, and bands together link what is alike.
     """
-    from pyspark.ml.feature import HashingTF, MinHashLSH
+    from presslens.operators.graph import min_labels, written
 
-    from presslens.operators.graph import min_labels
-
-    groups = copy_groups(articles, key)
+    groups = written(copy_groups(articles, key), "copies")
     firsts = articles.join(groups.filter(F.col(key) == F.col("first_id")).select(key), key, "left_semi")
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")
-    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))
-    shingled = firsts.select(key, words.alias("w")).select(key, F.array_distinct(shingles).alias("s"))
-    vectors = HashingTF(inputCol="s", outputCol="v", numFeatures=1 << 20, binary=True).transform(shingled)
-    model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=hashes, seed=11).fit(vectors)
-    pairs = model.approxSimilarityJoin(vectors, vectors, 1 - threshold, "distance").select(F.col(f"datasetA.{key}").alias("a"), F.col(f"datasetB.{key}").alias("b")).filter("a < b")
-    labels = min_labels(pairs)
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))
+    shingled = written(firsts.select(key, words.alias("w")).select(key, F.array_distinct(hashes).alias("s")), "shingles")
+    smallest = lambda n: F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(n))))
+    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[smallest(b * rows + k) for k in range(rows)]).alias("bits")) for b in range(bands)])
+    banded = written(shingled.select(key, F.explode(keys).alias("k")).select(key, "k.*"), "bands")
+    first = banded.groupBy("band", "bits").agg(F.min(key).alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    pairs = banded.join(first, ["band", "bits"]).filter(F.col(key) != F.col("a")).select("a", F.col(key).alias("b")).distinct()
+    left, right = shingled.select(F.col(key).alias("a"), F.col("s").alias("sa")), shingled.select(F.col(key).alias("b"), F.col("s").alias("sb"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = pairs.join(left, "a").join(right, "b").filter(shared >= threshold * (F.size("sa") + F.size("sb") - shared))
+    labels = min_labels(alike.select("a", "b"))
     return groups.join(labels, F.col("first_id") == F.col("node"), "left").select(key, F.coalesce("label", "first_id").alias("group_id"))
 
 

@@ -96,7 +96,7 @@ def split_quarantine(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame
 
 def explode_multi(df: DataFrame, column: str, out: str, separator: str = ";") -> DataFrame:
     """A row per distinct non-empty value of a separated list."""
-    values = F.array_distinct(F.filter(F.transform(F.split(column, separator), F.trim), lambda x: x != ""))
+    values = F.array_distinct(F.filter(F.transform(F.split(column, separator), lambda x: F.trim(x)), lambda x: x != ""))
     return df.withColumn(out, F.explode(values))
 
 

@@ -286,6 +286,16 @@ def j10(s, d):
     return ev.join(F.broadcast(groups), "theme", "left").groupBy("g").agg(F.count("*").alias("n"))
 
 
+@query("j11_evidence_for", f"""with {EV}, cell as (select event_date, actor1_entity_id, relation_id, sum(w) as cell_weight from ev group by 1, 2, 3 having sum(w) > 40)
+ select e.event_date, e.actor1_entity_id, e.relation_id, e.source_event_id, e.source_url, round(e.w / cell_weight, 4) as contribution from ev e join cell using (event_date, actor1_entity_id, relation_id)""")
+def j11(s, d):
+    ev = events(s, d).withColumn("w", weights.event_weight())
+    cell = ["event_date", "actor1_entity_id", "relation_id"]
+    heavy = ev.groupBy(*cell).agg(F.sum("w").alias("cell_weight")).filter("cell_weight > 40")
+    met = ev.join(heavy, cell)
+    return met.select(*cell, "source_event_id", "source_url", F.round(F.col("w") / F.col("cell_weight"), 4).alias("contribution"))
+
+
 @query("j12_assign_folds", """with f as (select i::int as fold_id, date '1995-01-01' + to_months((6 * i)::int) as lo, date '1995-01-01' + to_months((6 * i + 6)::int) as hi from range(0, 4) t(i))
  select fold_id, case when date < lo then 'train' else 'test' end as role, count(*) as n, min(date) as first_date, max(date) as last_date from target_daily, f where date >= date '1992-01-01' and date < hi group by 1, 2""")
 def j12(s, d):
