@@ -45,11 +45,14 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, weight:
 
 
 def communities(edges: DataFrame, rounds: int = 8, weight: str = "weight") -> DataFrame:
-    """Label propagation: each node takes the label of most weight around it, its own included; ties to the smaller label."""
+    """Label propagation: each node takes the label of most weight around it; ties to the smaller label.
+
+    Its own label counts as much as its strongest link, so that two nodes don't swap labels for ever.
+    """
     both = edges.select(F.col("src_entity_id").alias("a"), F.col("dst_entity_id").alias("b"), weight).unionByName(edges.select(F.col("dst_entity_id").alias("a"), F.col("src_entity_id").alias("b"), weight))
     links = written(both.filter("a <> b").groupBy("a", "b").agg(F.sum(weight).alias("w")), "links")
     labels = links.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    own = links.groupBy("a").agg((F.avg("w") / 2).alias("w")).withColumnRenamed("a", "node")
+    own = links.groupBy("a").agg(F.max("w").alias("w")).withColumnRenamed("a", "node")
     for _ in range(rounds):
         said = links.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label", "w").unionByName(labels.join(own, "node").select("node", "label", "w"))
         votes = said.groupBy("node", "label").agg(F.sum("w").alias("w"))
