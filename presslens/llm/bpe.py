@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 
 from presslens.llm.common import table
 
-NEVER = np.int64(2**40)
+NEVER = 2**40
 #: Words kept per Python worker, and characters encoded at a time; both bound memory only.
-CACHE_WORDS, CHUNK_CHARS = 200_000, 1_000_000
+CACHE_WORDS, CHUNK_CHARS = 500_000, 1_000_000
+#: Letters up to which a word's merges are found by scanning its pairs.
+SHORT = 48
 END = "</w>"
 
 
@@ -45,7 +47,7 @@ def byte_letters() -> str:
     return "".join(chr(b) if b in printable else chr(next(spare)) for b in range(256))
 
 
-LETTERS = byte_letters()
+BYTES = dict(enumerate(byte_letters()))
 
 
 def latin(text: str) -> bool:
@@ -91,7 +93,9 @@ class Vocabulary:
         self.strings = pa.array(strings)
         self.inner = {s: i for s, i in vocab.items() if not s.endswith(END)}
         self.last = {s.removesuffix(END): i for s, i in vocab.items() if s.endswith(END)}
-        self.longest = max(map(len, chain(self.inner, self.last)))
+        self.longest: dict[str, int] = {}  # by the first two letters
+        for x in chain(self.inner, self.last):
+            self.longest[x[:2]] = max(self.longest.get(x[:2], 1), len(x))
         pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in model["merges"]]
         self.ranks = {(a, b): (r, c) for r, (a, b, c) in enumerate(pairs)}
         self.size = n
@@ -155,20 +159,37 @@ class Vocabulary:
 
     def _propose(self, letters: str) -> list[int]:
         out, at, n = [], 0, len(letters)
+        inner, last, longest = self.inner, self.last, self.longest
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                token = (self.last if end == n else self.inner).get(letters[at:end])
-                if token is not None:
-                    out.append(token)
-                    at = end
-                    break
-            else:
-                raise ValueError(f"no token for {letters[at]!r}")
+            end = min(n, at + longest.get(letters[at : at + 2], 1))
+            token = last.get(letters[at:]) if end == n else inner.get(letters[at:end])
+            while token is None:
+                end -= 1
+                token = inner.get(letters[at:end])
+                if end == at:
+                    raise ValueError(f"no token for {letters[at]!r}")
+            out.append(token)
+            at = end
         return out
 
     def merged(self, letters: str) -> list[int]:
         """The exact encoding of a word: the merge of lowest rank first, the leftmost of equal ones."""
         tokens = [self.inner[x] for x in letters[:-1]] + [self.last[letters[-1]]]
+        if len(tokens) <= SHORT:  # a scan of a few pairs is faster than a heap of them
+            ranks, none = self.ranks, (NEVER, -1)
+            pairs = [ranks.get(p, none) for p in zip(tokens, tokens[1:], strict=False)]
+            while pairs:
+                best = min(pairs)
+                if best is none:
+                    break
+                i = pairs.index(best)
+                tokens[i : i + 2] = [best[1]]
+                del pairs[i]
+                if i:
+                    pairs[i - 1] = ranks.get((tokens[i - 1], tokens[i]), none)
+                if i < len(pairs):
+                    pairs[i] = ranks.get((tokens[i], tokens[i + 1]), none)
+            return tokens
         after, before = [*range(1, len(tokens)), -1], [*range(-1, len(tokens) - 1)]
         heap = [(self.ranks[p][0], i, *p) for i, p in enumerate(zip(tokens, tokens[1:], strict=False)) if p in self.ranks]
         heapq.heapify(heap)
@@ -190,7 +211,8 @@ class Vocabulary:
         new = [w for w in words if w not in self.words]
         if not new:
             return
-        letters = ["".join(map(LETTERS.__getitem__, w.encode())) for w in new]
+        # printable ASCII stands for itself
+        letters = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(BYTES) for w in new]
         proposed = [self._propose(x) for x in letters]
         lengths = np.fromiter(map(len, proposed), np.int64, len(proposed))
         flat = np.fromiter(chain.from_iterable(proposed), np.int64, int(lengths.sum()))
