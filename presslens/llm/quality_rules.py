@@ -170,4 +170,40 @@ def kept_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(table(spark, sf_dir, "documents")).withColumn("quality", F.round("quality", 6))
+
+
+OP2_SQL = r"""
+with recursive split as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
+), wins as (
+  select rid, i, array_to_string(ws[i:i + 4], ' ') as g from (select rid, ws, unnest(range(1, len(ws) - 3)) as i from split)
+), twice as (
+  select rid, i from (select rid, i, count(*) over (partition by rid, g) as c from wins) where c > 1
+), covered as (
+  select rid, count(distinct p) as n from (select rid, unnest(range(i, i + 5)) as p from twice) group by rid
+), lined as (
+  select *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from split
+), m as (
+  select l.rid, doc_id, len(ws)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words, len(list_distinct(ws)) as n_distinct,
+    len(regexp_extract_all(t, '\p{Lu}')) as n_upper, length(t) - length(replace(t, '!', '')) as n_shouts
+  from lined l left join covered c on c.rid = l.rid
+), f as (
+  select *, n_symbols / greatest(n_words, 1) as sym, n_upper / greatest(word_chars, 1) as up, n_repeat_words / greatest(n_words, 1) as rep, n_distinct / greatest(n_words, 1) as variety,
+    n_dup_lines / greatest(n_lines, 1) as dup, greatest(word_chars, 1) / greatest(n_words, 1) as wl, n_shouts / greatest(n_words, 1) as sh, n_words >= 10 as enough from m
+), g as (select *, enough and sym <= 0.05 and up <= 0.2 as plain from f), v as (
+  select *, [-(sym > 0.2)::int, -(enough and up > 0.4)::int, -(sh > 0.3)::int, -(rep > 0.2)::int, -(enough and variety < 0.2)::int, -(dup > 0.5)::int, -(wl < 2 or wl > 15)::int, -(n_words < 5)::int,
+    (plain and variety >= 0.35)::int, (plain and rep <= 0.1 and dup <= 0.2)::int, (plain and wl >= 3 and wl <= 10 and variety >= 0.3)::int] as votes from g
+), patterns as (select votes, count(*) as n from v group by votes), em(r, acc, moved) as (
+  select 0, [0.8::double for k in range(1, 12)], 1.0::double
+  union all
+  select r + 1, list(new order by j), max(abs(new - old)) from (
+    select r, j, any_value(acc[j]) as old, least(greatest((sum(n * case when votes[j] > 0 then p when votes[j] < 0 then 1 - p else 0 end) + 4.0) / (sum(n * abs(votes[j])) + 5.0), 0.55), 0.99)::double as new
+    from (select r, acc, votes, n, 1 / (1 + exp(-list_sum(list_transform(range(1, 12), lambda k: votes[k] * ln(acc[k] / (1 - acc[k])))))) as p, unnest(range(1, 12)) as j from em, patterns where r < 12 and moved >= 1e-3)
+    group by r, j) group by r
+), last as (select acc from em order by r desc limit 1), q as (
+  select v.*, 1 / (1 + exp(-list_sum(list_transform(range(1, 12), lambda k: votes[k] * ln(acc[k] / (1 - acc[k])))))) as quality, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from v, last
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and quality >= 0.5 as kept, round(quality, 6) as quality from q
+"""

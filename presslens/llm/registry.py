@@ -22,5 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality_rules.OP2_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op7_chat": chat.OP7_SQL,
 }
