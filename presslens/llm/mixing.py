@@ -48,10 +48,11 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, sourc
     else:
         share = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, weight double")
         sizes = sizes.join(share, F.col("source").eqNullSafe(F.col("name")), "left").select("source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    whole = sizes.agg(F.sum("size").alias("total"), F.sum("weight").alias("weights"))
-    rated = sizes.crossJoin(F.broadcast(whole)).select(
-        "source", F.when(F.col("weights") > 0, F.col("weight") / F.col("weights") * F.col("total") / F.col("size")).otherwise(0.0).alias("rate")
-    )
+    sizes = materialize(sizes, "source-sizes")  # a row per source: the texts are read once for it
+    whole = sizes.agg(F.sum("size").alias("total"), F.sum("weight").alias("weights")).first()
+    total, weights_sum = whole["total"] or 0, whole["weights"] or 0.0
+    rate = F.col("weight") / F.lit(float(weights_sum)) * F.lit(total) / F.col("size") if weights_sum > 0 else F.lit(0.0)
+    rated = sizes.select("source", rate.alias("rate"))
     pieces = F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1))
     terms = F.expr(f"""transform(aggregate(sequence(1, {TERMS}), array(struct(exp(-mean) as p, exp(-mean) as c)),
         (a, i) -> concat(a, array(struct(element_at(a, -1).p * mean / i as p, element_at(a, -1).c + element_at(a, -1).p * mean / i as c)))), x -> x.c)""")
@@ -62,7 +63,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: i
     """``keep`` (all columns of ``docs`` if not given) of each document once per copy, with ``mix_copy`` (from 0),
     ``mix_rate`` and ``mix_order`` (the key that the shuffle sorts by). Clashing ``mix_`` columns of the input are replaced."""
     keep = [c for c in (keep or docs.columns) if c not in ("mix_copy", "mix_rate", "mix_order")]
-    rates = materialize(source_rates(docs, weights, source, text), "rates")
+    rates = source_rates(docs, weights, source, text)
     n_sources = rates.select("source").limit(BROADCAST_SOURCES + 1).count()
     inner = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(source).alias("doc_source"), F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("k"))
     if n_sources <= BROADCAST_SOURCES:
