@@ -5,7 +5,8 @@ Every line that two documents or more hold leads each of them to the first docum
 lines and very common ones are treated alike. Each linked pair is aligned on arrays of line hashes,
 patience-wise: the lines that both hold are put in the longest order that both share, runs of
 neighbours become blocks, and what is left is aligned again until nothing is. Blocks of
-``BLOCK_WORDS`` words or more go from the later document, and so do repeats of them further down.
+``BLOCK_WORDS`` words or more go from the later document. Where a shared line is repeated, so does
+every run of so many words that stands anywhere in the earlier document.
 
 A line's first holder never loses it, so no line vanishes from the corpus. Lines are what stands
 between newlines; those without a word are no evidence, and go only from inside a block. Lines are
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -74,18 +76,63 @@ def common_blocks(earlier: Sequence[int], later: Sequence[int]) -> list[tuple[in
     return sorted(blocks)
 
 
+def matched(earlier: Sequence[int], later: Sequence[int]) -> list[int]:
+    """For each line of ``later``, how many lines up to and with it stand in a row anywhere in ``earlier``: the most there are.
+
+    By a suffix automaton of ``earlier``, in proportion to the lines of both however often they repeat.
+    """
+    steps: list[dict[int, int]] = [{}]
+    link, size, last = [-1], [0], 0
+    for h in earlier:
+        new = len(steps)
+        steps.append({})
+        link.append(0)
+        size.append(size[last] + 1)
+        at, last = last, new
+        while at >= 0 and h not in steps[at]:
+            steps[at][h] = new
+            at = link[at]
+        if at < 0:
+            continue
+        to = steps[at][h]
+        if size[to] > size[at] + 1:
+            twin = len(steps)
+            steps.append(dict(steps[to]))
+            link.append(link[to])
+            size.append(size[at] + 1)
+            link[to] = twin
+            while at >= 0 and steps[at].get(h) == to:
+                steps[at][h] = twin
+                at = link[at]
+            to = twin
+        link[new] = to
+    out, at, run = [], 0, 0
+    for h in later:
+        while at and h not in steps[at]:
+            at = link[at]
+            run = size[at]
+        if h in steps[at]:
+            at, run = steps[at][h], run + 1
+        out.append(run)
+    return out
+
+
 def doomed(earlier: Sequence[int], later: Sequence[int], words: Sequence[int], least: int = BLOCK_WORDS) -> list[int]:
-    """Lines of ``later`` to delete: those of its long enough common blocks, and the same blocks again further down."""
+    """Lines of ``later`` to delete: those of every long enough run that stands anywhere in ``earlier``.
+
+    Where no shared line is repeated, the common blocks are all such runs.
+    """
     out: set[int] = set()
-    starts: dict[int, list[int]] = {}
-    for j, h in enumerate(later):
-        starts.setdefault(h, []).append(j)
     for a, b in common_blocks(earlier, later):
         if sum(words[a:b]) >= least:
-            block = later[a:b]
-            for j in starts[block[0]]:
-                if later[j : j + b - a] == block:
-                    out.update(range(j, j + b - a))
+            out.update(range(a, b))
+    shared = set(earlier).intersection(later)
+    if any(sum(h in shared for h in x) > len(shared) for x in (earlier, later)):
+        sums, done = [0, *accumulate(words)], 0
+        for j, run in enumerate(matched([h if h in shared else None for h in earlier], later)):
+            if sums[j + 1] - sums[j + 1 - run] >= least:
+                out.update(range(max(done, j + 1 - run), j + 1))
+                done = j + 1
     return sorted(out)
 
 

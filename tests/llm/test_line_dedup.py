@@ -73,3 +73,32 @@ def test_every_line_survives_somewhere(spark):
         mine = {x for x in r["text"].split("\n") if len(x.split()) >= 5}
         assert not mine & seen
         seen |= mine
+
+
+def brute_doomed(a, b, w, least=5):
+    out = set()
+    for j in range(len(b)):
+        for i in range(len(a)):
+            k = 0
+            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                k += 1
+            if sum(w[j : j + k]) >= least:
+                out.update(range(j, j + k))
+    return sorted(out)
+
+
+def test_every_common_run_goes_from_repeated_lines():
+    import random
+
+    rng = random.Random(5)
+    words = [rng.randrange(1, 7) for _ in range(12)]
+    for _ in range(2000):
+        a, b = ([rng.randrange(rng.choice([3, 12])) for _ in range(rng.randrange(14))] for _ in range(2))
+        w = [words[h] for h in b]
+        assert line_dedup.doomed(a, b, w) == brute_doomed(a, b, w)
+
+
+def test_repeated_lines_go_wherever_they_stand(spark):
+    x = "a line of quite some words that is repeated"
+    rows = [(1, text("head", x, x, "own one")), (2, text("head", x, "own two", x, x, x, "end", "head"))]
+    assert cleaned(spark, rows)[2] == "own two\nend\nhead"
