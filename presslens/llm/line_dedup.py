@@ -1,16 +1,17 @@
 """Line dedup by pairwise alignment: common blocks of lines go from the later of two documents.
 
-Every line that two documents or more hold leads each of them to the first document that holds it
-(the smallest doc_id): links grow with the lines, not with the square of a line's holders, and rare
-lines and very common ones are treated alike. Each linked pair is aligned on arrays of line hashes,
-patience-wise: the lines that both hold are put in the longest order that both share, runs of
+From each line on, and back from each line, the shortest run of lines that reaches ``BLOCK_WORDS``
+words leads its documents to the first one that holds it (the smallest doc_id): links grow with the
+lines, not with the square of a run's holders, rare lines and very common ones are treated alike, and
+every block of so many words is made of such runs. Each linked pair is aligned on arrays of line
+hashes, patience-wise: the lines that both hold are put in the longest order that both share, runs of
 neighbours become blocks, and what is left is aligned again until nothing is. Blocks of
 ``BLOCK_WORDS`` words or more go from the later document. Where a shared line is repeated, so does
 every run of so many words that stands anywhere in the earlier document.
 
 A line's first holder never loses it, so no line vanishes from the corpus. Lines are what stands
 between newlines; those without a word are no evidence, and go only from inside a block. Lines are
-compared by their 64-bit hash.
+compared by their 64-bit hash, runs of lines by one made of those.
 
 A null text stays null and holds no line. Documents are ordered by doc_id, those without one last;
 rows with the same doc_id are not compared with each other, and equal rows end up equal. A
@@ -23,6 +24,7 @@ from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,7 @@ from presslens.llm.common import WORD, materialize, table
 
 BLOCK_WORDS = 5
 LAST = 2**63 - 1
+BASE = np.uint64(0x9E3779B97F4A7C17)
 
 
 def rising(values: Sequence[int]) -> list[int]:
@@ -146,16 +149,51 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return split.select("at", "th", F.col("lines.h").alias("h"), F.col("lines.w").alias("w"), F.col("lines.p").alias("p"))
 
 
-def linked(lines: DataFrame) -> DataFrame:
-    """(at, first): each document with every document that first holds one of its lines."""
-    each = lines.select("at", F.explode("h").alias("h"))
-    firsts = materialize(each.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").select(F.col("h").alias("fh"), "first"), "line-firsts")
+def run_hashes(h: np.ndarray, w: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of the shortest runs of lines that reach ``least`` words: from each line on and back from each line.
+
+    ``ends`` is for each line the end of its document. Together these runs cover each block of ``least`` words or more.
+    """
+    n = len(h)
+    sums = np.concatenate([[0], np.cumsum(w)])
+    at = np.arange(n)
+    stop = np.searchsorted(sums, sums[:-1] + least)  # lines at .. stop - 1
+    begin = np.searchsorted(sums, sums[1:] - least, side="right") - 1  # lines begin .. at
+    whole = stop <= ends
+    back = np.flatnonzero(begin >= 0)
+    back = back[ends[begin[back]] == ends[back]]
+    back = back[stop[begin[back]] != back + 1]  # the others are there already
+    first, after = np.concatenate([at[whole], begin[back]]), np.concatenate([stop[whole], back + 1])
+    powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, BASE, np.uint64))])
+    inverse = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, pow(int(BASE), -1, 2**64), np.uint64))])
+    rolled = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h.view(np.uint64) * powers[:-1])])
+    return first, ((rolled[after] - rolled[first]) * inverse[first]).view(np.int64)
+
+
+def runs(lines: DataFrame, least: int) -> DataFrame:
+    """(at, h): hashes of the shortest runs of each document's lines that reach ``least`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, h, w = batch.column(0), batch.column(1), batch.column(2)
+            sizes = h.value_lengths().to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            first, found = run_hashes(h.flatten().to_numpy(zero_copy_only=False), w.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)[doc], least)
+            yield pa.RecordBatch.from_arrays([at.take(pa.array(doc[first])), pa.array(found)], names=["at", "h"])
+
+    return lines.select("at", "h", "w").mapInArrow(run, "at long, h long")
+
+
+def linked(lines: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
+    """(at, first): each document with every document that first holds one of its shortest long enough runs of lines."""
+    each = runs(lines, least)
+    firsts = materialize(each.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").select(F.col("h").alias("fh"), "first"), "run-firsts")
     return each.join(firsts, F.col("h") == F.col("fh")).filter("first < at").select("at", "first").distinct()
 
 
 def deletions(lines: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     """(d_at, d_th, gone): positions of the lines that a document loses."""
-    pairs = linked(lines)
+    pairs = linked(lines, least)
     early = lines.select(F.col("at").alias("e_at"), F.col("h").alias("e_h"))
     late = lines.select(F.col("at").alias("l_at"), "th", F.col("h").alias("l_h"), F.col("w").alias("l_w"), F.col("p").alias("l_p"))
     both = pairs.join(early, F.col("first") == F.col("e_at")).join(late, F.col("at") == F.col("l_at")).select("l_at", "th", "e_h", "l_h", "l_w", "l_p")

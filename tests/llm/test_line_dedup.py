@@ -102,3 +102,24 @@ def test_repeated_lines_go_wherever_they_stand(spark):
     x = "a line of quite some words that is repeated"
     rows = [(1, text("head", x, x, "own one")), (2, text("head", x, "own two", x, x, x, "end", "head"))]
     assert cleaned(spark, rows)[2] == "own two\nend\nhead"
+
+
+def test_short_lines_with_other_first_holders_are_found(spark):
+    lines = [f"line number {i}" for i in range(20)]
+    rows = [(i, f"own {i}\n{lines[i]}\nother {i}") for i in range(20)]
+    rows += [(20, text("twenty", lines, "end")), (21, text("twenty-one", lines, "stop"))]
+    got = cleaned(spark, rows)
+    assert got[20] == rows[20][1] and got[21] == "twenty-one\nstop"
+
+
+def test_linked_runs_cover_every_common_run(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, "\n".join(" ".join([f"w{h}"] * (1 + h % 6)) for h in (rng.randrange(14) for _ in range(rng.randrange(12))))) for i in range(80)]
+    got = cleaned(spark, rows)
+    for i, t in rows:
+        b, gone = [x for x in t.split("\n") if x], set()
+        for _, e in rows[:i]:
+            gone.update(brute_doomed([x for x in e.split("\n") if x], b, [len(x.split()) for x in b]))
+        assert got[i] == "\n".join(x for k, x in enumerate(b) if k not in gone)
