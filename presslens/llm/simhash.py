@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presslens.llm.common import materialize, table
@@ -185,17 +185,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest ``key``.
+    """``docs`` with one document of each group of near copies, by the similarity of five-word shingles."""
+    from presslens.llm import near_copies  # which takes components() from here
 
-    Rows that share that key are one document, of which the row with the smallest text stays.
-    Rows without a key take no part and stay.
-    """
-    columns = docs.columns
-    known = docs.filter(F.col(key).isNotNull())
-    stay = near_duplicates(known.select(key, text), key, text).select(F.col("component_id").alias("stays")).distinct()
-    kept = known.select(F.struct(*columns).alias("row")).join(stay, F.col(f"row.{key}") == F.col("stays"), "left_semi")
-    first = kept.withColumn("n", F.row_number().over(Window.partitionBy(f"row.{key}").orderBy(f"row.{text}"))).filter("n = 1")
-    return first.select("row.*").unionByName(docs.filter(F.col(key).isNull()))
+    return near_copies.one_of_each(docs, key, text)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
