@@ -50,7 +50,8 @@ def near_copies(articles: DataFrame, threshold: float = 0.8, key: str = "article
     Exact copies count once. Under a band's key every text is compared with the smallest id there, so a
     key's texts make as many pairs as there are texts, and bands together link what is alike.
     """
-    from presslens.operators.graph import min_labels, written
+    from presslens.operators.graph import min_labels
+    from presslens.scratch import materialize as written
 
     groups = written(copy_groups(articles, key), "copies")
     firsts = articles.join(groups.filter(F.col(key) == F.col("first_id")).select(key), key, "left_semi")

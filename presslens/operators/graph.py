@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage in loops: written to the folder that the cluster shares, and read back."""
-    spark: SparkSession = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-presslens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/presslens/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from presslens.scratch import materialize as written
 
 
 def strength(edges: DataFrame, weight: str = "weight") -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presslens.operators.graph import written
+from presslens.scratch import materialize as written
 
 
 def normal_p(t: Column) -> Column:

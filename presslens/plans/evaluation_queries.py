@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from presslens.operators import api, gold, indices, models, quality, silver, val
 from presslens.plans.catalog import query
 from presslens.plans.scores_queries import STATES, pairs_of, states_of
 from presslens.plans.tables_queries import BOTH, DENSE, EV, PAIRS, daily_dense, events, r, rounded
+from presslens.scratch import own_dir
 from presslens.sources.fixtures import table, view
 from presslens.streaming import streams
 
@@ -436,12 +436,8 @@ def event_stream(s, d):
 
 
 def ran(df, mode="append"):
-    name = f"stream_{uuid.uuid4().hex[:12]}"
-    return streams.run_to_table(df, name, f"{shared(df.sparkSession)}/{name}", mode)
-
-
-def shared(spark):
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-presslens-")
+    at = f"{own_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    return streams.run_to_table(df, f"{at}/table", f"{at}/checkpoint", mode)
 
 
 for grain, sql in (("15 minutes", "time_bucket(interval '15 minutes', ts)"), ("1 hour", "date_trunc('hour', ts)"), ("1 day", "date_trunc('day', ts)")):
@@ -475,8 +471,13 @@ def r9(s, d):
 
 @query("r8_stream_decay")
 def r8(s, d):
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return rounded(ran(streams.stream_decay(event_stream(s, d), "event_type"), "update"), "level")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(setting)
+    s.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return rounded(ran(streams.stream_decay(event_stream(s, d), "event_type"), "update"), "level")
+    finally:
+        s.conf.set(setting, before)
 
 
 @query("r10_stream_join")

@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The columns of a raw event line, in order.
-ACTOR = ("Code", "Name", "CountryCode", "KnownGroupCode", "EthnicCode", "Religion1Code", "Religion2Code", "Type1Code", "Type2Code", "Type3Code")
-PLACE = ("Type", "FullName", "CountryCode", "ADM1Code", "ADM2Code", "Lat", "Long", "FeatureID")
-EVENT_COLUMNS = (
-    ["GlobalEventID", "Day", "MonthYear", "Year", "FractionDate"]
-    + [f"Actor1{c}" for c in ACTOR] + [f"Actor2{c}" for c in ACTOR]
-    + ["IsRootEvent", "EventCode", "EventBaseCode", "EventRootCode", "QuadClass", "GoldsteinScale", "NumMentions", "NumSources", "NumArticles", "AvgTone"]
-    + [f"{who}Geo_{c}" for who in ("Actor1", "Actor2", "Action") for c in PLACE]
-    + ["DateAdded", "SourceURL"]
-)
+EVENT_COLUMNS = [
+    "GlobalEventID", "SQLDATE", "MonthYear", "Year", "FractionDate",
+    "Actor1Code", "Actor1Name", "Actor1CountryCode", "Actor1KnownGroupCode", "Actor1EthnicCode", "Actor1Religion1Code", "Actor1Religion2Code", "Actor1Type1Code", "Actor1Type2Code", "Actor1Type3Code",
+    "Actor2Code", "Actor2Name", "Actor2CountryCode", "Actor2KnownGroupCode", "Actor2EthnicCode", "Actor2Religion1Code", "Actor2Religion2Code", "Actor2Type1Code", "Actor2Type2Code", "Actor2Type3Code",
+    "IsRootEvent", "EventCode", "EventBaseCode", "EventRootCode", "QuadClass", "GoldsteinScale", "NumMentions", "NumSources", "NumArticles", "AvgTone",
+    "Actor1Geo_Type", "Actor1Geo_FullName", "Actor1Geo_CountryCode", "Actor1Geo_ADM1Code", "Actor1Geo_ADM2Code", "Actor1Geo_Lat", "Actor1Geo_Long", "Actor1Geo_FeatureID",
+    "Actor2Geo_Type", "Actor2Geo_FullName", "Actor2Geo_CountryCode", "Actor2Geo_ADM1Code", "Actor2Geo_ADM2Code", "Actor2Geo_Lat", "Actor2Geo_Long", "Actor2Geo_FeatureID",
+    "ActionGeo_Type", "ActionGeo_FullName", "ActionGeo_CountryCode", "ActionGeo_ADM1Code", "ActionGeo_ADM2Code", "ActionGeo_Lat", "ActionGeo_Long", "ActionGeo_FeatureID",
+    "DATEADDED", "SOURCEURL",
+]
 FIELDS = {"export": len(EVENT_COLUMNS), "mentions": 10, "gkg": 20}
 SUFFIXES = ("export", "mentions", "gkg")
 
@@ -135,7 +136,7 @@ def register_views(spark: SparkSession, root: str, names: Sequence[str]) -> None
 
 
 def union_layers(layers: Sequence[DataFrame]) -> DataFrame:
-    out = layers[0]
+    out = layers[0].select("*")  # a frame of spark.range() takes part as rows, not as numbers
     for layer in layers[1:]:
         out = out.unionByName(layer, allowMissingColumns=True)
     return out

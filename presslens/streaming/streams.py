@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from presslens.functions.weights import tau
+from presslens.scratch import exists
 
 
 def stream_files(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1000) -> DataFrame:
@@ -87,10 +88,20 @@ def stream_decay(events: DataFrame, key: str, half_life_days: float = 14.0) -> D
     return plain.groupBy("key").transformWithStateInPandas(Decayed(half_life_days), "key string, at double, level double", "Update", "None")
 
 
-def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run what is there to its end into a table in memory, for reads at once."""
-    df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return df.sparkSession.table(name)
+def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run what is there to its end into Parquet under ``path``, and read it.
+
+    A batch that is run again replaces what it wrote. In complete mode the last batch is the whole result.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/all" if mode == "complete" else f"{path}/batch={number}")
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = df.sparkSession
+    if not exists(spark, path):  # nothing came
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{path}/all" if mode == "complete" else f"{path}/batch=*")
 
 
 def run_to_files(df: DataFrame, path: str, checkpoint: str) -> None:
@@ -98,13 +109,18 @@ def run_to_files(df: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def upsert_dates(df: DataFrame, path: str, checkpoint: str, keys: list[str], aggs: list[Column], day: str = "date") -> None:
-    """Rebuild the dates that a batch touches: its rows are added to those dates' Silver, and their Gold is written anew."""
+    """Rebuild the dates that a batch touches: its rows go to those dates' Silver, and their Gold is written anew.
+
+    Silver is partitioned by date and batch, so a batch that is run again replaces its own rows. Only the
+    touched dates are read back; their number is bounded by the calendar.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("append").partitionBy(day).parquet(f"{path}/silver")
-        touched = batch.select(day).distinct()
-        fresh = spark.read.parquet(f"{path}/silver").join(touched, day, "left_semi").groupBy(day, *keys).agg(*aggs)
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(f"{path}/gold")
+        batch.withColumn("batch_number", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day, "batch_number").parquet(f"{path}/silver")
+        touched = [r[0] for r in batch.select(day).distinct().collect()]
+        if touched:
+            fresh = spark.read.parquet(f"{path}/silver").filter(F.col(day).isin(touched)).drop("batch_number").groupBy(day, *keys).agg(*aggs)
+            fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(f"{path}/gold")
 
     df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from presslens.sources import raw
 from presslens.sources.layers import diff_snapshots
 
-LINES = ["\t".join(f"{i}_{c}" for c in range(n)) for i, n in enumerate([61, 61, 60, 62])] + [""]
+LINES = ["\t".join(f"{i}_{c}" for c in range(n)) for i, n in enumerate([61, 61, 60, 62])] + ["", ""]
 
 
 def test_columns_add_up():
@@ -16,7 +16,7 @@ def test_columns_add_up():
 def test_short_rows_are_skipped_and_counted(spark, tmp_path):
     (tmp_path / "a.export.CSV").write_text("\n".join(LINES))
     rows = raw.read_raw_events(spark, str(tmp_path)).collect()
-    assert len(rows) == 3 and rows[0]["GlobalEventID"] == "0_0" and rows[0]["SourceURL"] == "0_60"
+    assert len(rows) == 3 and rows[0]["GlobalEventID"] == "0_0" and rows[0]["SOURCEURL"] == "0_60"
     lines = spark.read.text(str(tmp_path))
     good, bad = raw.validate_field_count(lines, "export", 0.5)
     assert (good.count(), bad.count()) == (3, 2)
@@ -60,3 +60,17 @@ def test_new_only_snapshot_and_diff(spark):
     assert x == y and x["row_count"] == 5
     assert {r["change"]: r["n"] for r in diff_snapshots(a, b).collect()} == {"added": 4, "removed": 3, "kept": 2}
     assert raw.union_layers([a, b.withColumn("more", F.lit(1))]).columns == ["id", "more"]
+
+
+def test_scratch_needs_no_setting_and_is_cleared(spark):
+    from pathlib import Path
+
+    from presslens import scratch
+
+    with scratch.workspace(spark) as work:
+        kept = work.keep(spark.range(3), "numbers")
+        assert kept.count() == 3
+        inside = Path(work.path.removeprefix("file:"))
+        assert inside.exists()
+    assert not inside.exists()
+    assert scratch.materialize(spark.range(0), "none").count() == 0

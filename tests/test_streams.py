@@ -44,12 +44,20 @@ def test_only_touched_dates_are_rebuilt(spark, tmp_path):
     run()
     got = {str(r["date"]): r["v"] for r in spark.read.parquet(f"{out}/gold").collect()}
     assert got == {"2024-01-01": 1, "2024-01-02": 12} and schema
+    commit = max((tmp_path / "check" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commit.unlink()  # as if it had stopped before it was done
+    commit.with_name(f".{commit.name}.crc").unlink(missing_ok=True)
+    run()
+    assert {str(r["date"]): r["v"] for r in spark.read.parquet(f"{out}/gold").collect()} == got
 
 
 def test_decay_matches_the_batch_form(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = spark.createDataFrame([("a", f"2024-01-0{i} 00:00:00", float(i)) for i in (1, 2, 5)], "k string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     df = streams.stream_decay(streams.stream_files(spark, str(tmp_path / "in"), rows.schema), "k", 1.0)
-    (r,) = streams.run_to_table(df, "decayed_test", str(tmp_path / "check"), "update").collect()
+    (r,) = streams.run_to_table(df, str(tmp_path / "out"), str(tmp_path / "check"), "update").collect()
+    spark.conf.set(setting, before)
     assert abs(r["level"] - (5 + 2 / 8 + 1 / 16)) < 1e-9
