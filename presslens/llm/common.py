@@ -1,13 +1,18 @@
-"""What the corpus operators share: reading tables, scratch tables, word rules."""
+"""What the corpus operators share: reading tables, scratch tables, word rules, sorted runs."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presslens.scratch import materialize, workspace
+
+__all__ = ["WORD", "materialize", "spread", "table", "text_or_empty", "whole_runs", "workspace"]
+
 #: Everything but the space and the five control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,23 +27,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-presslens-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared scratch folder and read it back.
-
-    Cuts lineage: what was computed outlives the executors that computed it.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/presslens/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of ``batches``, which come sorted by the first one, cut so that all rows with one value of it stay together."""
+    kept: list[list[np.ndarray]] = []  # rows that may go on: the last value's
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(rows[0]):
+            continue
+        if kept and rows[0][-1] == kept[-1][0][-1]:
+            kept.append(rows)
+            continue
+        rows = [np.concatenate(x) for x in zip(*kept, rows, strict=True)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        kept = [[x[cut:] for x in rows]]
+        if cut:
+            yield [x[:cut] for x in rows]
+    if kept:
+        yield [np.concatenate(x) for x in zip(*kept, strict=True)]
 
 
 def text_or_empty(name: str = "text") -> Column:

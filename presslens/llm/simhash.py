@@ -1,18 +1,18 @@
 """SimHash near-dedup: fingerprints linked through tables of distances to reference fingerprints.
 
 Equal fingerprints are one node from the start, so a group of copies costs one row however large it
-is. Two fingerprints that differ in at most two bits agree in at least two of four 16-bit blocks,
-and so meet under one of six 32-bit keys. Under a key, every fingerprint's Hamming distances to
-``PIVOTS`` references are tabled; a pair whose table rows differ by more than two anywhere can't be
-close (the distance to a reference changes by no more than the pair's own distance), and only what
-is left is compared bit by bit. Under a key with more than ``TABLED`` fingerprints the pairs are
-found by looking up every fingerprint with up to two of its other 32 bits flipped: exact as well, and
-in proportion to their number. A key gives no pairs out, only one edge from each fingerprint to the
-smallest of its connected set. Edges of all keys are then contracted by large-star and small-star
-steps until nothing moves.
-
-A key's fingerprints are distinct 64-bit values with 32 bits in common, 8 bytes each; copies and
-hot sources don't make them more.
+is. Two fingerprints that differ in at most two bits agree in at least two of four 16-bit blocks, and
+their Hamming distances to any reference fingerprint differ by two at most. So every fingerprint goes
+to cells named by a pair of its blocks and by its distances to the first ``CELLED`` of ``PIVOTS``
+references, cut into ranges of ``RANGE``; where a distance stands within two of a range's lower end,
+it goes to the range below as well. Any close pair meets in a cell, and a block that many fingerprints
+share is split by its distances. In a cell the distances to all references are tabled, pairs whose
+table rows differ by more than two anywhere are discarded, and what is left is compared bit by bit.
+A cell gives no pairs out, only one edge from each fingerprint to the smallest of its connected set.
+Edges of all cells are then contracted by large-star and small-star steps until nothing moves.
+
+A cell's rows come sorted, as distinct 64-bit values with 32 bits and two ranges of distances in
+common; copies and hot sources don't make them more.
 
 A text without words, or a null one, has fingerprint zero and is linked like any other. Rows with
 equal doc_id each get their own row. A null doc_id never names a component: a component of rows
@@ -26,13 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslens.llm.common import materialize, table
+from presslens.llm.common import materialize, table, whole_runs, workspace
 
 SHINGLE, SEED, NEAR = 3, 42, 2
-PIVOTS, TABLED = 24, 4096
+PIVOTS, CELLED, RANGE = 24, 2, 8
 BLOCKS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 
 
@@ -89,22 +89,6 @@ def tabled_pairs(fps: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndar
     return np.concatenate(left), np.concatenate(right)
 
 
-def probed_pairs(fps: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same where all agree outside the bits ``free``: each fingerprint is looked up with one or two of them flipped."""
-    order = np.argsort(fps)
-    ranked = fps[order]
-    one = np.left_shift(np.uint64(1), free)
-    two = [a | b for k, a in enumerate(one) for b in one[k + 1 :]]
-    left, right = [], []
-    for mask in [*one, *two]:
-        want = fps ^ mask
-        at = np.minimum(np.searchsorted(ranked, want), len(ranked) - 1)
-        i = np.flatnonzero((ranked[at] == want) & (fps < want))
-        left.append(i)
-        right.append(order[at[i]])
-    return np.concatenate(left), np.concatenate(right)
-
-
 def roots_of(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For each of n nodes the smallest index in its connected set."""
     root = np.arange(n)
@@ -119,56 +103,71 @@ def roots_of(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         root = new
 
 
-def key_edges(fps: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An edge from each fingerprint under a key to the smallest one that it is connected with."""
-    if len(fps) == 2:
-        near = np.bitwise_count(fps[0] ^ fps[1]) <= NEAR
-        return fps[1:][[near]], fps[:1][[near]]
-    root = roots_of(len(fps), *(tabled_pairs(fps) if len(fps) <= TABLED else probed_pairs(fps, free)))
+def cell_edges(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An edge from each fingerprint of a cell to the smallest one that it is connected with in there."""
+    fps = np.sort(fps)
+    root = roots_of(len(fps), *tabled_pairs(fps))
     own = np.flatnonzero(root != np.arange(len(fps)))
     return fps[own], fps[root[own]]
 
 
+def ranges(fp: str, pivot: int) -> Column:
+    """The one or two ranges of distance to ``pivot`` that a fingerprint stands in."""
+    far = F.bit_count(F.col(fp).bitwiseXOR(F.lit(pivot)))
+    at = F.floor(far / RANGE).cast("int")
+    return F.when(far % RANGE < NEAR, F.array(at, at - 1)).otherwise(F.array(at))
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b): edges that connect what is connected by pairs of fingerprints within two bits. ``nodes`` has distinct ``fp``."""
 
-    def block(i: int):
+    def block(i: int) -> Column:
         return F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
 
-    keys = F.array(*[F.struct(F.lit(k).alias("which"), F.shiftleft(block(i), 16).bitwiseOR(block(j)).alias("bits")) for k, (i, j) in enumerate(BLOCKS)])
-    met = nodes.select("fp", F.explode(keys).alias("k")).groupBy("k.which", "k.bits").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("which", "fps")
+    bits = F.array(*[F.struct(F.lit(k).alias("which"), F.shiftleft(block(i), 16).bitwiseOR(block(j)).alias("bits")) for k, (i, j) in enumerate(BLOCKS)])
+    cells = nodes.select("fp", F.explode(bits).alias("k"))
+    for i, pivot in enumerate(pivots(CELLED).view(np.int64).tolist()):
+        cells = cells.withColumn(f"range_{i}", F.explode(ranges("fp", pivot)))
+    # which block pair, its 32 bits and the ranges in one number: 3, 32 and 4 bits each
+    name = F.shiftleft(F.col("k.which").cast("long"), 32).bitwiseOR(F.col("k.bits").bitwiseAND(F.lit(0xFFFFFFFF)))
+    for i in range(CELLED):
+        name = F.shiftleft(name, 4).bitwiseOR((F.col(f"range_{i}") + 1).cast("long"))
+    dealt = cells.select(name.alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for cell, fp in whole_runs(batches):
             a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-            for which, fps in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                free = np.array([bit for block in range(4) if block not in BLOCKS[which] for bit in range(16 * block, 16 * block + 16)], np.uint64)
-                x, y = key_edges(np.sort(fps.values.to_numpy(zero_copy_only=False)).view(np.uint64), free)
+            begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            end = np.append(begin[1:], len(cell))
+            for lo, hi in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
+                x, y = cell_edges(fp[lo:hi].view(np.uint64))
                 a.append(x)
                 b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b) that isn't its component's smallest; root is that one.
 
-    Large-star and small-star steps in turn, each pair of steps written before the next begins.
+    Large-star and small-star steps in turn, each pair of steps written before the next begins. Their
+    number grows with the logarithm of the longest path.
     """
-    e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("at"), F.least("a", "low").alias("low"))
-        large = both.filter("b > a").join(low, F.col("a") == F.col("at")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        lows = large.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "at")
-        small = large.join(lows, F.col("a") == F.col("at")).select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
-        e = materialize(small.select("e.*").filter("a <> b").distinct(), "edges")
-        found = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if (found["n"], found["x"]) == mark:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = (found["n"], found["x"])
+    with workspace(edges.sparkSession) as work:
+        e = work.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        mark = None
+        while True:
+            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("at"), F.least("a", "low").alias("low"))
+            large = both.filter("b > a").join(low, F.col("a") == F.col("at")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+            lows = large.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "at")
+            small = large.join(lows, F.col("a") == F.col("at")).select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
+            e = work.keep(small.select("e.*").filter("a <> b").distinct(), "edges")
+            found = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+            if (found["n"], found["x"]) == mark:
+                return materialize(e.select(F.col("a").alias("node"), F.col("b").alias("root")), "roots")
+            mark = (found["n"], found["x"])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -56,22 +56,45 @@ def test_components_match_brute_force(spark):
     assert [got[i]["component_id"] for i in range(len(rows))] == brute_components(fps)
 
 
-def test_pairs_by_table_and_by_lookup(spark):
-    rng = np.random.default_rng(1)
-    near = set()
+def clusters(seed=1):
+    rng, near = np.random.default_rng(seed), set()
     for b in rng.integers(0, 2**63, 4, dtype=np.uint64):
         for _ in range(120):
             x = int(b)
             for k in rng.integers(0, 64, rng.integers(0, 5)):
                 x ^= 1 << int(k)
             near.add(x)
-    f = np.array(sorted(near), np.uint64)
+    return np.array(sorted(near), np.uint64)
+
+
+def test_pairs_by_table():
+    f = clusters()
     want = {(a, b) for a in range(len(f)) for b in range(a + 1, len(f)) if bin(int(f[a] ^ f[b])).count("1") <= 2}
     assert set(zip(*(x.tolist() for x in simhash.tabled_pairs(f)), strict=True)) == want and len(want) > 1000
-    g = np.unique((f & np.uint64(0x0000FFFFFFFF0000)) | np.uint64(0x1234000000005678))
-    want = {(a, b) for a in range(len(g)) for b in range(a + 1, len(g)) if bin(int(g[a] ^ g[b])).count("1") <= 2}
-    found = {tuple(sorted(x)) for x in zip(*(x.tolist() for x in simhash.probed_pairs(g, np.arange(16, 48).astype(np.uint64))), strict=True)}
-    assert found == want
+
+
+def test_pivot_tables_discard_all_but_few(monkeypatch):
+    f = clusters()
+    all_pairs = len(f) * (len(f) - 1) // 2
+    tables = np.bitwise_count(f[:, None] ^ simhash.pivots()[None, :]).astype(int)
+    left = sum(int((np.abs(tables[i] - tables[i + 1 :]).max(axis=1) <= 2).sum()) for i in range(len(f)))
+    assert len(simhash.tabled_pairs(f)[0]) <= left < 0.1 * all_pairs
+
+
+def test_links_connect_what_all_pairs_connect(spark):
+    f = clusters(3)
+    nodes = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long").repartition(5)
+    root = {int(np.int64(np.uint64(x))) if x < 2**63 else int(x) - 2**64: int(x) for x in f.tolist()}
+    got = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes)).collect()}
+    signed = list(root)
+    want = brute_components([x & (2**64 - 1) for x in signed])
+    groups = {}
+    for i, x in enumerate(signed):
+        groups.setdefault(want[i], set()).add(x)
+    found = {}
+    for x in signed:
+        found.setdefault(got.get(x, x), set()).add(x)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups.values()))
 
 
 def test_long_chain_is_one_component(spark):
