@@ -1,30 +1,42 @@
 """Personal data by bootstrapped contextual extraction.
 
-Four patterns (email, ip, card, phone) find the seeds. Every other token with a digit or an at sign is
-a candidate. Seeds and candidates carry the lexical patterns they stand in: the two words before them,
-and the words on either side. Patterns and instances make up a graph with edge counts, which Spark
-scores in rounds: a pattern's score for a kind is the share of its occurrences that instances known
-for that kind account for, and an instance's is the best of its patterns'. Patterns that reach
-``TRUSTED`` and stand on ``SUPPORT`` different instances mark the candidates they hold; those spans
-are added to the seeds', which all stay.
-
-Offsets are in code points, ends exclusive. A null text is read as empty. Rows are kept apart even
-if they are equal or share a doc_id. Candidates never overlap seeds. An empty table gives no rows.
+Four patterns (email, ip, card, phone) find the seeds, and a fifth kind, secret, has assigned and quoted
+strings of ``SECRET_LENGTH`` characters or more that mix letters with digits. Every other token with a
+digit or an at sign is a candidate, groups of digits joined by single blanks, dots, slashes or hyphens
+count as one token. Seeds and candidates carry the lexical patterns that they stand in: the two tokens
+before them, the tokens on either side, the same with one left out, and the token before with the form
+of what it leads to. Patterns and instances make up a graph with edge counts, which Spark scores in
+rounds until the trusted patterns stay the same: a pattern's score for a kind is the share of its
+occurrences that instances known for that kind account for, and an instance's is the best of its
+patterns'. Patterns that reach ``TRUSTED`` and stand on ``SUPPORT`` different instances mark the
+candidates they hold; those spans are added to the seeds', which all stay. What has the whole form of a
+kind and fails its check (a card number that Luhn's rule refutes) counts against its patterns and is
+never marked.
+
+Offsets are in code points, ends exclusive. Instances and patterns are known by 64-bit hashes of their
+whole strings. A null text is read as empty. Rows are kept apart even if they are equal or share a
+doc_id. Candidates never overlap seeds. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslens.llm.common import materialize, table
+from presslens.llm.common import materialize, table, workspace
 
-KINDS = ("email", "ip", "card", "phone")
-ROUNDS, TRUSTED, SUPPORT, SMOOTH = 3, 0.8, 5, 1.0
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE, SECRET = 4, 4
+ROUNDS, TRUSTED, SUPPORT, SMOOTH = 12, 0.8, 5, 1.0
+#: Kinds of mentions that are no seeds: open ones, and those that a check has refuted.
+OPEN, REFUTED = -1, -2
+SECRET_LENGTH = 20
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -32,10 +44,13 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-CANDIDATE = re.compile(r"[^\s\"'<>|,;]*[0-9@][^\s\"'<>|,;]*")
+QUOTED = re.compile(r"""["'`]([A-Za-z0-9+/_=.-]{20,})["'`]""")
+TOKEN = re.compile(r"""[^\s"'`<>|,;=]+|=""")
+CANDIDATE = re.compile(r"""[0-9]+(?:[ ./-][0-9]+)+(?![^\s"'`<>|,;])|[^\s"'`<>|,;]+""")
 MARKED = re.compile(r"[0-9@]")
 DIGITS = re.compile(r"[0-9]")
-WORD_BEFORE = re.compile(r"\S+")
+LETTERS = re.compile(r"[^\W\d_]")
+RUNS = re.compile(r"(.)\1+")
 LOCAL_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
 
@@ -79,43 +94,85 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def words_around(text: str, start: int, end: int) -> tuple[str, str, str]:
-    """The two words before a span and the one after, lower-cased, digits as 9; words of over 40 characters count by their near end."""
-    before = WORD_BEFORE.findall(text[max(0, start - 82) : start])[-2:]
-    after = WORD_BEFORE.findall(text[end : end + 41])[:1]
-    clean = lambda w: DIGITS.sub("9", w.lower())
-    b = [clean(w)[-40:] for w in before]
-    return (b[-2] if len(b) > 1 else "^"), (b[-1] if b else "^"), (clean(after[0])[:40] if after else "$")
-
-
-def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str, str]]:
-    """(kind or -1, start, end, instance, pattern before, pattern around) of seeds and candidates."""
-    out = [(k, a, b, text[a:b].lower(), *patterns(text, a, b)) for k, a, b in base]
-    if not MARKED.search(text):
-        return out
-    taken = sorted((a, b) for _, a, b in base)
-    i = 0
-    for m in CANDIDATE.finditer(text):
-        word = m.group()
-        a = m.start() + len(word) - len(word.lstrip("([{=:.!?*#$%&"))
-        b = m.end() - len(word) + len(word.rstrip(")]}=:.!?*#$%&"))
-        while i < len(taken) and taken[i][1] <= a:
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Quoted strings behind an equals sign or a colon that mix letters with at least four digits."""
+    for m in QUOTED.finditer(text):
+        said = m.group(1)
+        if len(said) >= SECRET_LENGTH and len(DIGITS.findall(said)) >= 4 and LETTERS.search(said):
+            at = m.start()
+            while at and text[at - 1] in " \t":
+                at -= 1
+            if at and text[at - 1] in "=:":
+                yield m.start(1), m.end(1)
+
+
+def refuted(word: str) -> bool:
+    """Whether a token has the whole form of a kind; as it is no seed, the kind's check has failed."""
+    digits = sum(c in "0123456789" for c in word)
+    return bool(IP.fullmatch(word) or PHONE.fullmatch(word) or (CARD.fullmatch(word) and 16 <= digits <= 19))
+
+
+def form(word: str) -> str:
+    """Digits as 9 and letters as a, runs of them cut to one, and how many characters there are, in powers of two."""
+    return f"{RUNS.sub(lambda m: m.group(1) + '+', LETTERS.sub('a', DIGITS.sub('9', word)))} {len(word).bit_length()}"
+
+
+def contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str, str]]:
+    """The two tokens before each span and the one after it, lower-cased, digits as 9. ``spans`` come by start; the text is read once."""
+    before, after = [("^", "^")] * len(spans), ["$"] * len(spans)
+    by_end = sorted(range(len(spans)), key=lambda i: spans[i][1])
+    i = j = 0
+    two = one = None
+    clean = lambda at: DIGITS.sub("9", text[at[0] : at[1]].lower()) if at else "^"
+    for m in TOKEN.finditer(text):
+        start, end = m.span()
+        while i < len(spans) and spans[i][0] < end:
+            cut = (max(start, spans[i - 1][1] if i else 0), spans[i][0])  # what the same token has before the span, back to the one before it
+            before[i] = (clean(one), clean(cut)) if cut[0] < cut[1] else (clean(two), clean(one))
             i += 1
-        if a < b and not any(x < b and a < y for x, y in taken[i : i + 4]):
-            out.append((-1, a, b, text[a:b].lower(), *patterns(text, a, b)))
-    return out
-
-
-def patterns(text: str, start: int, end: int) -> tuple[str, str]:
-    two, one, after = words_around(text, start, end)
-    return f"B {two} {one}", f"A {one} {after}"
+        while j < len(spans) and spans[by_end[j]][1] <= start:
+            after[by_end[j]] = clean((start, end))
+            j += 1
+        if i == j == len(spans):
+            break
+        two, one = one, (start, end)
+    for k in range(i, len(spans)):
+        before[k] = (clean(two), clean(one))
+    return [(*b, a) for b, a in zip(before, after, strict=True)]
+
+
+def patterns(word: str, two: str, one: str, after: str) -> tuple[str, ...]:
+    return f"B {two} {one}", f"A {one} {after}", f"S {two} {after}", f"F {one} {form(word)}"
+
+
+def mentions(text: str, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, tuple[str, ...]]]:
+    """(kind, start, end, instance, patterns) of seeds and candidates, by start."""
+    found = sorted((a, b, k) for k, a, b in seeds)
+    if MARKED.search(text):
+        taken, i, more = list(found), 0, []
+        for m in CANDIDATE.finditer(text):
+            word = m.group()
+            if not MARKED.search(word):
+                continue
+            a = m.start() + len(word) - len(word.lstrip("([{=:.!?*#$%&"))
+            b = m.end() - len(word) + len(word.rstrip(")]}=:.!?*#$%&"))
+            if (cut := text.rfind("=", a, b)) >= 0:  # name=value
+                a = cut + 1
+            while i < len(taken) and taken[i][1] <= a:
+                i += 1
+            if a < b and MARKED.search(text, a, b) and not any(x < b and a < y for x, y, _ in taken[i : i + 5]):
+                more.append((a, b, REFUTED if refuted(text[a:b]) else OPEN))
+        found = sorted(found + more)
+    around = contexts(text, [(a, b) for a, b, _ in found]) if found else []
+    return [(k, a, b, text[a:b].lower(), patterns(text[a:b], *c)) for (a, b, k), c in zip(found, around, strict=True)]
 
 
 def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per row, without its text: the key, its base spans and its mentions."""
+    """One row per row, without its text: the key, its seeds' spans (base ones first) and its mentions."""
     kind = docs.schema[key].dataType.simpleString()
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-    mention = pa.struct([*span, ("instance", pa.string()), ("before", pa.string()), ("around", pa.string())])
+    mention = pa.struct([*span, ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
+    code = lambda x: xxhash.xxh64_intdigest(x) - 2**63
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,32 +180,42 @@ def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
             for t in batch.column(1):
                 body = t.as_py() or ""
                 base = base_spans(body)
-                spans.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
-                said.append([{"kind": k, "start": a, "end": b, "instance": i[:200], "before": x, "around": y} for k, a, b, i, x, y in mentions(body, base)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(span)), pa.array(said, pa.list_(mention))], names=["key", "base", "mentions"])
+                held = sorted((a, b) for _, a, b in base)
+                seeds = base + [(SECRET, a, b) for a, b in secrets(body) if not any(x < b and a < y for x, y in held)]
+                spans.append([{"kind": k, "start": a, "end": b} for k, a, b in seeds])
+                said.append([{"kind": k, "start": a, "end": b, "instance": code(i), "patterns": list(map(code, p))} for k, a, b, i, p in mentions(body, seeds)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(span)), pa.array(said, pa.list_(mention))], names=["key", "seeds", "mentions"])
 
     fields = "kind:int,start:int,end:int"
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {kind}, base array<struct<{fields}>>, mentions array<struct<{fields},instance:string,before:string,around:string>>")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {kind}, seeds array<struct<{fields}>>, mentions array<struct<{fields},instance:bigint,patterns:array<bigint>>>")
 
 
 def trusted_patterns(occurrences: DataFrame) -> DataFrame:
-    """(pattern, kind) that are to be believed. ``occurrences``: pattern, instance, kind (-1: not a seed).
+    """(pattern, kind) that are to be believed. ``occurrences``: pattern, instance, kind (below 0: not a seed).
 
-    Each round weighs an edge by how sure its instance is of a kind: 1 for a seed, else the best score
-    among its patterns so far.
+    Each round weighs an edge by how sure its instance is of a kind: 1 for a seed, 0 for what a check has
+    refuted, else the best score among its patterns so far. Rounds end when the trusted patterns stay the same.
     """
-    edges = materialize(occurrences.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "edges")
-    totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
-    sure = edges.filter("kind >= 0").select("pattern", "instance", F.col("kind").alias("k"), "n", F.lit(1.0).alias("p"))
-    open_ = edges.filter("kind < 0").select("pattern", "instance", "n")
-    known = sure
-    for _ in range(ROUNDS):
-        mass = known.groupBy("pattern", "k").agg(F.sum(F.col("n") * F.col("p")).alias("mass"), F.sum(F.when(F.col("p") >= TRUSTED, 1).otherwise(0)).alias("support"))
-        scores = materialize(mass.join(totals, "pattern").select("pattern", "k", (F.col("mass") / (F.col("total") + SMOOTH)).alias("score"), "support"), "patterns")
-        best = scores.filter((F.col("score") >= TRUSTED) & (F.col("support") >= SUPPORT))
-        told = open_.join(best.select("pattern", "k", "score"), "pattern").groupBy("instance", "k").agg(F.max("score").alias("p"))
-        known = sure.unionByName(open_.join(told, "instance").select("pattern", "instance", "k", "n", "p"))
-    return best.groupBy("pattern").agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("kind"))
+    spark = occurrences.sparkSession
+    with workspace(spark) as work:
+        edges = work.keep(occurrences.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "edges")
+        totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
+        sure = edges.filter("kind >= 0").select("pattern", "instance", F.col("kind").alias("k"), "n", F.lit(1.0).alias("p"))
+        open_ = edges.filter(F.col("kind") == OPEN).select("pattern", "instance", "n")
+        known, mark = sure, None
+        for _ in range(ROUNDS):
+            mass = known.groupBy("pattern", "k").agg(F.sum(F.col("n") * F.col("p")).alias("mass"), F.sum(F.when(F.col("p") >= TRUSTED, 1).otherwise(0)).alias("support"))
+            scored = mass.join(totals, "pattern").select("pattern", "k", (F.col("mass") / (F.col("total") + SMOOTH)).alias("score"), "support")
+            best = work.keep(scored.filter((F.col("score") >= TRUSTED) & (F.col("support") >= SUPPORT)), "patterns")
+            now = tuple(best.agg(F.count("*"), F.bit_xor(F.xxhash64("pattern", "k"))).first())
+            if now == mark:
+                break
+            mark = now
+            told = open_.join(best.select("pattern", "k", "score"), "pattern").groupBy("instance", "k").agg(F.max("score").alias("p"))
+            known = work.keep(sure.unionByName(open_.join(told, "instance").select("pattern", "instance", "k", "n", "p")), "known")
+        else:
+            warnings.warn(f"patterns still changed after {ROUNDS} rounds", stacklevel=2)
+        return materialize(best.groupBy("pattern").agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("kind")), "trusted")
 
 
 def written(spans: Column) -> Column:
@@ -157,14 +224,15 @@ def written(spans: Column) -> Column:
 
 
 def extract(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, base, spans) of each row: arrays of (kind, start, end), ``spans`` with what the contexts added."""
+    """(key, base, spans) of each row: arrays of (kind, start, end), ``spans`` with secrets and what the contexts added."""
     rows = materialize(scanned(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "mentions")
-    each = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*").withColumn("pattern", F.explode(F.array("before", "around"))).drop("before", "around")
-    best = materialize(trusted_patterns(each.select("pattern", "instance", "kind")).withColumnRenamed("kind", "told"), "trusted")
-    more = each.filter("kind < 0").join(best, "pattern").groupBy("row", "start", "end").agg(F.min("told").alias("kind"))
+    each = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.kind", "m.start", "m.end", "m.instance", F.explode("m.patterns").alias("pattern"))
+    best = trusted_patterns(each.select("pattern", "instance", "kind")).withColumnRenamed("kind", "told")
+    more = each.filter(F.col("kind") == OPEN).join(best, "pattern").groupBy("row", "start", "end").agg(F.min("told").alias("kind"))
     added = more.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more")).withColumnRenamed("row", "r")
     joined = rows.join(added, F.col("row") == F.col("r"), "left")
-    return joined.select(F.col("key").alias(key), "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")).alias("spans"))
+    base = F.filter("seeds", lambda s: s["kind"] < BASE)
+    return joined.select(F.col("key").alias(key), base.alias("base"), F.when(F.col("more").isNull(), F.col("seeds")).otherwise(F.concat("seeds", "more")).alias("spans"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,4 +241,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def counted(kind: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
 
-    return found.select("doc_id", *map(counted, range(len(KINDS))), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    every = F.size("spans").cast("long")
+    return found.select("doc_id", *map(counted, range(BASE)), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), every.alias("n_spans"), (every - F.size("base")).alias("n_added"))

@@ -32,6 +32,9 @@ def test_base_spans_match_the_plain_patterns():
 def test_linear_on_long_runs():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" * 150_000, "a@" * 150_000, "@" * 300_000):
         assert isinstance(pii.base_spans(text), list)
+        assert isinstance(pii.mentions(text, pii.base_spans(text)), list)
+    for text in ("1 " * 100_000, "1." * 100_000 + "x", "a=1," * 50_000, "'a1b2c3d4" * 20_000, "a " * 100_000 + "1", "=" * 100_000 + "'1'", " " * 100_000 + "\"abcdefghij0123456789\""):
+        assert isinstance(pii.mentions(text, [(pii.SECRET, a, b) for a, b in pii.secrets(text)]), list)
 
 
 def sentences():
@@ -60,22 +63,24 @@ def test_contexts_find_unseen_identifiers(spark):
 
 def test_trusted_patterns_match_plain_rounds(spark):
     rng = random.Random(9)
-    rows = [(f"p{rng.randrange(6)}", f"i{rng.randrange(40)}", rng.choice([-1, -1, 0, 1])) for _ in range(400)] + [("sure", f"s{i}", 2) for i in range(30)] + [("sure", "new", -1), ("late", "new", -1)]
+    rows = [(f"p{rng.randrange(6)}", f"i{rng.randrange(40)}", rng.choice([-1, -1, -2, 0, 1])) for _ in range(400)] + [("sure", f"s{i}", 2) for i in range(30)] + [("sure", "new", -1), ("late", "new", -1)]
     got = {(r["pattern"], r["kind"]) for r in pii.trusted_patterns(spark.createDataFrame(rows, "pattern string, instance string, kind int")).collect()}
     total, p_of, best = {}, {}, {}
     for pattern, _, _ in rows:
         total[pattern] = total.get(pattern, 0) + 1
     for _ in range(pii.ROUNDS):
-        mass, support = {}, {}
+        mass, support, before = {}, {}, set(best)
         for pattern, instance, kind in rows:
             for k, p in [(kind, 1.0)] if kind >= 0 else [(k, p) for (i, k), p in p_of.items() if i == instance]:
                 mass[pattern, k] = mass.get((pattern, k), 0) + p
                 if p >= pii.TRUSTED:
                     support.setdefault((pattern, k), set()).add((instance, kind))
         best = {x: m / (total[x[0]] + pii.SMOOTH) for x, m in mass.items() if m / (total[x[0]] + pii.SMOOTH) >= pii.TRUSTED and len(support.get(x, ())) >= pii.SUPPORT}
+        if before == set(best):
+            break
         p_of = {}
         for pattern, instance, kind in rows:
-            if kind < 0:
+            if kind == pii.OPEN:
                 for (q, k), s in best.items():
                     if q == pattern:
                         p_of[instance, k] = max(p_of.get((instance, k), 0), s)
@@ -86,3 +91,55 @@ def test_nulls_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, None), (1, "a@b.cd"), (1, "a@b.cd"), (None, ""), (2, "x " * 60_000 + "a@b.cd")], "doc_id long, text string")
     assert sorted(len(r["spans"]) for r in pii.extract(docs).collect()) == [0, 0, 1, 1, 1]
     assert pii.extract(docs.limit(0)).count() == 0
+
+
+def test_contexts_against_plain_splitting():
+    rng = random.Random(11)
+    for _ in range(500):
+        text = "".join(rng.choice(["ab", "c", " ", "  ", "=", "12", ",", '"', "x9"]) for _ in range(rng.randrange(1, 14)))
+        spans = sorted({(m.start(), m.end()) for m in re.finditer("[0-9]+", text)})
+        want = []
+        for n, (a, b) in enumerate(spans):
+            begin = next((m.start() for m in pii.TOKEN.finditer(text) if m.start() < a < m.end()), a)  # of the token that the span is in
+            last = max(begin, spans[n - 1][1] if n else 0)
+            before, after = pii.TOKEN.findall(text[:begin]) + [text[last:a]] * (last < a), [m.group() for m in pii.TOKEN.finditer(text) if m.start() >= b]
+            clean = lambda w: re.sub("[0-9]", "9", w)
+            want.append((clean(before[-2]) if len(before) > 1 else "^", clean(before[-1]) if before else "^", clean(after[0]) if after else "$"))
+        assert pii.contexts(text, spans) == want, text
+
+
+def found(spark, rows):
+    texts = dict(rows)
+    out = {}
+    for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        out[r["doc_id"]] = sorted((pii.KINDS[s["kind"]], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"])
+    return out
+
+
+def test_secrets_and_what_their_contexts_show(spark):
+    rng = random.Random(3)
+    rows = [(i, f'some words w{"abcdefgh"[i % 8]} token = "{rng.getrandbits(160):040x}" and more') for i in range(20)]
+    rows += [(20, "other words token = s3cr3t-9 and more"), (21, 'a hash "' + "ab12" * 10 + '" in prose'), (22, "the value = 17 of it"), (23, "token = nothing here")]
+    got = found(spark, rows)
+    assert all(len(got[i]) == 1 and got[i][0][0] == "secret" for i in range(20))
+    assert got[20] == [("secret", "s3cr3t-9")] and not got[21] and not got[22] and not got[23]
+
+
+def test_groups_of_digits_are_marked_whole(spark):
+    rows = sentences() + [(99, "so please phone 020 7946 0958 today")]
+    assert found(spark, rows)[99] == [("phone", "020 7946 0958")]
+
+
+def test_what_a_check_refutes_is_left_alone(spark):
+    good = [(i, f"words {'abcdefgh'[i % 8]} card number {n} paid") for i, n in enumerate(["4111111111111111", "4012888888881881", "5500005555555559", "5555555555554444", "4222222222222220", "4917610000000000", "6011000990139424"] * 4)]
+    bad = [(100, "words card number 4111111111111112 paid"), (101, "words card number 300.1.2.3 paid"), (102, "words card number AB-12345 paid")]
+    got = found(spark, good + bad)
+    assert not got[100] and not got[101]
+
+
+def test_long_instances_and_words_are_told_apart(spark):
+    head = "9x" * 150
+    rows = [(i, f"{'w' * 300}{i % 2} serial no {head}{i} end") for i in range(6)]
+    marks = pii.mentions(rows[0][1], [])
+    other = pii.mentions(rows[1][1], [])
+    assert marks[1][3] != other[1][3] and len(marks[1][3]) > 200 and marks[0][3] == rows[0][1].split()[0]
