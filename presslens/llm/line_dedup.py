@@ -1,9 +1,9 @@
 """Line dedup by pairwise alignment: common blocks of lines go from the later of two documents.
 
 From each line on, and back from each line, the shortest run of lines that reaches ``BLOCK_WORDS``
-words leads its documents to the first one that holds it (the smallest doc_id): links grow with the
-lines, not with the square of a run's holders, rare lines and very common ones are treated alike, and
-every block of so many words is made of such runs. Each linked pair is aligned on arrays of line
+words leads its documents to the first one that holds it: links grow with the lines, not with the
+square of a run's holders, so rare lines and very common ones need no different treatment (rarity only
+bounds the pairs in the plain form of the method), and every block of so many words is made of such runs. Each linked pair is aligned on arrays of line
 hashes, patience-wise: the lines that both hold are put in the longest order that both share, runs of
 neighbours become blocks, and what is left is aligned again until nothing is. Blocks of
 ``BLOCK_WORDS`` words or more go from the later document. Where a shared line is repeated, so does
@@ -13,9 +13,9 @@ A line's first holder never loses it, so no line vanishes from the corpus. Lines
 between newlines; those without a word are no evidence, and go only from inside a block. Lines are
 compared by their 64-bit hash, runs of lines by one made of those.
 
-A null text stays null and holds no line. Documents are ordered by doc_id, those without one last;
-rows with the same doc_id are not compared with each other, and equal rows end up equal. A
-document that loses every line keeps its row, with an empty text. An empty table gives no rows.
+A null text stays null and holds no line. Documents are ordered by doc_id, those without one last, and
+by the hash of their text where that is the same; rows equal in both are one document and end up
+equal. A document that loses every line keeps its row, with an empty text. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presslens.llm.common import WORD, materialize, table
+from presslens.llm.common import WORD, materialize, table, workspace
 
 BLOCK_WORDS = 5
 LAST = 2**63 - 1
@@ -171,38 +171,40 @@ def run_hashes(h: np.ndarray, w: np.ndarray, ends: np.ndarray, least: int) -> tu
 
 
 def runs(lines: DataFrame, least: int) -> DataFrame:
-    """(at, h): hashes of the shortest runs of each document's lines that reach ``least`` words."""
+    """(at, th, h): hashes of the shortest runs of each document's lines that reach ``least`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, h, w = batch.column(0), batch.column(1), batch.column(2)
+            at, th, h, w = batch.columns
             sizes = h.value_lengths().to_numpy(zero_copy_only=False)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             first, found = run_hashes(h.flatten().to_numpy(zero_copy_only=False), w.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)[doc], least)
-            yield pa.RecordBatch.from_arrays([at.take(pa.array(doc[first])), pa.array(found)], names=["at", "h"])
+            holder = pa.array(doc[first])
+            yield pa.RecordBatch.from_arrays([at.take(holder), th.take(holder), pa.array(found)], names=["at", "th", "h"])
 
-    return lines.select("at", "h", "w").mapInArrow(run, "at long, h long")
+    return lines.select("at", "th", "h", "w").mapInArrow(run, "at long, th long, h long")
 
 
 def linked(lines: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
-    """(at, first): each document with every document that first holds one of its shortest long enough runs of lines."""
-    each = runs(lines, least)
-    firsts = materialize(each.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").select(F.col("h").alias("fh"), "first"), "run-firsts")
-    return each.join(firsts, F.col("h") == F.col("fh")).filter("first < at").select("at", "first").distinct()
+    """(at, th, f_at, f_th): each document with every document that first holds one of its shortest long enough runs of lines."""
+    each = runs(lines, least).select("h", F.struct("at", "th").alias("doc"))
+    firsts = materialize(each.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select(F.col("h").alias("fh"), "first"), "run-firsts")
+    return each.join(firsts, F.col("h") == F.col("fh")).filter("first < doc").select("doc.at", "doc.th", F.col("first.at").alias("f_at"), F.col("first.th").alias("f_th")).distinct()
 
 
 def deletions(lines: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
-    """(d_at, d_th, gone): positions of the lines that a document loses."""
+    """(d_at, d_th, gone): positions of the lines that a document loses. ``lines`` has one row per document."""
     pairs = linked(lines, least)
-    early = lines.select(F.col("at").alias("e_at"), F.col("h").alias("e_h"))
-    late = lines.select(F.col("at").alias("l_at"), "th", F.col("h").alias("l_h"), F.col("w").alias("l_w"), F.col("p").alias("l_p"))
-    both = pairs.join(early, F.col("first") == F.col("e_at")).join(late, F.col("at") == F.col("l_at")).select("l_at", "th", "e_h", "l_h", "l_w", "l_p")
+    early = lines.select(F.col("at").alias("e_at"), F.col("th").alias("e_th"), F.col("h").alias("e_h"))
+    late = lines.select(F.col("at").alias("l_at"), F.col("th").alias("l_th"), F.col("h").alias("l_h"), F.col("w").alias("l_w"), F.col("p").alias("l_p"))
+    met = pairs.join(early, (F.col("f_at") == F.col("e_at")) & (F.col("f_th") == F.col("e_th")))
+    both = met.join(late, (F.col("at") == F.col("l_at")) & (F.col("th") == F.col("l_th"))).select("l_at", "l_th", "e_h", "l_h", "l_w", "l_p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone = []
             for row in range(batch.num_rows):
-                e, h, w, p = (batch.column(c)[row].as_py() for c in (2, 3, 4, 5))
+                e, h, w, p = (batch.column(c)[row].values.to_pylist() for c in (2, 3, 4, 5))
                 gone.append([p[j] for j in doomed(e, h, w, least)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["d_at", "d_th", "gone"])
 
@@ -213,7 +215,10 @@ def deletions(lines: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with the texts that are left, and ``lines_gone``: positions (from 0) of the lines that went."""
     columns = [c for c in docs.columns if c != "lines_gone"]
-    gone = materialize(deletions(materialize(line_table(docs, key, text), "lines"), least), "lines-gone")
+    with workspace(docs.sparkSession) as work:
+        # rows that are equal in doc_id and text are one document
+        one = line_table(docs, key, text).groupBy("at", "th").agg(F.any_value(F.struct("h", "w", "p")).alias("lines")).select("at", "th", "lines.*")
+        gone = materialize(deletions(work.keep(one, "lines"), least), "lines-gone")
     row = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col(key), F.lit(LAST)).alias("at"), F.xxhash64(text).alias("th"))
     joined = row.join(gone, (F.col("at") == F.col("d_at")) & (F.col("th") == F.col("d_th")), "left")
     parts = joined.withColumn("parts", F.when(F.col("gone").isNotNull(), F.split(F.col(f"row.{text}"), "\n")))

@@ -123,3 +123,44 @@ def test_linked_runs_cover_every_common_run(spark):
         for _, e in rows[:i]:
             gone.update(brute_doomed([x for x in e.split("\n") if x], b, [len(x.split()) for x in b]))
         assert got[i] == "\n".join(x for k, x in enumerate(b) if k not in gone)
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark, monkeypatch):
+    """Each is compared with those before it, also where all share a null or repeated id, and pairs stay in proportion."""
+    shared = [f"shared line number {i} of some words" for i in range(4)]
+    rows = [(None, text(f"own words of row {i} here", shared[i % 4], f"end of row {i}")) for i in range(40)] + [(7, text("seven has words of its own", shared))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r["text"] for r in line_dedup.dedup_lines(docs).collect()]
+    assert len(got) == 41 and sum(x in t.split("\n") for t in got for x in shared) == 4  # seven keeps them
+    without = [r["text"] for r in line_dedup.dedup_lines(docs.filter("doc_id is null")).collect()]
+    assert sum(x in t.split("\n") for t in without for x in shared) == 4  # one row keeps each
+    lines = line_dedup.line_table(docs.filter("doc_id is null"))
+    assert line_dedup.linked(lines).count() <= 36
+
+
+def test_three_first_holders_and_two_that_hold_all(spark):
+    own = [f"three words {i}" for i in range(3)]
+    rows = [(i + 1, text(f"alpha {i} head", own[i], f"tail {i}")) for i in range(3)] + [(10, text("ten", own, "x")), (11, text("eleven", own, "y"))]
+    got = cleaned(spark, rows)
+    assert got[10] == rows[3][1] and got[11] == "eleven\ny"
+
+
+def test_whole_operator_against_all_pairs(spark):
+    """Every document loses what stands in runs of five words or more of any earlier one: on real documents, all pairs aligned."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    split = {i: [(k, x) for k, x in enumerate(t.split("\n")) if x.split()] for i, t in rows}
+    names = {}
+    for x in (x for v in split.values() for _, x in v):
+        names.setdefault(x, len(names))
+    coded = {i: [names[x] for _, x in v] for i, v in split.items()}
+    got = {r["doc_id"]: r["lines_gone"] for r in line_dedup.dedup_lines(docs).collect()}
+    holders = {}
+    for i, _ in rows:
+        early = sorted({j for h in coded[i] for j in holders.get(h, ())})
+        words, gone = [len(x.split()) for _, x in split[i]], set()
+        for j in early:
+            gone.update(line_dedup.doomed(coded[j], coded[i], words))
+        assert got[i] == sorted(split[i][k][0] for k in gone), i
+        for h in coded[i]:
+            holders.setdefault(h, set()).add(i)
