@@ -2,14 +2,15 @@
 
 A source that holds ``size`` of all ``total`` bytes and should hold ``weight`` of the mix is to be
 repeated ``weight * total / size`` times. Every document draws its own number of copies from the
-Poisson distribution of that mean: a uniform number made from a hash of seed and doc_id is looked
-up in the source's cumulative distribution. Rows are then dealt out by a hash of seed, doc_id and
-copy, and each partition is sorted by another part of it: one global shuffle.
+Poisson distribution of that mean: a uniform number made from a hash of seed, doc_id and text is
+looked up in the source's cumulative distribution. Rows are then dealt out and sorted by a hash of
+seed, doc_id, text and copy: one global shuffle.
 
 Means over ``PIECE`` are drawn as a sum of independent smaller ones, so that exp(-mean) stays far
-from underflow. A null source is a source of its own; rows with equal doc_id draw equal counts;
-a null doc_id draws like the text "null". A null or empty text counts one byte, so no source has
-size 0. An empty table gives no rows. Sources that ``weights`` leaves out get no share.
+from underflow. A null source is a source of its own. Rows that share a doc_id, or have none, draw by
+their texts; only rows equal in doc_id and text draw equal counts, and a row number spreads those over
+the partitions. A null or empty text counts one byte, so no source has size 0. An empty table gives no
+rows. Sources that ``weights`` leaves out get no share.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: i
     keep = [c for c in (keep or docs.columns) if c not in ("mix_copy", "mix_rate", "mix_order")]
     rates = source_rates(docs, weights, source, text)
     n_sources = rates.select("source").limit(BROADCAST_SOURCES + 1).count()
-    inner = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(source).alias("doc_source"), F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("k"))
+    inner = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(source).alias("doc_source"), F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.md5(text_or_empty(text))).alias("k"))
     if n_sources <= BROADCAST_SOURCES:
         rated = inner.join(F.broadcast(rates), F.col("doc_source").eqNullSafe(F.col("source")))
     else:  # a source may hold a third of all rows: its rate meets it in many tasks
@@ -78,8 +79,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: i
     # explode() leaves out a null, so a document that drew 0 goes
     copies = counted.select("row", "rate", "k", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1))).alias("copy"))
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), "k", F.col("copy").cast("string")))
-    placed = copies.withColumn("place", place)
-    dealt = placed.repartition(F.xxhash64("place")).sortWithinPartitions("place")
+    placed = copies.withColumn("place", place).withColumn("nth", F.monotonically_increasing_id())
+    dealt = placed.repartition(F.xxhash64("place", "nth")).sortWithinPartitions("place")
     return dealt.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("copy").alias("mix_copy"), F.col("rate").alias("mix_rate"), F.col("place").alias("mix_order"))
 
 
@@ -93,7 +94,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = f"""
 with recursive sized as (
-  select doc_id, source, text, octet_length(encode(coalesce(text, '')))::bigint + 1 as size, coalesce(cast(doc_id as varchar), 'null') as k from documents
+  select doc_id, source, text, octet_length(encode(coalesce(text, '')))::bigint + 1 as size, coalesce(cast(doc_id as varchar), 'null') || ':' || md5(coalesce(text, '')) as k from documents
 ), rates as (
   select source, 1.0::double / (count(*) over ()) * (sum(sum(size)) over ())::double / sum(size)::double as rate from sized group by source
 ), pieced as (

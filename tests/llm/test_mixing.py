@@ -11,7 +11,8 @@ def uniform(*parts):
     return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2**52
 
 
-def copies(key, rate):
+def copies(key, text, rate):
+    key = f"{'null' if key is None else key}:{hashlib.md5((text or '').encode()).hexdigest()}"
     pieces = max(math.ceil(rate / mixing.PIECE), 1)
     total, mean = 0, rate / pieces
     for i in range(1, pieces + 1):
@@ -35,8 +36,8 @@ def test_counts_are_the_inverted_poisson_distribution(spark):
         sizes[s] += len(t or "") + 1
     total = sum(sizes.values())
     seen = Counter(r["doc_id"] for r in got.collect())
-    for i, s, _ in rows:
-        assert seen[i] == copies("null" if i is None else i, total / 3 / sizes[s]), i
+    for i, s, t in rows:
+        assert seen[i] == copies(i, t, total / 3 / sizes[s]), i
     assert max(r["mix_rate"] for r in got.collect()) > mixing.PIECE  # one source is drawn in pieces
 
 
@@ -54,3 +55,17 @@ def test_salted_join_gives_the_same(spark, monkeypatch):
     plain = sorted(map(tuple, mixing.mix(docs).collect()))
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
     assert sorted(map(tuple, mixing.mix(docs).collect())) == plain
+
+
+def test_rows_without_an_id_draw_on_their_own_and_are_spread(spark):
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"), F.lit("a").alias("source"))
+    same = spark.range(2000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("one text").alias("text"), F.lit("b").alias("source"))
+    mixed = mixing.mix(docs.unionByName(same), {"a": 3.0, "b": 1.0}).withColumn("at", F.spark_partition_id())
+    drawn = Counter(Counter(r["text"] for r in mixed.filter("source = 'a'").collect()).values())
+    assert len(drawn) >= 3 and max(drawn.values()) < 2500
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    for source in ("a", "b"):
+        rows = [r["count"] for r in mixed.filter(F.col("source") == source).groupBy("at").count().collect()]
+        assert not rows or max(rows) < 0.6 * sum(rows)
+    spark.conf.set(setting, "true")
