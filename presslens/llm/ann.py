@@ -14,9 +14,11 @@ leaf; in there only the leaves that it visits are multiplied. A shelf that is on
 into blocks and one that many queries visit into groups; a task meets one block with one group, so
 neither ever meets whole, and gives out no more than k rows per query.
 
-Vectors that are null, zero, of another length than most, or hold a null or non-finite component take
-no part, nor do rows without id. Repeated rows count once. Rows that share an id are candidates
-each, none of them for a query of that id. Ties go to the smaller id. No queries: no rows.
+Vectors that are null, zero, of another length than most (they have no cosine with the others), or hold
+a null or non-finite component take no part, nor do rows without id. Equal rows count once. Rows that
+share an id and differ are candidates each and, where the id asks, queries each with ranks of its own
+(``query_vector`` tells them apart), but no candidates for each other. Ties go to the smaller id. No
+queries: no rows.
 """
 
 from __future__ import annotations
@@ -119,10 +121,11 @@ def usable(vector: Column, dim: int) -> Column:
 
 
 def nearest_in_block(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int, leaf: np.ndarray | None = None, visits: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, row id, cosine) of each query's k nearest of a block; with ``visits``, among rows whose ``leaf`` it visits."""
+    """(place of the query, place of the row, cosine) of each query's k nearest of a block; with ``visits``, among rows whose ``leaf`` it visits."""
+    back = np.arange(len(v))
     if leaf is not None:
-        order = np.argsort(leaf, kind="stable")
-        v_ids, v, leaf = v_ids[order], v[order], leaf[order]
+        back = np.argsort(leaf, kind="stable")
+        v_ids, v, leaf = v_ids[back], v[back], leaf[back]
         present, first = np.unique(leaf, return_index=True)
         ends = np.append(first[1:], len(leaf))
     qu, vu, out = unit(q), unit(v), []
@@ -147,24 +150,24 @@ def nearest_in_block(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.
         i, j, exact = i[order], j[order], exact[order]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
         keep = rank < k
-        out.append((q_ids[at + i[keep]], v_ids[j[keep]], exact[keep]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (q_ids[:0], v_ids[:0], np.empty(0))
+        out.append((at + i[keep], back[j[keep]], exact[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (back[:0], back[:0], np.empty(0))
 
 
 def top(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "query_vector").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = K, recall: float = RECALL) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row for which ``is_query`` (an expression of the key) holds."""
+    """(query_id, rank, vec_id, score, query_vector, a hash of the query's vector): the k nearest found of each row for which ``is_query`` (an expression of the key) holds."""
     spark = rows.sparkSession
     plain = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("asks")).filter("vec_id is not null")
     common = plain.filter("v is not null and size(v) > 0").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, query_vector long")
     if common is None:
         return empty
-    good = materialize(plain.filter(usable(F.col("v"), common["d"])).groupBy("vec_id").agg(F.min("v").alias("v"), F.bool_or("asks").alias("asks")), "vectors")
+    good = materialize(plain.filter(usable(F.col("v"), common["d"])).groupBy("vec_id", "v").agg(F.bool_or("asks").alias("asks")), "vectors")
     same = Window.partitionBy("v").orderBy("vec_id")
     distinct = good.select("vec_id", "v").withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).drop("n")
 
@@ -178,25 +181,25 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tree.value.assign(unit(matrix(b.column(1)))))], names=["vec_id", "v", "leaf"])
 
     index = materialize(distinct.mapInArrow(indexed, "vec_id long, v array<double>, leaf int"), "index")
-    queries = good.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    queries = good.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.xxhash64("v").alias("query_vector"))
 
     # calibration: exact neighbours of a few queries, and how early their leaves are visited
-    trial = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION).toArrow()
+    trial = queries.orderBy(F.xxhash64("query_id"), "query_id", "query_vector").limit(CALIBRATION).toArrow()
     if not trial.num_rows:
         return empty
-    trial_ids, trial_vectors = trial.column(0).to_numpy(), matrix(trial.column(1))
-    asked = spark.sparkContext.broadcast((trial_ids, trial_vectors))
+    trial_ids, trial_vectors, trial_hashes = trial.column(0).to_numpy(), matrix(trial.column(1)), trial.column(2).to_numpy()
+    asked = spark.sparkContext.broadcast((trial_ids, trial_vectors, trial_hashes))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaf_of = dict(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
-            q, v, s = nearest_in_block(*asked.value, b.column(0).to_numpy(), matrix(b.column(1)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s), pa.array([leaf_of[x] for x in v.tolist()], pa.int32())], names=["query_id", "vec_id", "score", "leaf"])
+            ids, leaf = b.column(0).to_numpy(), b.column(2).to_numpy()
+            i, j, score = nearest_in_block(*asked.value[:2], ids, matrix(b.column(1)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (asked.value[0][i], asked.value[2][i], ids[j], score, leaf[j])], names=["query_id", "query_vector", "vec_id", "score", "leaf"])
 
-    truth = top(index.mapInArrow(exact, "query_id long, vec_id long, score double, leaf int"), k).select("query_id", "leaf").collect()  # CALIBRATION * k rows
+    truth = top(index.mapInArrow(exact, "query_id long, query_vector long, vec_id long, score double, leaf int"), k).select("query_vector", "leaf").collect()  # CALIBRATION * k rows
     n_leaves = len(tree.value.leaf_of)
-    visit_of = {int(i): {leaf: n for n, leaf in enumerate(tree.value.leaves(q, n_leaves))} for i, q in zip(trial_ids, unit(trial_vectors), strict=True)}
-    needed = sorted(visit_of[r["query_id"]][r["leaf"]] + 1 for r in truth)
+    visit_of = {int(h): {leaf: n for n, leaf in enumerate(tree.value.leaves(q, n_leaves))} for h, q in zip(trial_hashes, unit(trial_vectors), strict=True)}
+    needed = sorted(visit_of[r["query_vector"]][r["leaf"]] + 1 for r in truth)
     visits = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else n_leaves
 
     # neighbouring leaves go on one shelf until it holds BLOCK rows; all that is collected has a row per leaf or shelf
@@ -220,9 +223,9 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
                     shelf.append(there[own[0]])
                     leaves.append(seen[own])
             part = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shelf, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "q", "shelf", "leaves"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shelf, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "q", "query_vector", "shelf", "leaves"])
 
-    asks = materialize(queries.mapInArrow(visited, "query_id long, q array<double>, shelf int, leaves array<int>"), "visits")
+    asks = materialize(queries.mapInArrow(visited, "query_id long, q array<double>, query_vector long, shelf int, leaves array<int>"), "visits")
     loads = {r["shelf"]: r["n"] for r in asks.groupBy("shelf").agg(F.count("*").alias("n")).collect()}
     grid = F.broadcast(spark.createDataFrame([(i, max(1, -(-n // BLOCK)), max(1, -(-loads.get(i, 0) // GROUP))) for i, n in enumerate(rows_on)], "shelf int, blocks int, groups int"))
     place = F.broadcast(spark.createDataFrame([(leaf, int(x)) for leaf, x in enumerate(shelf_of)], "leaf int, shelf int"))
@@ -230,19 +233,19 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     def spread(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    part = index.join(place, "leaf").join(grid, "shelf").select("shelf", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), spread("groups").alias("grp"), "leaf", "vec_id", "v")
-    ask = asks.join(grid, "shelf").select("shelf", spread("blocks").alias("block"), F.pmod(F.xxhash64("query_id"), "groups").cast("int").alias("grp"), "query_id", "q", "leaves")
+    part = index.join(place, "leaf").join(grid, "shelf").select("shelf", F.pmod(F.xxhash64("vec_id", "v"), "blocks").cast("int").alias("block"), spread("groups").alias("grp"), "leaf", "vec_id", "v")
+    ask = asks.join(grid, "shelf").select("shelf", spread("blocks").alias("block"), F.pmod(F.xxhash64("query_id", "query_vector"), "groups").cast("int").alias("grp"), "query_id", "query_vector", "q", "leaves")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, hashes, rows = right["query_id"].to_numpy(), right["query_vector"].to_numpy(), left["vec_id"].to_numpy()
+        i, j, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         if left.num_rows and right.num_rows:
-            q, v, s = nearest_in_block(right["query_id"].to_numpy(), matrix(right["q"]), left["vec_id"].to_numpy(), matrix(left["v"]), k, left["leaf"].to_numpy(), right["leaves"].to_pylist())
-        else:
-            q, v, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        return pa.table({"query_id": q, "vec_id": v, "score": s})
+            i, j, score = nearest_in_block(ids, matrix(right["q"]), rows, matrix(left["v"]), k, left["leaf"].to_numpy(), right["leaves"].to_pylist())
+        return pa.table({"query_id": ids[i], "query_vector": hashes[i], "vec_id": rows[j], "score": score})
 
     by = ["shelf", "block", "grp"]
-    found = part.groupBy(*by).cogroup(ask.groupBy(*by)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    return top(found, k).select("query_id", "rank", "vec_id", "score")
+    found = part.groupBy(*by).cogroup(ask.groupBy(*by)).applyInArrow(meet, "query_id long, query_vector long, vec_id long, score double")
+    return top(found, k).select("query_id", "rank", "vec_id", "score", "query_vector")
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,12 @@ A turn becomes ``<|role|>``, a newline, its text, ``</s>`` and a newline. Inside
 backslash is doubled and a control string gets one after its first character, so that no control
 string is left there and reading back undoes exactly that.
 
-Turns are dealt by conversation and by hundreds of turns, so a conversation with a third of all turns
-is formatted in many tasks, and each of its parts is a row. In a task, a batch of turns is put
-together in numpy: lengths of all segments, their cumulative offsets, and one gather of bytes from
-templates, roles and texts into one buffer, which becomes the Arrow column. The loss mask is a list of
-(start, end) in code points of that part, one span for each assistant text.
+Turns are dealt by ranges of conversation, turn, role and the first characters of the text, so a
+conversation with a third of all turns is formatted in many tasks, whatever its turns are numbered,
+and each of its parts is a row. In a task, a batch of turns is put together in numpy: lengths of all
+segments, their cumulative offsets, and a gather of bytes from templates, roles and texts into one
+preallocated buffer, ``SLICE`` bytes at a time, which becomes the Arrow column. The loss mask is a list
+of (start, end) in code points of that part, one span for each assistant text.
 
 Null texts and roles are read as empty. Turns are ordered by turn (null first), then role and text;
 equal rows all count. Rows with a null conv_id make up one conversation. An empty table gives no rows.
@@ -30,8 +31,8 @@ from presslens.llm.common import table
 
 OPEN, CLOSE, STOP = "<|", "|>\n", "</s>\n"
 CONTROLS = ("<|", "|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-#: Turns of a conversation that are dealt together, and the most that one output row holds.
-PART, PIECE = 256, 1024
+#: Turns that one output row holds at most, bytes that are gathered at a time, and characters of a text that its range goes by.
+PIECE, SLICE, LEADING = 1024, 1 << 20, 32
 
 
 def escaped(column: pa.Array) -> pa.Array:
@@ -64,7 +65,12 @@ def assemble(roles: pa.Array, texts: pa.Array, bounds: np.ndarray) -> tuple[pa.A
     begin = np.column_stack([np.full(n, 0), base_role + role_at[:-1], np.full(n, a), base_text + text_at[:-1], np.full(n, a + b)]).ravel()
     length = np.column_stack([np.full(n, a), np.diff(role_at), np.full(n, b), np.diff(text_at), np.full(n, c)]).ravel()
     put = np.concatenate([[0], np.cumsum(length)])
-    out = source[np.arange(put[-1]) + np.repeat(begin - put[:-1], length)]
+    out, shift = np.empty(put[-1], np.uint8), begin - put[:-1]
+    for low in range(0, len(out), SLICE):  # the indices of a slice, not of everything
+        high = min(low + SLICE, len(out))
+        x, y = np.searchsorted(put, low, side="right") - 1, np.searchsorted(put, high)
+        there = np.minimum(put[x + 1 : y + 1], high) - np.maximum(put[x:y], low)
+        out[low:high] = source[np.arange(low, high) + np.repeat(shift[x:y], there)]
     offsets = put[bounds * 5].astype(np.int32)
     strings = pa.Array.from_buffers(pa.string(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(out))])
     # the same again in code points, for the spans
@@ -80,8 +86,9 @@ def assemble(roles: pa.Array, texts: pa.Array, bounds: np.ndarray) -> tuple[pa.A
 
 def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, part, piece, formatted, loss): the parts of each conversation, in order of part and piece."""
-    rows = turns.select("conv_id", F.coalesce(F.floor(F.col("turn") / PART), F.lit(-(2**62))).alias("part"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role", "text").drop("turn")
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, LEADING)).sortWithinPartitions("conv_id", "turn", "role", "text")
+    placed = dealt.select("conv_id", F.spark_partition_id().cast("long").alias("part"), "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last, piece = None, None, 0
@@ -110,7 +117,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([heads.column(0), heads.column(1), pa.array(pieces, pa.int32()), strings, pa.array(spans, kind)], names=["conv_id", "part", "piece", "formatted", "loss"])
 
-    return dealt.mapInArrow(run, "conv_id long, part long, piece int, formatted string, loss array<struct<start:int,end:int>>")
+    return placed.mapInArrow(run, "conv_id long, part long, piece int, formatted string, loss array<struct<start:int,end:int>>")
 
 
 def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -131,9 +138,27 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
 def read_back(formatted: DataFrame) -> DataFrame:
     """What the formatted parts say, by conversation: turns, digests of them and of the text under the loss mask.
 
-    A digest needs a conversation's parts in order, so they pass one task; it holds one part at a time.
+    Parts are read in many tasks. A digest needs a conversation's texts in order, so what was read of it
+    passes one task, which only hashes, a part at a time.
     """
-    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part", "piece")
+    names = ["conv_id", "part", "piece", "n_turns", "said", "loss", "loss_chars", "chars"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, size = [], 0
+            for row in range(batch.num_rows):
+                conv, part, piece, text, loss = (c[row].as_py() for c in batch.columns)
+                turns = [f"{role}\n{said}\n" for role, said in parse(text)]
+                under = "".join(unescape(text[s["start"] : s["end"]]) for s in loss)
+                found.append((conv, part, piece, len(turns), "".join(turns).encode(), under.encode(), len(under), len(text)))
+                size += len(text)
+                if size > SLICE or row == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+                    found, size = [], 0
+
+    read = formatted.select("conv_id", "part", "piece", "formatted", "loss").mapInArrow(parsed, "conv_id long, part long, piece int, n_turns long, said binary, loss binary, loss_chars long, chars long")
+    dealt = read.repartition("conv_id").sortWithinPartitions("conv_id", "part", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: list = []
@@ -146,19 +171,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            for conv, text, loss in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if not open_ or open_[0] != conv:
+            for row in range(batch.num_rows):
+                conv, _, _, turns, said, loss, loss_chars, chars = (c[row] for c in batch.columns)
+                if not open_ or open_[0] != conv.as_py():
                     if open_:
                         done.append(open_)
-                    open_ = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said in parse(text):
-                    open_[1] += 1
-                    open_[2].update(f"{role}\n{said}\n".encode())
-                for span in loss:
-                    said = unescape(text[span["start"] : span["end"]])
-                    open_[3] += len(said)
-                    open_[4].update(said.encode())
-                open_[5] += len(text)
+                    open_ = [conv.as_py(), 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                open_[1] += turns.as_py()
+                open_[2].update(said.as_buffer())
+                open_[3] += loss_chars.as_py()
+                open_[4].update(loss.as_buffer())
+                open_[5] += chars.as_py()
             yield closed(done)
         if open_:
             yield closed([open_])

@@ -8,12 +8,14 @@ than a coin; so a lone vote decides, and learned accuracies decide where votes d
 the pattern table, whose size is bounded by the number of rules; the M-step is one aggregation.
 
 A null text is read as empty: no words, base_failed, not kept. Ties at ``KEEP_AT`` are kept.
-An empty table gives no rows. Repeated rows are judged alike, each on its own.
+An empty table gives no rows. Repeated rows are judged alike, each on its own. Windows of words are
+compared by their 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -139,6 +141,8 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = 12, start: float = 0.8,
         trust = new
         if moved < tolerance:
             break
+    else:
+        warnings.warn(f"accuracies still moved by {moved:.4f} after {rounds} rounds of expectation-maximisation", stacklevel=2)
     return trust
 
 

@@ -113,6 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & (remainder(key) != 0)).groupBy(F.col(key).alias("k")).agg(F.avg(label).alias("y"))
     chosen = materialize(known.orderBy(F.xxhash64("k"), "k").limit(most), "labelled")  # bounded by ``most``
     spec = docs.sparkSession.sparkContext.broadcast(idf)
+    kind = chosen.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), terms, pa.array([r[u] for r, u in zip(x, used, strict=True)], pa.list_(pa.float32()))], names=["k", "y", "terms", "weights"])
 
     met = docs.select(F.col(key).alias("d"), F.col(text).cast("binary").alias("t")).join(F.broadcast(chosen), F.col("d") == F.col("k")).select("k", "y", "t")
-    rows = met.mapInArrow(run, "k long, y double, terms array<short>, weights array<float>").orderBy(F.xxhash64("k"), "k", "weights").limit(most).collect()
+    rows = met.mapInArrow(run, f"k {kind}, y double, terms array<short>, weights array<float>").orderBy(F.xxhash64("k"), "k", "weights").limit(most).collect()
     x = np.zeros((len(rows), TERMS), np.float32)
     for i, r in enumerate(rows):
         x[i, r["terms"]] = r["weights"]

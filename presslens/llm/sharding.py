@@ -4,12 +4,13 @@ The ring has ``2**ring_bits`` cells; a row's hash names its cell, and each shard
 that end in one of its virtual nodes. Only row counts by cell go to the driver (a fixed number,
 whatever the input), where they are walked around the ring: a shard takes what hashes to it until
 it is full, and what is left continues clockwise to the next virtual node whose shard has room.
-Rows then find their place by their rank inside their own cell, so no task ever sees more than
-a cell's share.
+Rows then find their place by their rank inside their own cell.
 
-Repeated or null keys share a position; among rows that tie in every ordering column, which one
-gets which slot is arbitrary, and the set of returned rows is the same either way. An empty table
-gives no rows. Only the named columns are read, so clashing names elsewhere do no harm.
+Repeated or null keys share a position on the ring, and one of them may hold a third of all rows. So a
+cell's rows are ranked in ``SALTS`` parts, by a hash of what they carry, each part after the one before
+it; rows that are equal in all that is returned are counted before they are shuffled, ranked as one,
+and dealt out again in bits of ``DEALT``. Which of them gets which slot makes no difference. An empty
+table gives no rows. Only the named columns are read, so clashing names elsewhere do no harm.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from presslens.llm.common import table, text_or_empty
+from presslens.llm.common import materialize, table, text_or_empty
 
 N_SHARDS = 16
 VNODES = 64
 RING_BITS = 14
+SALTS, DEALT = 8, 10_000
 
 
 def ring_of(n_shards: int, vnodes: int, ring_bits: int) -> list[tuple[int, int]]:
@@ -86,19 +88,29 @@ def shard_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", n_shard
     """
     spark, body = docs.sparkSession, text_or_empty(text)
     point = F.xxhash64(F.col(key))
-    cell = F.shiftrightunsigned(point, 64 - ring_bits).cast("int")
-    counts = {r["cell"]: r["n"] for r in docs.select(cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    runs = place(counts, ring_of(n_shards, vnodes, ring_bits), capacities(sum(counts.values()), n_shards, slack))
-    # One row per cell, and one more for each place where a shard is full: bounded by the ring, not by the input.
-    plan = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "cell int, first long, end long, shard int, base long")
     rows = docs.select(
-        F.col(key).alias("k"), point.alias("point"), cell.alias("cell"),
+        F.col(key).alias("k"), point.alias("point"), F.shiftrightunsigned(point, 64 - ring_bits).cast("int").alias("cell"),
         (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
     )
-    order = Window.partitionBy("cell").orderBy("point", "k", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(order).cast("long") - 1)
-    held = (ranked["cell"] == plan["cell"]) & (ranked["rank"] >= plan["first"]) & (ranked["rank"] < plan["end"])
-    return ranked.join(F.broadcast(plan), held).select(
+    salt = F.pmod(F.xxhash64("k", "text_crc32", "size"), F.lit(SALTS)).cast("int")
+    packs = materialize(rows.groupBy("k", "point", "cell", "size", "text_crc32").agg(F.count("*").alias("n")).withColumn("salt", salt), "sharding")  # narrow
+    parts = packs.groupBy("cell", "salt").agg(F.sum("n").alias("n"))
+    counts: dict[int, int] = defaultdict(int)
+    starts = []
+    for r in parts.orderBy("cell", "salt").collect():  # bounded by the ring
+        starts.append((r["cell"], r["salt"], counts[r["cell"]]))
+        counts[r["cell"]] += r["n"]
+    runs = place(counts, ring_of(n_shards, vnodes, ring_bits), capacities(sum(counts.values()), n_shards, slack))
+    # One row per cell, and one more for each place where a shard is full: bounded by the ring, not by the input.
+    plan = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "cell int, first long, end long, shard int, base long")
+    begin = spark.createDataFrame(starts, "cell int, salt int, begin long")
+    before = Window.partitionBy("cell", "salt").orderBy("point", "k", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = packs.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(begin), ["cell", "salt"])
+    bits = ranked.withColumn("bit", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / DEALT)))).repartition(F.xxhash64("point", "text_crc32", "bit"))
+    each = F.explode(F.sequence(F.col("bit") * DEALT, F.least(F.col("n"), (F.col("bit") + 1) * DEALT) - 1))
+    single = bits.withColumn("nth", each).withColumn("rank", F.col("begin") + F.col("before") + F.col("nth"))
+    held = (single["cell"] == plan["cell"]) & (single["rank"] >= plan["first"]) & (single["rank"] < plan["end"])
+    return single.join(F.broadcast(plan), held).select(
         F.col("k").alias(key), "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("first")).alias("slot"),
     )
 

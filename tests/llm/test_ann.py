@@ -60,3 +60,36 @@ def test_blocks_of_a_hot_leaf_lose_nothing(spark, monkeypatch):
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
     want = exact(rows, set(range(0, 400, 20)))
     assert sum([i for _, i in sorted(got[q])] == want[q] for q in want) >= 0.9 * len(want)
+
+
+def test_rows_that_share_an_id_are_all_candidates(spark):
+    v = lambda x, y: [x, y] + [0.0] * 6
+    rows = [(0, v(1.0, 0.0)), (7, v(1.0, 0.1)), (7, v(0.1, 1.0)), (7, v(0.1, 1.0)), (20, v(0.0, 1.0)), (20, v(1.0, 1.0))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault((r["query_id"], r["query_vector"]), []).append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    cosine = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+    want = []
+    for q, qv in (rows[0], rows[4], rows[5]):
+        near = sorted({(-cosine(qv, w), i, tuple(w)) for i, w in rows if i != q})
+        want.append((q, [(n + 1, i, -s) for n, (s, i, _) in enumerate(near[:5])]))
+    assert sorted((q, sorted(x)) for (q, _), x in got.items()) == sorted(want)
+    assert (1, 7, cosine(rows[0][1], rows[1][1])) in got[next(k for k in got if k[0] == 0)]
+
+
+def test_recall_on_the_given_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    asks = F.pmod(F.col("vec_id"), F.lit(50)) == 0
+    got = {}
+    for r in ann.search(df, asks).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    table = df.select("vec_id", "embedding").toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.array(table["embedding"].tolist(), float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(got[ids[q]] & set(ids[np.argsort(-s)[:5]].tolist()))
+    assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()

@@ -32,15 +32,31 @@ def test_round_trip_of_control_strings(spark):
 
 
 def test_long_conversations_come_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(chat, "PART", 10)
+    monkeypatch.setattr(chat, "SLICE", 7)
     rows = [(1, i, "assistant" if i % 2 else "user", f"text {i}") for i in range(95)] + [(2, 3, "user", "same")] * 30 + [(3, None, None, None), (3, 0, "assistant", "x"), (None, 0, "assistant", "y")]
     formatted, got = read(spark, rows)
-    assert formatted.filter("conv_id = 1").count() == 10
     assert got[1]["turns_sha256"] == expected([(r[2], r[3]) for r in rows[:95]])[1]
     assert got[2]["n_turns"] == 30 and got[3]["n_turns"] == 2 and got[None]["loss_chars"] == 1
     assert chat.read_back(chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_turns_without_a_number_are_dealt_over_many_tasks(spark):
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    rows = [(5, None if i % 2 else 1, "assistant" if i % 3 else "user", f"{i:05d} of equal turns") for i in range(4000)]
+    formatted, got = read(spark, rows)
+    parts = {r["part"]: r["n"] for r in formatted.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    ordered = sorted(((r[1] is not None, r[1] or 0, r[2], r[3]) for r in rows))
+    assert got[5]["turns_sha256"] == expected([(r[2], r[3]) for r in ordered])[1] and len(parts) >= 3
+    spark.conf.set(setting, "true")
+
+
+def test_a_very_long_text_is_whole(spark):
+    long = "é<|x|>\\ and so on " * 200_000
+    _, got = read(spark, [(1, 0, "user", "short"), (1, 1, "assistant", long), (1, 2, "user", "last")])
+    assert tuple(got[1])[1:5] == expected([("user", "short"), ("assistant", long), ("user", "last")])
+
+
 def test_pieces_bound_a_part(spark, monkeypatch):
     monkeypatch.setattr(chat, "PIECE", 4)
     formatted, got = read(spark, [(1, 0, "user", str(i)) for i in range(11)])

@@ -9,7 +9,7 @@ def brute(rows, n_shards, vnodes, bits):
     """Row by row: first everyone's home as long as there is room, then the rest clockwise."""
     ring = sharding.ring_of(n_shards, vnodes, bits)
     caps = sharding.capacities(len(rows), n_shards)
-    ordered = sorted(rows, key=lambda r: (r["cell"], r["point"], r["k"]))
+    ordered = sorted(rows, key=lambda r: (r["cell"], r["salt"], r["point"], r["k"]))
     home = lambda c: next((i for i, (cell, _) in enumerate(ring) if cell >= c), 0)
     out, left = {}, []
     for r in ordered:
@@ -31,8 +31,8 @@ def brute(rows, n_shards, vnodes, bits):
 def test_matches_brute_force_and_slots_are_gapless(spark):
     docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("téxt "), F.col("id") % 7).alias("text"), F.lit(1).alias("shard"), F.lit("x").alias("cell"))
     got = sharding.shard_rows(docs, n_shards=7, vnodes=8, ring_bits=6).collect()
-    point = F.xxhash64("doc_id")
-    rows = [r.asDict() for r in docs.select(F.col("doc_id").alias("k"), point.alias("point"), F.shiftrightunsigned(point, 58).cast("int").alias("cell")).collect()]
+    point, salt = F.xxhash64("doc_id"), F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary")), F.lit(8).cast("long")), F.lit(sharding.SALTS))
+    rows = [r.asDict() for r in docs.select(F.col("doc_id").alias("k"), point.alias("point"), salt.alias("salt"), F.shiftrightunsigned(point, 58).cast("int").alias("cell")).collect()]
     assert {r["doc_id"]: r["shard"] for r in got} == brute(rows, 7, 8, 6)
     sizes = Counter(r["shard"] for r in got)
     assert max(sizes.values()) - min(sizes.values()) <= 1
@@ -41,6 +41,27 @@ def test_matches_brute_force_and_slots_are_gapless(spark):
     assert {r["size"] for r in got} == {8}
 
 
+def test_hot_keys_are_whole_and_spread(spark, monkeypatch):
+    """A null key with a third of the rows, and one row that is there a thousand times."""
+    monkeypatch.setattr(sharding, "DEALT", 50)
+    one = spark.range(2000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = one.unionByName(spark.range(1000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same").alias("text")))
+    got = sharding.shard_rows(docs, n_shards=4, ring_bits=6)
+    rows = got.collect()
+    assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter((r["doc_id"], len(r["text"]) + 1) for r in docs.collect())
+    for s in range(4):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(750))
+
+
+def test_movement_at_the_slack_of_the_query(spark):
+    """Without slack a new shard takes its share, and few rows move between the others."""
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    a = {r["doc_id"]: r["shard"] for r in sharding.shard_rows(docs, n_shards=16).collect()}
+    b = {r["doc_id"]: r["shard"] for r in sharding.shard_rows(docs, n_shards=17).collect()}
+    assert sum(b[k] == 16 for k in b) in (2352, 2353)
+    assert sum(a[k] != b[k] and b[k] != 16 for k in a) < 0.05 * len(a)
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, None), (None, "a"), (1, ""), (1, ""), (1, "é" * 3)], "doc_id long, text string")
     got = sharding.shard_rows(docs, n_shards=2).collect()
