@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,13 +115,39 @@ def _is(term: str):
     return lambda x: x == F.lit(term)
 
 
-def similar_articles(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, vec_id, score, rank): exact cosine of a few query vectors against all. ``queries`` are a user's, at most 100."""
-    asked = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q")).limit(100)
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    met = vectors.join(F.broadcast(asked), vectors[key] != F.col("query_id"))
-    scored = met.select("query_id", key, (dot(F.col("q"), F.col(vector)) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col(vector), F.col(vector)))).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).filter(F.col("rank") <= k)
+def similar_articles(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", asked: int = 1024, held: int = 8192) -> DataFrame:
+    """(query_id, vec_id, score, rank): exact cosines of query vectors against all rows but their own, in blocks.
+
+    Blocks of ``asked`` queries meet blocks of ``held`` rows, and each meeting gives out k rows a query.
+    Null, empty and zero vectors, and those of another length than the query, have no cosine.
+    """
+    plain = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and size(v) > 0 and not exists(v, x -> x is null) and exists(v, x -> x <> 0)")
+    rows, asking = plain(vectors), plain(queries)
+    n_rows, n_asking = (max(1, -(-df.count() // size)) for df, size in ((rows, held), (asking, asked)))
+    dealt = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        if left.num_rows and right.num_rows:
+            ids, all_v = left["id"].to_numpy(), np.array(left["v"].to_pylist(), object)
+            lengths = np.array([len(v) for v in all_v])
+            by_length = {n: (ids[lengths == n], np.array(all_v[lengths == n].tolist(), float).reshape(-1, n)) for n in np.unique(lengths)}
+            for query, q in zip(right["id"].to_pylist(), right["v"].to_pylist(), strict=True):
+                if len(q) not in by_length:
+                    continue
+                there, v = by_length[len(q)]
+                w = np.array(q)
+                score = (v * w).sum(axis=1) / np.sqrt((v * v).sum(axis=1) * (w * w).sum())
+                score[there == query] = -np.inf
+                best = np.lexsort((there, -score))[:k]
+                best = best[score[best] > -np.inf]
+                for column, x in zip(found, (np.full(len(best), query), there[best], score[best]), strict=True):
+                    column.append(x)
+        return pa.table({name: np.concatenate(x) for name, x in zip(("query_id", "other_id", "score"), found, strict=True)})
+
+    pairs = dealt(rows, "part", n_rows, "block", n_asking).groupBy("part", "block").cogroup(dealt(asking, "block", n_asking, "part", n_rows).groupBy("part", "block")).applyInArrow(meet, "query_id long, other_id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "other_id")
+    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).withColumnRenamed("other_id", key)
 
 
 def contributions(events: DataFrame, cell: Sequence[str], weight: str) -> DataFrame:

@@ -34,10 +34,10 @@ def check_none(df: DataFrame, bad: Column, check: str, most: float = 0) -> DataF
     return verdict(df, check, F.count_if(F.coalesce(bad, F.lit(False))), most)
 
 
-def check_complete(df: DataFrame, day: str) -> DataFrame:
-    """Days between the first and the last that have no row."""
-    days = df.groupBy(F.col(day).alias("d")).agg(F.count("*").alias("n"))
-    return verdict(days, "missing_dates", F.coalesce(F.date_diff(F.max("d"), F.min("d")) + 1 - F.count("*"), F.lit(0)), 0)
+def check_complete(df: DataFrame, day: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Days between the first and the last, of each group, that have no row."""
+    groups = df.groupBy(*keys).agg((F.date_diff(F.max(day), F.min(day)) + 1 - F.count_distinct(day)).alias("missing"))
+    return verdict(groups, "missing_dates", F.coalesce(F.sum("missing"), F.lit(0)), 0)
 
 
 def check_groups_have(df: DataFrame, keys: Sequence[str], value: str, check: str) -> DataFrame:

@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presslens.config import ALLOWED_MODELS, DEFAULT, MOVES, SCORE_WEIGHTS, Config
+from presslens.operators.ranges import running_before
+
+
+def folds_of(panel: DataFrame, train_months: int, months: int = 6, day: str = "date") -> DataFrame:
+    """Folds over the dates that ``panel`` has: the first test begins ``train_months`` after its first date."""
+    ends = panel.agg(F.min(day).alias("lo"), F.max(day).alias("hi"), F.add_months(F.min(day), train_months).alias("test")).first()  # one row
+    if ends["lo"] is None:
+        return walk_forward_folds(panel.sparkSession, "1970-01-01", "1970-01-01", "1970-01-01", months)
+    return walk_forward_folds(panel.sparkSession, str(ends["lo"]), str(ends["test"]), str(ends["hi"]), months)
 
 
 def walk_forward_folds(spark: SparkSession, start: str, test_start: str, end: str, months: int = 6) -> DataFrame:
@@ -51,12 +60,11 @@ def ic(pred: DataFrame, day: str = "date", y: str = "y", p: str = "p") -> DataFr
 
 
 def metrics_cls(pred: DataFrame, y: str = "y", p: str = "p", clip: float = 1e-9) -> DataFrame:
-    """Log loss, and AUC from rank sums. Ranks come from counts by distinct score, so no score's rows meet in one task."""
+    """Log loss, and AUC from rank sums. Ranks come from counts by distinct score, added up over ranges of scores."""
     q = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), F.col(p)))
     loss = pred.agg(F.avg(-F.when(F.col(y) == 1, F.log(q)).otherwise(F.log(1 - q))).alias("log_loss"))
     counts = pred.groupBy(F.col(p).alias("s")).agg(F.sum(y).cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    below = counts.withColumn("below", F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = below.withColumn("rank", F.coalesce("below", F.lit(0.0)) + (F.col("n") + 1) / 2)
+    ranked = running_before(counts, ["s"], F.col("n"), "below").withColumn("rank", F.col("below") + (F.col("n") + 1) / 2)
     total = ranked.agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p1"), F.sum("n").alias("n"))
     auc = total.select(F.when((F.col("p1") > 0) & (F.col("p1") < F.col("n")), (F.col("r") - F.col("p1") * (F.col("p1") + 1) / 2) / (F.col("p1") * (F.col("n") - F.col("p1")))).alias("auc"))
     return loss.join(auc)
@@ -83,8 +91,8 @@ def placebo(panel: DataFrame, x: str, keys: Sequence[str], runs: int, seed: int,
     key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     groups = ["run_id", *within]
     mixed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("run_id").cast("string"), key))
-    placed = each.withColumn("n", F.row_number().over(Window.partitionBy(*groups).orderBy(*keys)))
-    drawn = each.withColumn("n", F.row_number().over(Window.partitionBy(*groups).orderBy(mixed, *keys))).select(*groups, "n", F.col(x).alias("x_placebo"))
+    placed = running_before(each, keys, F.lit(1), "n", groups)
+    drawn = running_before(each.withColumn("mixed", mixed), ["mixed", *keys], F.lit(1), "n", groups).select(*groups, "n", F.col(x).alias("x_placebo"))
     return placed.join(drawn, [*groups, "n"]).drop("n")
 
 
@@ -146,8 +154,10 @@ def prior_failures(failed: DataFrame, spec: DataFrame) -> DataFrame:
     return asked.join(known, ["feature", "target"]).filter("asked_id <> hypothesis_id")
 
 
-def compare(metrics: DataFrame, ids: Sequence[str], names: Sequence[str]) -> DataFrame:
-    return metrics.filter(F.col("run_id").isin(*ids)).groupBy("run_id").pivot("metric", list(names)).agg(F.max("value"))
+def compare(metrics: DataFrame, names: Sequence[str], ids: Sequence[str] | None = None) -> DataFrame:
+    """A row per run, all or those of ``ids``, with a column for each metric."""
+    chosen = metrics if ids is None else metrics.filter(F.col("run_id").isin(*ids))
+    return chosen.groupBy("run_id").pivot("metric", list(names)).agg(F.max("value"))
 
 
 def check_specs(specs: DataFrame, cfg: Config = DEFAULT, models: Sequence[str] = ALLOWED_MODELS) -> DataFrame:

@@ -109,9 +109,10 @@ def m11(s, d):
 
 
 # --- validation
-@query("v1_walk_forward_folds", "select i::int as fold_id, date '1992-01-01' as train_start, (date '1995-01-01' + to_months((6 * i)::int))::date as train_end, (date '1995-01-01' + to_months((6 * i)::int))::date as test_start, (date '1995-01-01' + to_months((6 * i + 6)::int))::date as test_end from range(0, 4) t(i)")
+@query("v1_walk_forward_folds", """with e as (select min(date)::date as lo, max(date)::date as hi, (min(date) + to_months(36))::date as test from target_daily)
+ select i::int as fold_id, lo as train_start, (test + to_months((6 * i)::int))::date as train_end, (test + to_months((6 * i)::int))::date as test_start, least((test + to_months((6 * i + 6)::int))::date, hi) as test_end from e, range(0, 200) t(i) where (test + to_months((6 * i)::int))::date < hi""")
 def v1(s, d):
-    return validation.walk_forward_folds(s, "1992-01-01", "1995-01-01", "1997-01-01", 6)
+    return validation.folds_of(view(s, d, "target_daily"), 36)
 
 
 PRED = """pred as (select entity_id, date, px / 1e5 as y, lag(px) over (partition by entity_id order by date) / 1e5 as p, avg(px) over (partition by entity_id) / 1e5 as train_mean from target_daily)"""
@@ -163,11 +164,10 @@ def v7(s, d):
     return rounded(models.panel_ols(df, "px", ["x", "n"], ["entity_id"]).table(df), "coef", "se", "t", "p", "ci_low", "ci_high")
 
 
-@query("v8_placebo", """with e as (select run_id, date, entity_id, px from target_daily, (select unnest(range(0, 3))::int as run_id) where entity_id in ('COUNTRY_1', 'COUNTRY_2')), a as (select *, row_number() over (partition by run_id order by entity_id, date) as n from e),
+@query("v8_placebo", """with e as (select run_id, date, entity_id, px from target_daily, (select unnest(range(0, 3))::int as run_id) ), a as (select *, row_number() over (partition by run_id order by entity_id, date) as n from e),
  b as (select run_id, px as x_placebo, row_number() over (partition by run_id order by md5(concat_ws('|', '7', run_id::varchar, concat_ws('|', entity_id, date::varchar))), entity_id, date) as n from e) select run_id, date, entity_id, px, x_placebo from a join b using (run_id, n)""")
 def v8(s, d):
-    rows = view(s, d, "target_daily").filter("entity_id in ('COUNTRY_1', 'COUNTRY_2')")
-    return validation.placebo(rows, "px", ["entity_id", "date"], 3, 7).select("run_id", "date", "entity_id", "px", "x_placebo")
+    return validation.placebo(view(s, d, "target_daily"), "px", ["entity_id", "date"], 3, 7).select("run_id", "date", "entity_id", "px", "x_placebo")
 
 
 P_VALUES = "pv as (select p_partkey as id, p_brand as family, (p_partkey * 7919 % 1000 + 1) / 1001.0::double as p from part)"
@@ -243,25 +243,25 @@ def v12(s, d):
     return runs.groupBy("hypothesis_id").agg(F.count_if(F.col("slices_passed") == 1).alias("one_slice"), F.count_if((F.col("verdict") == "supported") & (F.col("slices_passed") < 2)).alias("wrongly_supported"))
 
 
-@query("v16_hypothesis_tree", """with recursive h as (select s_suppkey as id, case when s_suppkey > 5 then s_suppkey // 3 + 1 end as parent_id from supplier where s_suppkey <= 90), t(id, root, depth) as (select id, id, 0 from h where parent_id is null union all select h.id, t.root, t.depth + 1 from t join h on h.parent_id = t.id) select id, root, depth::int as depth from t""")
+@query("v16_hypothesis_tree", """with recursive h as (select s_suppkey as id, case when s_suppkey > 5 then s_suppkey // 3 + 1 end as parent_id from supplier), t(id, root, depth) as (select id, id, 0 from h where parent_id is null union all select h.id, t.root, t.depth + 1 from t join h on h.parent_id = t.id) select id, root, depth::int as depth from t""")
 def v16(s, d):
     k = F.col("s_suppkey")
-    h = table(s, d, "supplier").filter("s_suppkey <= 90").select(k.alias("id"), F.when(k > 5, F.floor(k / 3) + 1).cast("long").alias("parent_id"))
+    h = table(s, d, "supplier").select(k.alias("id"), F.when(k > 5, F.floor(k / 3) + 1).cast("long").alias("parent_id"))
     return validation.hypothesis_tree(s, h)
 
 
-@query("v17_prior_failures", """with h as (select s_suppkey as id, s_suppkey % 4 as f, s_suppkey % 3 as t from supplier where s_suppkey <= 60) select 'x' || (a.f) as feature, 'y' || (a.t) as target, a.id as asked_id, b.id as hypothesis_id, 'no_signal' as failure_reason from h a join h b on a.f = b.f and a.t = b.t and a.id <> b.id where a.id <= 5 and b.id % 2 = 0""")
+@query("v17_prior_failures", """with h as (select s_suppkey as id, s_suppkey // 8 as f, s_suppkey % 2 as t from supplier) select 'x' || (a.f) as feature, 'y' || (a.t) as target, a.id as asked_id, b.id as hypothesis_id, 'no_signal' as failure_reason from h a join h b on a.f = b.f and a.t = b.t and a.id <> b.id where b.id % 3 > 0""")
 def v17(s, d):
     k = F.col("s_suppkey")
-    spec = F.to_json(F.struct(F.concat(F.lit("x"), (k % 4).cast("string")).alias("feature"), F.concat(F.lit("y"), (k % 3).cast("string")).alias("target")))
-    h = table(s, d, "supplier").filter("s_suppkey <= 60").select(k.alias("hypothesis_id"), spec.alias("spec_json"), F.lit("no_signal").alias("failure_reason"))
-    return validation.prior_failures(h.filter("hypothesis_id % 2 = 0"), h.filter("hypothesis_id <= 5"))
+    spec = F.to_json(F.struct(F.concat(F.lit("x"), F.floor(k / 8).cast("string")).alias("feature"), F.concat(F.lit("y"), (k % 2).cast("string")).alias("target")))
+    h = table(s, d, "supplier").select(k.alias("hypothesis_id"), spec.alias("spec_json"), F.lit("no_signal").alias("failure_reason"))
+    return validation.prior_failures(h.filter("hypothesis_id % 3 > 0"), h)
 
 
-@query("v18_compare", "select p_brand as run_id, max(p_retailprice) filter (where p_size <= 25) as rmse, max(p_retailprice) filter (where p_size > 25) as auc from part where p_partkey <= 400 group by 1")
+@query("v18_compare", "select p_brand as run_id, max(p_retailprice) filter (where p_size <= 25) as rmse, max(p_retailprice) filter (where p_size > 25) as auc from part group by 1")
 def v18(s, d):
-    metrics = table(s, d, "part").filter("p_partkey <= 400").select(F.col("p_brand").alias("run_id"), F.when(F.col("p_size") <= 25, "rmse").otherwise("auc").alias("metric"), F.col("p_retailprice").alias("value"))
-    return validation.compare(metrics, [x["run_id"] for x in metrics.select("run_id").distinct().orderBy("run_id").limit(1000).collect()], ["rmse", "auc"])
+    metrics = table(s, d, "part").select(F.col("p_brand").alias("run_id"), F.when(F.col("p_size") <= 25, "rmse").otherwise("auc").alias("metric"), F.col("p_retailprice").alias("value"))
+    return validation.compare(metrics, ["rmse", "auc"])
 
 
 @query("v19_check_specs", """select p_partkey as spec_id, array_to_string(list_filter([case when p_partkey % 6 - 1 < 0 then 'negative_lag' end, case when p_partkey % 4 <= 0 then 'no_horizon' end, case when p_size > 4000 then 'train_after_test' end, case when 2000 + p_size * 40 > 3650 then 'too_many_days' end, case when p_size * 3 > 100 then 'too_many_entities' end,
@@ -282,10 +282,10 @@ def v20(s, d):
 STATUS = ["draft", "compiled", "queued", "running", "supported", "rejected"]
 
 
-@query("v21_illegal_transitions", f"""with l as (select 'H' || (o_custkey % 40) as hypothesis_id, o_orderkey as seq, {STATUS}[(o_orderkey % 6 + 1)::int] as status from orders where o_orderkey <= 2000), s as (select *, lag(status) over (partition by hypothesis_id order by seq) as before from l)
+@query("v21_illegal_transitions", f"""with l as (select 'H' || o_custkey as hypothesis_id, o_orderkey as seq, {STATUS}[(o_orderkey % 6 + 1)::int] as status from orders), s as (select *, lag(status) over (partition by hypothesis_id order by seq) as before from l)
  select hypothesis_id, seq, before, status from s where before is not null and before <> status and (before, status) not in (('draft', 'compiled'), ('compiled', 'queued'), ('queued', 'running'), ('running', 'supported'), ('running', 'rejected'), ('running', 'inconclusive'))""")
 def v21(s, d):
-    log = table(s, d, "orders").filter("o_orderkey <= 2000").select(F.concat(F.lit("H"), (F.col("o_custkey") % 40).cast("string")).alias("hypothesis_id"), F.col("o_orderkey").alias("seq"), F.element_at(F.array(*map(F.lit, STATUS)), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("status"))
+    log = table(s, d, "orders").select(F.concat(F.lit("H"), F.col("o_custkey").cast("string")).alias("hypothesis_id"), F.col("o_orderkey").alias("seq"), F.element_at(F.array(*map(F.lit, STATUS)), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("status"))
     return validation.illegal_transitions(log).select("hypothesis_id", "seq", "before", "status")
 
 
@@ -323,7 +323,7 @@ check("q5_relation_rate", f"with {EV} " + verdict_sql("relation_rate", "avg((rel
 check("q6_date_added", verdict_sql("date_added", "count(*) filter (where date_added < event_date or date_added > event_date + 30)", "world_event", 0), lambda s, d: quality.check_none(we(s, d), ~F.date_diff("date_added", "event_date").between(0, 30), "date_added"))
 check("q7_tone_range", verdict_sql("tone_range", "count(*) filter (where not avg_tone between -100 and 100)", "world_event", 0), lambda s, d: quality.check_none(we(s, d), ~F.col("avg_tone").between(-100, 100), "tone_range"))
 check("q7_goldstein_range", verdict_sql("goldstein_range", "count(*) filter (where not goldstein between -8 and 8)", "world_event", 0), lambda s, d: quality.check_none(we(s, d), ~F.col("goldstein").between(-8, 8), "goldstein_range"))
-check("q8_every_date", verdict_sql("missing_dates", "coalesce(max(d) - min(d) + 1 - count(*), 0)", "(select date as d from target_daily where entity_id = 'COUNTRY_1' group by 1)", 0), lambda s, d: quality.check_complete(view(s, d, "target_daily").filter("entity_id = 'COUNTRY_1'"), "date"))
+check("q8_every_date", verdict_sql("missing_dates", "coalesce(sum(missing), 0)", "(select max(date) - min(date) + 1 - count(distinct date) as missing from target_daily group by entity_id)", 0), lambda s, d: quality.check_complete(view(s, d, "target_daily"), "date", ["entity_id"]))
 check("q9_zscore_not_null", f"with {DENSE}, z as (select entity_id, case when count(v) over w >= 90 then 1 end as z from dense window w as (partition by entity_id order by date range between interval 365 days preceding and interval 8 days preceding)) " + verdict_sql("zscore", "count(*) filter (where n = 0)", "(select entity_id, count(z) as n from z group by 1)", 0), lambda s, d: quality.check_groups_have(windows.seasonal_z(daily_dense(s, d), ["entity_id"], "v"), ["entity_id"], "zscore", "zscore"))
 check("q10_winsorised", f"with {DENSE}, b as (select entity_id, quantile_cont(v, 0.01) as lo, quantile_cont(v, 0.99) as hi from dense where date < date '1996-01-01' group by 1) " + verdict_sql("winsorised", "count(*) filter (where v > hi or v < lo)", "dense join b using (entity_id)", 0), lambda s, d: q10(s, d))
 
@@ -334,7 +334,13 @@ def q10(s, d):
     return quality.check_none(clipped, F.col("v") != F.col("c"), "winsorised")
 
 
-@query("q11_no_future", "select 'no_future' as check_id, true as passed, 0.0::double as value, 0.0::double as threshold from orders limit 1")
+def rolled_sql(source):
+    return f"""select date, src_entity_id, dst_entity_id, relation_id, mention_count, sum(mention_count) over (partition by src_entity_id, dst_entity_id, relation_id order by date range between interval 29 days preceding and current row) as rolled
+ from (select event_date as date, actor1_entity_id as src_entity_id, actor2_entity_id as dst_entity_id, relation_id, sum(num_mentions) as mention_count from {source} group by 1, 2, 3, 4)"""
+
+
+@query("q11_no_future", f"""with {EV}, whole as ({rolled_sql("ev")}), early as ({rolled_sql("(select * from ev where event_date <= date '1995-06-30')")}), cut as (select * from whole where date <= date '1995-06-30')
+ select 'no_future' as check_id, count(*) <= 0 as passed, count(*)::double as value, 0.0::double as threshold from ((select * from cut except all select * from early) union all (select * from early except all select * from cut))""")
 def q11(s, d):
     def build(df):
         return rounded(windows.rolling_sum(gold.pair_day_relation(df), ["src_entity_id", "dst_entity_id", "relation_id"], "mention_count", 30, "rolled"), "weighted_score").select("date", "src_entity_id", "dst_entity_id", "relation_id", "mention_count", "rolled")
