@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from presslens.config import DEFAULT, Config
 from presslens.functions.weights import event_weight, mention_damp
+from presslens.operators.windows import by_day, seasonal_z
 
 EDGE = ("event_date", "actor1_entity_id", "actor2_entity_id", "relation_id")
 
@@ -108,3 +109,44 @@ def tone_profile(events: DataFrame, by: str) -> DataFrame:
         F.min("avg_tone").alias("min_tone"), F.max("avg_tone").alias("max_tone"), F.stddev_samp("avg_tone").alias("sd_tone"),
         F.percentile("avg_tone", 0.25).alias("q25"), F.percentile("avg_tone", 0.5).alias("q50"), F.percentile("avg_tone", 0.75).alias("q75"),
     )
+
+
+VERSIONS = {"feature_version": "f1", "param_version": "p1"}
+
+
+def windowed(daily: DataFrame, keys: Sequence[str], sums: Sequence[str], means: Sequence[str], score: str, cfg: Config = DEFAULT, min_periods: int | None = None) -> DataFrame:
+    """``daily`` once for each of ``cfg.windows``: sums and means over its days up to a row's date, and the seasonal z-score of ``score`` among those sums."""
+    out = None
+    for days in cfg.windows:
+        w = by_day(keys).rangeBetween(-(days - 1), 0)
+        rolled = daily.withColumns({c: F.sum(c).over(w) for c in sums} | {c: F.avg(c).over(w) for c in means} | {"window_days": F.lit(days)})
+        scored = seasonal_z(rolled, keys, score, cfg=cfg, min_periods=min_periods)
+        out = scored if out is None else out.unionByName(scored)
+    return out.withColumns({k: F.lit(v) for k, v in VERSIONS.items()} | {"created_at": F.current_timestamp()})
+
+
+def gold_pair_day_relation(events: DataFrame, cfg: Config = DEFAULT, min_periods: int | None = None) -> DataFrame:
+    """The Gold table of directed pairs: a row per date with events, pair, relation and window."""
+    keys = ["src_entity_id", "dst_entity_id", "relation_id"]
+    daily = normalize_pair(pair_day_relation(events, cfg), entity_exposure(events), cfg=cfg).withColumn("tone_sum", F.col("avg_tone") * F.col("event_count")).drop("src_exposure", "dst_exposure")
+    named = events.select(F.col("event_date").alias("date"), F.col("actor1_entity_id").alias("src_entity_id"), F.col("actor2_entity_id").alias("dst_entity_id"), "relation_id", "source_domain")
+    daily = daily.join(source_diversity(named, ["date", *keys]), ["date", *keys])
+    sums = ["event_count", "mention_count", "source_count", "goldstein_sum", "weighted_score", "exposure_adjusted_score", "tone_sum"]
+    out = windowed(daily, keys, sums, ["source_diversity"], "exposure_adjusted_score", cfg, min_periods)
+    return out.withColumns({"avg_tone": F.col("tone_sum") / F.col("event_count"), "uncertainty": 1 / F.sqrt("event_count")}).drop("tone_sum")
+
+
+def gold_country_day_state(events: DataFrame, cfg: Config = DEFAULT, min_periods: int | None = None) -> DataFrame:
+    """The Gold table of country states: a row per date with events, entity, state and window."""
+    daily = normalize_entity(country_day_state(events, cfg).drop("uncertainty"), entity_exposure(events), "weighted_score", cfg=cfg)
+    out = windowed(daily, ["entity_id", "state_name"], ["raw_count", "weighted_score", "exposure_adjusted_score"], [], "exposure_adjusted_score", cfg, min_periods)
+    return out.withColumn("uncertainty", 1 / F.sqrt("raw_count"))
+
+
+def gold_entity_theme_day(events: DataFrame, cfg: Config = DEFAULT, min_periods: int | None = None) -> DataFrame:
+    """The Gold table of themes: a row per date with articles, entity, theme and window. Salience is the theme's share of the entity's articles of that day."""
+    daily = entity_theme_day(events)
+    whole = daily.groupBy("date", "entity_id").agg(F.sum("article_count").alias("all_articles"))
+    shared = daily.join(whole, ["date", "entity_id"]).withColumn("theme_salience", F.col("article_count") / F.col("all_articles")).withColumn("tone_sum", F.col("avg_tone") * F.col("article_count")).drop("all_articles")
+    out = windowed(shared, ["entity_id", "theme_id"], ["article_count", "source_count", "tone_sum"], ["theme_salience"], "theme_salience", cfg, min_periods)
+    return out.withColumn("avg_tone", F.col("tone_sum") / F.col("article_count")).drop("tone_sum")

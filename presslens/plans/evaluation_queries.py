@@ -475,7 +475,7 @@ def r9(s, d):
     return ran(streams.stream_sessions(event_stream(s, d)), "complete").select("user_id", F.unix_timestamp("start").alias("start"), "n")
 
 
-@query("r8_stream_decay")
+@query("r8_stream_decay", "with m as (select event_type, max(ts) as last from events group by 1) select event_type as key, epoch(last)::double as at, round(sum(value * exp(-(epoch(last) - epoch(ts)) / (14 / ln(2) * 86400))), 4) as level from events join m using (event_type) group by 1, 2")
 def r8(s, d):
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = s.conf.get(setting)
@@ -486,7 +486,7 @@ def r8(s, d):
         s.conf.set(setting, before)
 
 
-@query("r10_stream_join")
+@query("r10_stream_join", "select e.event_id, e.event_type from events e join events m on m.event_id = e.event_id and m.ts + interval 10 minutes between e.ts and e.ts + interval 30 minutes")
 def r10(s, d):
     mentions = event_stream(s, d).select(F.col("event_id").alias("of_event_id"), (F.col("ts") + F.expr("interval 10 minutes")).alias("mention_ts"))
     return ran(streams.stream_join(event_stream(s, d), mentions, "30 minutes")).select("event_id", "event_type")

@@ -418,3 +418,45 @@ def a17(s, d):
 @query("a18_tone_profile", "select actor1_entity_id, min(avg_tone) as min_tone, max(avg_tone) as max_tone, round(stddev_samp(avg_tone), 4) as sd_tone, quantile_cont(avg_tone, 0.25) as q25, quantile_cont(avg_tone, 0.5) as q50, quantile_cont(avg_tone, 0.75) as q75 from world_event group by 1")
 def a18(s, d):
     return rounded(gold.tone_profile(view(s, d, "world_event"), "actor1_entity_id"), "sd_tone")
+
+
+# --- Gold tables with all their columns but the time of their making
+def windowed_sql(daily, keys, columns, score, more):
+    """``columns`` (name: aggregate) over each window of days, the z-score of ``score``, and ``more`` computed from those."""
+    by = ", ".join(keys)
+    rolled = " union all ".join(
+        f"select date, {by}, {days} as window_days, {', '.join(f'{agg} over w as {name}' for name, agg in columns.items())} from {daily} window w as (partition by {by} order by date range between interval {days - 1} days preceding and current row)" for days in DEFAULT.windows
+    )
+    z = f"case when count({score}) over z >= {PERIODS} then ({score} - avg({score}) over z) / (stddev_samp({score}) over z + {DEFAULT.epsilon}) end"
+    return f"""rolled as ({rolled}), scored as (select *, {z} as zscore from rolled window z as (partition by {by}, window_days order by date range between interval {DEFAULT.lookback_days} days preceding and interval {DEFAULT.gap_days} days preceding))
+ select date, {by}, window_days, {more}, round(zscore, 3) as zscore, 'f1' as feature_version, 'p1' as param_version from scored"""
+
+
+PERIODS = 3
+PAIR_KEYS = ["src_entity_id", "dst_entity_id", "relation_id"]
+PAIR_SUMS = {c: f"sum({c})" for c in ("event_count", "mention_count", "source_count", "goldstein_sum", "weighted_score", "exposure_adjusted_score", "tone_sum")} | {"source_diversity": "avg(source_diversity)"}
+
+
+@query("a1_gold_pair_day_relation", f"""with {EV}, {BOTH}, {EXPO}, {PAIRS}, {NORM}, shares as (select event_date as date, actor1_entity_id as src_entity_id, actor2_entity_id as dst_entity_id, relation_id, source_domain, count(*) as n from ev group by all),
+ diverse as (select date, src_entity_id, dst_entity_id, relation_id, pow(sum(n), 2) / sum(n * n) as source_diversity from shares group by all),
+ daily as (select l.* exclude (adj), adj as exposure_adjusted_score, avg_tone * event_count as tone_sum, source_diversity from left_norm l join diverse using (date, src_entity_id, dst_entity_id, relation_id)),
+ """ + windowed_sql("daily", PAIR_KEYS, PAIR_SUMS, "exposure_adjusted_score", "event_count::bigint as event_count, mention_count::bigint as mention_count, source_count::bigint as source_count, round(source_diversity, 4) as source_diversity, round(tone_sum / event_count, 4) as avg_tone, round(goldstein_sum, 4) as goldstein_sum, round(weighted_score, 3) as weighted_score, round(exposure_adjusted_score, 4) as exposure_adjusted_score, round(1 / sqrt(event_count), 6) as uncertainty"))
+def a1_gold(s, d):
+    full = gold.gold_pair_day_relation(events(s, d), min_periods=PERIODS).drop("created_at")
+    return rounded(rounded(rounded(full, "source_diversity", "avg_tone", "goldstein_sum", "exposure_adjusted_score"), "weighted_score", "zscore", n=3), "uncertainty", n=6)
+
+
+@query("a2_gold_country_day_state", f"""with {EV}, {BOTH}, {EXPO}, states as (select event_date as date, entity_id, relation_id as state_name, count(*) as raw_count, sum(w) as weighted_score from both_ends group by 1, 2, 3),
+ daily as (select s.*, weighted_score / (1e-6 + coalesce(exposure, 0)) as exposure_adjusted_score from states s left join expo using (date, entity_id)),
+ """ + windowed_sql("daily", ["entity_id", "state_name"], {c: f"sum({c})" for c in ("raw_count", "weighted_score", "exposure_adjusted_score")}, "exposure_adjusted_score", "raw_count::bigint as raw_count, round(weighted_score, 3) as weighted_score, round(exposure_adjusted_score, 4) as exposure_adjusted_score, round(1 / sqrt(raw_count), 6) as uncertainty"))
+def a2_gold(s, d):
+    full = gold.gold_country_day_state(events(s, d), min_periods=PERIODS).drop("created_at")
+    return rounded(rounded(rounded(full, "exposure_adjusted_score"), "weighted_score", "zscore", n=3), "uncertainty", n=6)
+
+
+@query("a3_gold_entity_theme_day", f"""with {EV}, {BOTH}, themes as (select event_date as date, entity_id, theme_id, count(*) as article_count, count(distinct source_domain) as source_count, avg(avg_tone) as avg_tone from both_ends group by 1, 2, 3),
+ daily as (select *, article_count / sum(article_count) over (partition by date, entity_id) as theme_salience, avg_tone * article_count as tone_sum from themes),
+ """ + windowed_sql("daily", ["entity_id", "theme_id"], {c: f"sum({c})" for c in ("article_count", "source_count", "tone_sum")} | {"theme_salience": "avg(theme_salience)"}, "theme_salience", "article_count::bigint as article_count, source_count::bigint as source_count, round(tone_sum / article_count, 4) as avg_tone, round(theme_salience, 6) as theme_salience"))
+def a3_gold(s, d):
+    full = gold.gold_entity_theme_day(events(s, d), min_periods=PERIODS).drop("created_at")
+    return rounded(rounded(rounded(full, "avg_tone"), "zscore", n=3), "theme_salience", n=6)
