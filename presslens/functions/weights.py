@@ -53,3 +53,8 @@ def event_weight(cfg: Config = DEFAULT) -> Column:
     tone = 1 + cfg.tone_weight * F.coalesce(tone_risk(F.col("avg_tone"), cfg.tone_scale), F.lit(0.0))
     strength = goldstein_intensity(F.coalesce(F.col("goldstein"), F.lit(0.0)), cfg.goldstein_weight)
     return mention_damp(F.col("num_mentions"), cfg.mentions_power) * source_factor(F.col("num_sources"), cfg.sources_power) * strength * tone
+
+
+def full_event_weight(source_weight: Column, copy_rank: Column, cfg: Config = DEFAULT) -> Column:
+    """``event_weight`` times the weight of its source (1 if there is none) and the penalty of further copies."""
+    return event_weight(cfg) * F.coalesce(source_weight, F.lit(1.0)) * copy_penalty(copy_rank, cfg.copy_penalty)

@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presslens.config import CONFLICT, RISK_WEIGHTS, TENSION_WEIGHTS, UNCERTAINTY_TERMS
+from presslens.config import CONFLICT, DEFAULT, RISK_WEIGHTS, TENSION_WEIGHTS, UNCERTAINTY_TERMS, Config
+from presslens.functions.weights import event_weight, tone_risk
+from presslens.operators.gold import endpoints, entity_exposure, normalize_entity
 from presslens.operators.evidence import lexicon_count
+from presslens.operators.windows import seasonal_z
 
 
 def weighted(name: str, value: str, weights: dict[str, float]) -> Column:
@@ -56,3 +59,27 @@ def external_conflict(pairs: DataFrame, relations: Sequence[str] = CONFLICT, val
     outside = pairs.filter((F.col("src_entity_id") != F.col("dst_entity_id")) & F.col("relation_id").isin(*relations))
     both = outside.select("date", F.explode(F.array("src_entity_id", "dst_entity_id")).alias("entity_id"), value)
     return both.groupBy("date", "entity_id").agg(F.sum(value).alias("external_conflict"))
+
+
+def risk_components(events: DataFrame, narratives: dict[str, Sequence[str]], cfg: Config = DEFAULT, min_periods: int | None = None) -> DataFrame:
+    """(date, entity_id, state_name, value, exposure_adjusted_score, zscore): unrest, conflict with others, negative tone, and a narrative for each entry of ``narratives`` (name: themes).
+
+    A component is the weight of the events that belong to it, over the entity's exposure of that day; its
+    z-score compares it with its own earlier days.
+    """
+    w, outside = F.col("w"), F.col("actor1_entity_id") != F.col("actor2_entity_id")
+    parts = {
+        "social_unrest": F.when(F.col("relation_id").isin("protest_pressure", "repression_pressure"), w),
+        "external_conflict": F.when(outside & F.col("relation_id").isin(*CONFLICT), w),
+        "negative_tone": w * F.greatest(F.lit(0.0), tone_risk(F.col("avg_tone"), cfg.tone_scale)),
+    } | {name: F.when(F.col("theme_id").isin(*themes), w) for name, themes in narratives.items()}
+    both = endpoints(events.withColumn("w", event_weight(cfg)))
+    each = both.select(F.col("event_date").alias("date"), "entity_id", F.explode(F.array(*[F.struct(F.lit(n).alias("state_name"), v.alias("v")) for n, v in parts.items()])).alias("e"))
+    daily = each.filter("e.v is not null").groupBy("date", "entity_id", F.col("e.state_name").alias("state_name")).agg(F.sum("e.v").alias("value"))
+    return seasonal_z(normalize_entity(daily, entity_exposure(events), "value", cfg=cfg), ["entity_id", "state_name"], "exposure_adjusted_score", cfg=cfg, min_periods=min_periods)
+
+
+def policy_uncertainty(articles: DataFrame, cfg: Config = DEFAULT, min_periods: int | None = None) -> DataFrame:
+    """The index: the seasonal z-score of an entity's words of uncertainty for each article of a day."""
+    counts = policy_uncertainty_counts(articles).withColumn("rate", F.col("terms") / F.col("articles"))
+    return seasonal_z(counts, ["entity_id"], "rate", "policy_uncertainty", cfg=cfg, min_periods=min_periods)

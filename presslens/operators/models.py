@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -39,17 +40,25 @@ class Fit:
 
 
 def demean(panel: DataFrame, columns: Sequence[str], groups: Sequence[str], tolerance: float = 1e-8, most: int = 50) -> DataFrame:
-    """Columns without the means of each group, in turn until they stop moving; one pass settles a single group or a balanced panel."""
-    df = panel
-    for i in range(most):
+    """Columns without the means of each group, in turn until they stop moving; one pass settles a single group or a balanced panel.
+
+    Means are aggregated and joined, so that a large group needs no task of its own. Rows without a group
+    take no part.
+    """
+    df, names = panel, panel.columns
+    for _ in range(most):
         for g in groups:
-            df = df.withColumns({c: F.col(c) - F.avg(c).over(Window.partitionBy(g)) for c in columns})
+            means = df.groupBy(F.col(g).alias("mean_of")).agg(*[F.avg(c).alias(f"mean_{i}") for i, c in enumerate(columns)])
+            joined = df.join(means, F.col(g) == F.col("mean_of"))
+            df = joined.withColumns({c: F.col(c) - F.col(f"mean_{i}") for i, c in enumerate(columns)}).select(*names)
         if len(groups) == 1:
             return df
         df = written(df, "demeaned")
         means = df.groupBy(groups[0]).agg(*[F.abs(F.avg(c)).alias(c) for c in columns]).agg(*[F.max(c).alias(c) for c in columns]).first()
         if max([0.0, *(v for v in means if v is not None)]) < tolerance:
             break
+    else:
+        warnings.warn(f"means of {groups[0]} were still over {tolerance} after {most} passes", stacklevel=2)
     return df
 
 

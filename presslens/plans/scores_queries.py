@@ -217,6 +217,31 @@ def i4(s, d):
     return indices.policy_uncertainty_counts(articles(s, d))
 
 
+def z_sql(value, keys, periods):
+    over = f"over (partition by {keys} order by date range between interval 365 days preceding and interval 8 days preceding)"
+    return f"case when count({value}) {over} >= {periods} then ({value} - avg({value}) {over}) / (stddev_samp({value}) {over} + 1e-6) end"
+
+
+@query("i4_policy_uncertainty_z", f"""with c as (select published_ts::date as date, entity_id, sum(len(regexp_extract_all(lower(text), '{'|'.join(UNCERTAINTY_TERMS)}')))::double / count(*) as rate from world_article group by 1, 2) select date, entity_id, round(rate, 6) as rate, round({z_sql("rate", "entity_id", 2)}, 3) as policy_uncertainty from c""")
+def i4z(s, d):
+    found = indices.policy_uncertainty(articles(s, d), min_periods=2)
+    return found.select("date", "entity_id", F.round("rate", 6).alias("rate"), F.round("policy_uncertainty", 3).alias("policy_uncertainty"))
+
+
+NARRATIVES = {"financial_stress": "PROMO", "capital_flight": "ECONOMY", "currency_crisis": "LARGE", "debt_stress": "SMALL"}  # stand-ins for groups of themes
+RISK_Z = {"financial_stress": 1.0, "social_unrest": 1.0, "external_conflict": 1.0, "negative_tone": 1.0, "capital_flight": 1.0, "currency_crisis": 0.5, "debt_stress": 0.5}
+
+
+@query("i1_risk_pressure_z", f"""with {EV}, {BOTH}, {EXPO}, parts as (select event_date as date, entity_id, unnest([{{'n': 'social_unrest', 'v': case when relation_id in ('protest_pressure', 'repression_pressure') then w end}},
+ {{'n': 'external_conflict', 'v': case when actor1_entity_id <> actor2_entity_id and relation_id in ('verbal_conflict', 'material_conflict', 'sanction_pressure', 'trade_tension') then w end}}, {{'n': 'negative_tone', 'v': w * greatest(0.0, tanh(-avg_tone / 10))}}, {", ".join(f"{{'n': '{n}', 'v': case when split_part(theme_id, ' ', 1) = '{h}' then w end}}" for n, h in NARRATIVES.items())}]) as e from both_ends),
+ daily as (select date, entity_id, e.n as state_name, sum(e.v) as value from parts where e.v is not null group by 1, 2, 3), adj as (select d.*, value / (1e-6 + coalesce(exposure, 0)) as a from daily d left join expo using (date, entity_id)),
+ z as (select date, entity_id, state_name, {z_sql("a", "entity_id, state_name", 30)} as z from adj) select date, entity_id, round(sum(coalesce(z, 0) * case state_name {" ".join(f"when '{n}' then {w}" for n, w in RISK_Z.items())} end), 3) as risk_pressure from z group by 1, 2""")
+def i1z(s, d):
+    ev = events(s, d).withColumn("theme_id", F.split_part("theme_id", F.lit(" "), F.lit(1)))
+    parts = indices.risk_components(ev, {n: [h] for n, h in NARRATIVES.items()}, min_periods=30)
+    return rounded(indices.risk_pressure(parts, RISK_Z), "risk_pressure", n=3)
+
+
 @query("i5_social_unrest", f"with {STATES} select date, entity_id, round(sum(v), 4) as social_unrest from states where state_name in ('protest_pressure', 'repression_pressure') group by 1, 2")
 def i5(s, d):
     return rounded(indices.component(states_of(s, d), ["protest_pressure", "repression_pressure"], out="social_unrest"), "social_unrest")

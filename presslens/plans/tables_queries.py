@@ -201,6 +201,14 @@ def e7(s, d):
     return ranked.select("source_event_id", F.round(weights.copy_penalty(F.col("copy_rank")), 6).alias("delta"))
 
 
+@query("e8_full_event_weight", f"""with k as (select *, {KEY} as dedupe_key from world_event) select source_event_id, round({WEIGHT} * case when source_domain = 'src3' then 0.5 when source_domain = 'src7' then 1.5 else 1.0 end
+ * pow(0.6, row_number() over (partition by dedupe_key order by source_event_id) - 1), 5) as w from k""")
+def e8_full(s, d):
+    given = s.createDataFrame([("src3", 0.5), ("src7", 1.5)], "name string, omega double")  # configuration
+    ranked = silver.copy_ranks(silver.with_dedupe_key(view(s, d, "world_event"))).join(F.broadcast(given), F.col("source_domain") == F.col("name"), "left")
+    return ranked.select("source_event_id", F.round(weights.full_event_weight(F.col("omega"), F.col("copy_rank")), 5).alias("w"))
+
+
 # --- joins
 @query("j1_resolve_entities", """with x as (select source_event_id || '#' || num_mentions || '#' || num_sources || '#' || source_url as rid, replace(actor1_entity_id, 'COUNTRY_', 'NATION_') as alias_text, event_date from world_event),
  m as (select x.rid, x.alias_text, count(distinct a.entity_id) as n, max(a.entity_id) as e, max(a.confidence) as c from x left join entity_alias a on x.alias_text = a.alias_text and x.event_date >= a.valid_from and (a.valid_to is null or x.event_date < a.valid_to) group by 1, 2)
