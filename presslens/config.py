@@ -34,7 +34,14 @@ class Config:
 
 DEFAULT = Config()
 
-# Relation ids and how coarse event codes map to them. The first rule that fits decides.
+# The relation ids that may be used.
+RELATIONS = (
+    "cooperation", "verbal_conflict", "material_conflict", "sanction_pressure", "protest_pressure", "repression_pressure",
+    "financial_stress", "monetary_policy_bias", "energy_security", "trade_tension", "political_uncertainty", "humanitarian_stress",
+)
+# The themes that financial stress is read from.
+FINANCIAL_THEMES = ("CURRENCY", "DEBT", "BANKING", "IMF", "INFLATION")
+# How coarse event codes map to relations. The first rule that fits decides.
 RELATION_RULES = [
     ("protest_pressure", "root", ("14",)),
     ("cooperation", "quad", (1, 2)),
@@ -48,6 +55,7 @@ FINE_RULES = [  # (priority, root codes, relation, sign)
 CONFLICT = ("verbal_conflict", "material_conflict", "sanction_pressure", "trade_tension")
 TENSION_WEIGHTS = {"verbal_conflict": 1.0, "material_conflict": 1.0, "sanction_pressure": 1.0, "trade_tension": 1.0, "cooperation": -1.0}
 RISK_WEIGHTS = {"financial_stress": 1.0, "social_unrest": 1.0, "external_conflict": 1.0, "negative_tone": 1.0, "capital_flight": 1.0, "external_shock": 1.0}
+# Words of policy uncertainty, of tight and of easy policy.
 UNCERTAINTY_TERMS = ("uncertain", "unclear", "divided", "surprise", "unexpected", "policy path", "guidance")
 HAWKISH = ("rate hike", "tightening", "restrictive policy", "inflation pressure", "higher for longer", "policy normalization", "currency defense", "central bank credibility", "inflation")
 DOVISH = ("rate cut", "easing", "stimulus", "recession risk", "growth slowdown", "unemployment", "liquidity injection", "credit support")

@@ -96,10 +96,10 @@ def amplification(articles: DataFrame, narrative: str, group: str) -> DataFrame:
     return both.select(narrative, group, "n", ((F.col("n") / F.col("in_narrative")) / (F.col("in_group") / F.col("total"))).alias("ratio"))
 
 
-def search_evidence(articles: DataFrame, terms: Sequence[str], start: str, end: str, k: int, key: str = "article_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over the articles of a range of days: the k best with their scores."""
+def search_evidence(articles: DataFrame, terms: Sequence[str], start: str, end: str, k: int, key: str = "article_id", k1: float = 1.2, b: float = 0.75, fields: Sequence[str] = ("text",)) -> DataFrame:
+    """BM25 over ``fields`` of the articles of a range of days: the k best with their scores."""
     inside = articles.filter((F.col("published_ts") >= F.lit(start).cast("timestamp")) & (F.col("published_ts") < F.lit(end).cast("timestamp")))
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    words = F.filter(F.split(F.lower(F.concat_ws(" ", *fields)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     counted = inside.select(key, words.alias("w")).select(key, F.size("w").alias("len"), *[F.size(F.filter("w", _is(term))).alias(f"tf_{i}") for i, term in enumerate(terms)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))])
     met = counted.filter(" or ".join(f"tf_{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))  # one row

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presslens.config import DEFAULT, FINE_RULES, RELATION_RULES, Config
+from presslens.config import DEFAULT, FINE_RULES, RELATIONS, RELATION_RULES, Config
 from presslens.functions.urls import normalize_url
 
 UNKNOWN = "unknown"
@@ -44,6 +44,18 @@ def map_relation_fine(events: DataFrame, rules: Sequence[tuple[int, str, str, in
     return joined.withColumn("relation_id", F.coalesce("relation_id", F.lit(UNKNOWN))).withColumn("relation_sign", F.coalesce("relation_sign", F.lit(0)))
 
 
+def map_relation_by_theme(events: DataFrame, rules: Mapping[str, str], theme: str = "theme_id") -> DataFrame:
+    """``events`` with the relation that their theme stands for, where ``rules`` (theme: relation) has one; elsewhere the one that they have.
+
+    Only registered relations may be named. Rules are configuration, so they are broadcast.
+    """
+    if unknown := sorted(set(rules.values()) - set(RELATIONS)):
+        raise ValueError(f"unknown relations: {', '.join(unknown)}")
+    table = events.sparkSession.createDataFrame(list(rules.items()), "rule_theme string, rule_relation string")
+    joined = events.join(F.broadcast(table), F.col(theme) == F.col("rule_theme"), "left")
+    return joined.withColumn("relation_id", F.coalesce("rule_relation", "relation_id")).drop("rule_theme", "rule_relation")
+
+
 def valid_edges(events: DataFrame) -> DataFrame:
     return events.filter(F.col("actor1_entity_id").isNotNull() & F.col("actor2_entity_id").isNotNull() & (F.col("relation_id") != UNKNOWN))
 

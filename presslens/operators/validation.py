@@ -160,12 +160,16 @@ def compare(metrics: DataFrame, names: Sequence[str], ids: Sequence[str] | None
     return chosen.groupBy("run_id").pivot("metric", list(names)).agg(F.max("value"))
 
 
-def check_specs(specs: DataFrame, cfg: Config = DEFAULT, models: Sequence[str] = ALLOWED_MODELS) -> DataFrame:
-    """(spec_id, reasons): what is wrong with each spec; none for a good one."""
+def check_specs(specs: DataFrame, cfg: Config = DEFAULT, models: Sequence[str] = ALLOWED_MODELS, registry: DataFrame | None = None) -> DataFrame:
+    """(spec_id, reasons): what is wrong with each spec; none for a good one. With a ``registry`` (id), its feature_id has to be in there."""
     bad = {
         "negative_lag": F.col("lag") < 0, "no_horizon": F.col("horizon") <= 0, "train_after_test": F.col("train_start") >= F.col("test_start"),
         "too_many_days": F.date_diff("test_end", "train_start") > cfg.max_days, "too_many_entities": F.col("n_entities") > cfg.max_entities, "unknown_model": ~F.col("model").isin(*models),
     }
+    if registry is not None:  # ids of features, targets and datasets, one row each
+        known = registry.select(F.col("id").alias("registered")).distinct()
+        specs = specs.join(known, F.col("feature_id") == F.col("registered"), "left")
+        bad["unregistered_id"] = F.col("registered").isNull()
     return specs.select("spec_id", F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in bad.items()])).alias("reasons"))
 
 

@@ -265,12 +265,12 @@ def v18(s, d):
 
 
 @query("v19_check_specs", """select p_partkey as spec_id, array_to_string(list_filter([case when p_partkey % 6 - 1 < 0 then 'negative_lag' end, case when p_partkey % 4 <= 0 then 'no_horizon' end, case when p_size > 4000 then 'train_after_test' end, case when 2000 + p_size * 40 > 3650 then 'too_many_days' end, case when p_size * 3 > 100 then 'too_many_entities' end,
- case when p_partkey % 5 = 4 then 'unknown_model' end], lambda x: x is not null), '+') as reasons from part""")
+ case when p_partkey % 5 = 4 then 'unknown_model' end, case when p_type not in (select p_type from part where p_size > 45) then 'unregistered_id' end], lambda x: x is not null), '+') as reasons from part""")
 def v19(s, d):
     k, size = F.col("p_partkey"), F.col("p_size")
     start = F.lit("2000-01-01").cast("date")
-    specs = table(s, d, "part").select(k.alias("spec_id"), (k % 6 - 1).alias("lag"), (k % 4).alias("horizon"), start.alias("train_start"), F.date_add(start, 1000).alias("test_start"), F.date_add(start, 2000 + size * 40).alias("test_end"), (size * 3).alias("n_entities"), F.element_at(F.array(*map(F.lit, ["panel_ols", "logit", "poisson", "negbin", "forest"])), (k % 5 + 1).cast("int")).alias("model"))
-    return validation.check_specs(specs).select("spec_id", F.array_join("reasons", "+").alias("reasons"))
+    specs = table(s, d, "part").select(k.alias("spec_id"), (k % 6 - 1).alias("lag"), (k % 4).alias("horizon"), start.alias("train_start"), F.date_add(start, 1000).alias("test_start"), F.date_add(start, 2000 + size * 40).alias("test_end"), (size * 3).alias("n_entities"), F.element_at(F.array(*map(F.lit, ["panel_ols", "logit", "poisson", "negbin", "forest"])), (k % 5 + 1).cast("int")).alias("model"), F.col("p_type").alias("feature_id"))
+    return validation.check_specs(specs, registry=table(s, d, "part").filter("p_size > 45").select(F.col("p_type").alias("id"))).select("spec_id", F.array_join("reasons", "+").alias("reasons"))
 
 
 @query("v20_estimate_cost", "select coalesce(sum(n), 0)::bigint as rows, count(distinct date) as dates, count(*) as partitions, count(distinct date) * 25 as panel_rows from (select event_date as date, source_domain, count(*) as n from world_event group by 1, 2) where date between date '1994-01-01' and date '1995-12-31'")

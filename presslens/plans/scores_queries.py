@@ -327,6 +327,14 @@ def x8(s, d):
     return evidence.search_evidence(articles(s, d), ["license", "the"], "2024-01-01", "2024-01-10", 25)
 
 
+@query("x8_search_fields", r"""with d as (select article_id, list_filter(regexp_split_to_array(lower(concat_ws(' ', text, theme_id, source_domain)), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from world_article where published_ts >= timestamp '2024-01-01' and published_ts < timestamp '2024-01-10'),
+ c as (select article_id, len(w) as n, len(list_filter(w, lambda x: x = 'purchase')) as t0, len(list_filter(w, lambda x: x = 'the')) as t1 from d),
+ s as (select count(*) as docs, avg(n) as avg_len, count(*) filter (where t0 > 0) as d0, count(*) filter (where t1 > 0) as d1 from c)
+ select article_id, round(ln(1 + (docs - d0 + 0.5) / (d0 + 0.5)) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * n / avg_len)) + ln(1 + (docs - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * n / avg_len)), 6) as score from c, s where t0 > 0 or t1 > 0 order by score desc, article_id limit 25""")
+def x8_fields(s, d):
+    return evidence.search_evidence(articles(s, d), ["purchase", "the"], "2024-01-01", "2024-01-10", 25, fields=("text", "theme_id", "source_domain"))
+
+
 @query("x9_similar_articles", """with q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 20 = 0), x as (select query_id, vec_id, list_cosine_similarity(q::double[], embedding::double[]) as score from q, embeddings where vec_id <> query_id)
  select query_id, vec_id, round(score, 6) as score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from x) where rank <= 10""")
 def x9(s, d):

@@ -110,6 +110,14 @@ def p3(s, d):
     return silver.map_relation_fine(view(s, d, "world_event")).groupBy("relation_id", "relation_sign").agg(F.count("*").alias("n"))
 
 
+THEME_RULES = {"PROMO": "financial_stress", "ECONOMY": "energy_security", "SMALL": "political_uncertainty", "LARGE": "humanitarian_stress", "MEDIUM": "sanction_pressure"}  # stand-ins for themes
+
+
+@query("p3_map_relation_by_theme", f"with {EV} select coalesce(t.relation, relation_id) as relation_id, count(*) as n from ev left join (values {', '.join(f"('{k}', '{v}')" for k, v in THEME_RULES.items())}) t(theme, relation) on theme_id = theme group by 1")
+def p3_theme(s, d):
+    return silver.map_relation_by_theme(events(s, d), THEME_RULES).groupBy("relation_id").agg(F.count("*").alias("n"))
+
+
 @query("p4_parse_date", """select o_orderkey, case when o_orderkey % 10 <> 3 then o_orderdate::date end as d from orders""")
 def p4(s, d):
     raw = table(s, d, "orders").withColumn("raw", F.when(F.col("o_orderkey") % 10 == 3, "19971399").otherwise(F.date_format("o_orderdate", "yyyyMMdd")))

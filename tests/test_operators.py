@@ -145,3 +145,33 @@ def test_known_signal_is_supported_and_noise_is_not(spark):
     one_slice = signal | {"run_id": 3, "slices_passed": 1}
     got = {r["run_id"]: (r["v"], r["why"]) for r in spark.createDataFrame([signal, noise, one_slice]).select("run_id", validation.decide().alias("v"), validation.failure_reason().alias("why")).collect()}
     assert got == {1: ("supported", None), 2: ("rejected", "no_signal"), 3: ("inconclusive", None)}
+
+
+def test_ranks_over_ranges_match_a_whole_window(spark):
+    from presslens.operators.ranges import running_before
+
+    df = spark.range(500).select((F.col("id") * 37 % 101).alias("k"), F.col("id"), (F.col("id") % 2).alias("g")).repartition(4)
+    got = {r["id"]: r["n"] for r in running_before(df, ["k", "id"], F.col("k"), "n", ["g"]).collect()}
+    for g in (0, 1):
+        total = 0
+        for k, i in sorted((i * 37 % 101, i) for i in range(500) if i % 2 == g):
+            assert got[i] == total
+            total += k
+
+
+def test_similar_articles_in_blocks(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0]), (63, [None, 1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in evidence.similar_articles(df, df.filter("vec_id % 20 = 0"), 4, asked=2, held=7).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    for q in (0, 20, 40):
+        best = sorted((-round(cos(rows[q][1], v), 12), i) for i, v in rows[:60] if i != q)[:4]
+        assert {i for _, i in got[q]} <= {i for i, v in rows[:60] if round(cos(rows[q][1], v), 9) >= round(-best[-1][0], 9)} and len(got[q]) == 4
+    assert 60 not in got
+
+
+def test_only_registered_relations_by_theme(spark):
+    with pytest.raises(ValueError, match="unknown relations"):
+        silver.map_relation_by_theme(spark.createDataFrame([("a", "unknown")], "theme_id string, relation_id string"), {"a": "no_such"})
