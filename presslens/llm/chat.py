@@ -147,8 +147,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, size = [], 0
-            for row in range(batch.num_rows):
-                conv, part, piece, text, loss = (c[row].as_py() for c in batch.columns)
+            for row, (conv, part, piece, text, loss) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
                 turns = [f"{role}\n{said}\n" for role, said in parse(text)]
                 under = "".join(unescape(text[s["start"] : s["end"]]) for s in loss)
                 found.append((conv, part, piece, len(turns), "".join(turns).encode(), under.encode(), len(under), len(text)))
@@ -171,17 +170,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         for batch in batches:
             done = []
-            for row in range(batch.num_rows):
-                conv, _, _, turns, said, loss, loss_chars, chars = (c[row] for c in batch.columns)
-                if not open_ or open_[0] != conv.as_py():
+            convs, _, _, turns, said, loss, loss_chars, chars = (c.to_pylist() for c in batch.columns)
+            for row, conv in enumerate(convs):
+                if not open_ or open_[0] != conv:
                     if open_:
                         done.append(open_)
-                    open_ = [conv.as_py(), 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                open_[1] += turns.as_py()
-                open_[2].update(said.as_buffer())
-                open_[3] += loss_chars.as_py()
-                open_[4].update(loss.as_buffer())
-                open_[5] += chars.as_py()
+                    open_ = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                open_[1] += turns[row]
+                open_[2].update(said[row])
+                open_[3] += loss_chars[row]
+                open_[4].update(loss[row])
+                open_[5] += chars[row]
             yield closed(done)
         if open_:
             yield closed([open_])
