@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presslens.llm import ann, bpe, chat, line_dedup, mixing, pii, quality_rules, quality_vote, sentences, sharding, simhash, variants
+from presslens.llm import ann, bpe, chat, line_dedup, mixing, pii, prefix_trie, quality_rules, quality_vote, sentences, sharding, simhash, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": sharding.op1_sharding,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_vote": quality_vote.op8_quality_vote,
     "op9_pii": pii.op9_pii,
     "op10_simhash": simhash.op10_simhash,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_sentencepiece": sentences.op12_sentencepiece,
     "op13_variants": variants.op13_variants,
 }
