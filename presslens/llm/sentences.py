@@ -7,9 +7,10 @@ in front, spaces are collapsed if the model says so, and all of that is carried
 then merges the two neighbours whose joined piece scores best (the leftmost of equal ones), characters
 that no piece has fall back to bytes, and every piece is projected to its span of source bytes.
 
-Pieces that have a mark after another character don't exist in such models (it is checked), so merges
-never cross from a word into the mark behind it: words are cut there, encoded once and remembered. A
-model for which that isn't so is encoded without cutting.
+Merges never cross from one character to the next where no piece has the two side by side. Texts are cut
+at such places that the model is found to have (before marks, between letters and signs, around line
+ends), and the words between them are encoded once and remembered. A model with pieces that have a mark
+after another character is encoded without cutting.
 
 A null text is read as empty and has no ids. A text of any length is encoded whole, in memory of about
 40 bytes for each of its own. Rows come back in their order and number, equal ones as often as they came.
@@ -40,7 +41,7 @@ MARK, MARK_BYTES = "▁", "▁".encode()
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BPE_MODEL = 2
 #: Words kept per Python worker, the longest that is kept, and up to which length merges are found by scanning.
-CACHE_WORDS, KEPT_LENGTH, SHORT = 500_000, 64, 48
+CACHE_WORDS, KEPT_LENGTH, SHORT = 700_000, 64, 48
 NEVER = 2**40
 
 
@@ -208,9 +209,9 @@ class Pieces:
         self.normalize = Normalizer(spec, bool(trainer.get(24, 0)))
         self.ids = {s: i for i, (s, _, k) in enumerate(entries) if k == NORMAL}
         order = {score: r for r, score in enumerate(sorted({s for _, s, k in entries if k == NORMAL}, reverse=True))}
-        self.ranks = {s: order[score] for s, score, k in entries if k == NORMAL}
         self.byte_ids = [0] * 256
         self.byte_of, self.length = np.full(len(entries), -1), np.zeros(len(entries), np.int64)
+        self.letters = [len(s) for s, _, _ in entries]
         unknown = trainer.get(44, " ⁇ ".encode())
         self.bytes_of: list[bytes] = []
         self.silent = {i for i, (_, _, k) in enumerate(entries) if k == CONTROL}
@@ -222,44 +223,80 @@ class Pieces:
             self.length[i] = len(s.encode())
             self.bytes_of.append({BYTE: bytes([max(0, self.byte_of[i])]), CONTROL: b"", UNKNOWN: unknown}.get(kind, s.replace(MARK, " ").encode()))
         self.table = pa.array(self.bytes_of, pa.binary())
-        inner = {c for s in self.ids if len(s) > 1 for c in s}
-        lone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in inner)  # these never merge
-        crossed = any(MARK in s.lstrip(MARK) for s in self.ids)
-        self.words_of = re.compile(".+" if crossed else f"[{lone}]|{MARK}+[^{MARK}{lone}]*|[^{MARK}{lone}]+" if lone else f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.DOTALL).findall
+        self._merges(order, {s: score for s, score, k in entries if k == NORMAL})
+        self.words_of = self._splitter()
         self.words: dict[str, tuple[int, ...]] = {}
 
+    def _merges(self, order: dict[float, int], scores: dict[str, float]) -> None:
+        """merges[left * m + right] is rank * m + piece. Characters without a piece get numbers of their own, from the end of the pieces on."""
+        spare = sorted({c for s in self.ids for c in s} - set(self.ids))
+        number = self.ids | {c: len(self.length) + i for i, c in enumerate(spare)}
+        self.m = m = len(self.length) + len(spare) + 1  # the last number is any other character
+        self.numbers, self.merges = {s: i for s, i in number.items() if len(s) == 1}, {}
+        for s, i in self.ids.items():
+            for cut in range(1, len(s)):
+                if (left := number.get(s[:cut])) is not None and (right := number.get(s[cut:])) is not None:
+                    self.merges[left * m + right] = order[scores[s]] * m + i
+        seen: dict[int, int] = {}
+        for s in self.ids:
+            seen[order[scores[s]]] = seen.get(order[scores[s]], 0) + 1
+        self.tied = {r for r, n in seen.items() if n > 1}
+
+    def _splitter(self):
+        """Cuts a normalised text where no piece has both neighbours: before marks, around characters that never merge, and between letters and some signs."""
+        inner = {c for s in self.ids if len(s) > 1 for c in s}
+        beside = {s[i : i + 2] for s in self.ids for i in range(len(s) - 1)}
+        lone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in inner)
+        if any(MARK in s.lstrip(MARK) for s in self.ids):
+            return re.compile(".+", re.DOTALL).findall
+        letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100))]
+        signs = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c in inner and not any(x + c in beside for x in letters))
+        among = "A-Za-z\u00c0-\u00ff"
+        word = f"[^{MARK}{among}{lone}]*(?:[{among}]+(?:[^{MARK}{among}{signs}{lone}][^{MARK}{among}{lone}]*)?)*"
+        return re.compile((f"[{lone}]|" if lone else "") + f"{MARK}+{word}|(?=[^{MARK}]){word}").findall
+
     def merged(self, word: str) -> tuple[int, ...]:
-        symbols, ranks = list(word), self.ranks
-        if len(symbols) <= SHORT:
-            scores = [ranks.get(a + b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
-            while scores and (best := min(scores)) < NEVER:
-                i = scores.index(best)
-                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-                del scores[i]
+        m, merges = self.m, self.merges
+        tokens = [self.numbers.get(c, m - 1) for c in word]
+        if len(tokens) <= SHORT:
+            values = [merges.get(a * m + b, NEVER) for a, b in zip(tokens, tokens[1:], strict=False)]
+            while values and (best := min(values)) < NEVER:
+                i = values.index(best)
+                if best // m in self.tied:  # the leftmost of equal scores
+                    i = next(j for j, v in enumerate(values) if v // m == best // m)
+                    best = values[i]
+                tokens[i : i + 2] = [best % m]
+                del values[i]
                 if i:
-                    scores[i - 1] = ranks.get(symbols[i - 1] + symbols[i], NEVER)
-                if i < len(scores):
-                    scores[i] = ranks.get(symbols[i] + symbols[i + 1], NEVER)
+                    values[i - 1] = merges.get(tokens[i - 1] * m + tokens[i], NEVER)
+                if i < len(values):
+                    values[i] = merges.get(tokens[i] * m + tokens[i + 1], NEVER)
         else:
-            after, before = [*range(1, len(symbols)), -1], [*range(-1, len(symbols) - 1)]
-            heap = [(ranks[a + b], i, len(a + b)) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if a + b in ranks]
+            after, before = [*range(1, len(tokens)), -1], [*range(-1, len(tokens) - 1)]
+            heap = [(v // m, i, p) for i, p in enumerate(a * m + b for a, b in zip(tokens, tokens[1:], strict=False)) if (v := merges.get(p)) is not None]
             heapq.heapify(heap)
             while heap:
-                _, i, size = heapq.heappop(heap)
+                _, i, pair = heapq.heappop(heap)
                 j = after[i]
-                if j < 0 or not symbols[i] or len(symbols[i]) + len(symbols[j]) != size:
+                if j < 0 or tokens[i] < 0 or tokens[i] * m + tokens[j] != pair:
                     continue  # one of the two has been merged since
-                symbols[i], symbols[j], after[i] = symbols[i] + symbols[j], "", after[j]
+                tokens[i], tokens[j], after[i] = merges[pair] % m, -1, after[j]
                 if after[i] >= 0:
                     before[after[i]] = i
                 for k in (before[i], i):
-                    if k >= 0 and after[k] >= 0 and (both := symbols[k] + symbols[after[k]]) in ranks:
-                        heapq.heappush(heap, (ranks[both], k, len(both)))
-            symbols = [s for s in symbols if s]
-        out: list[int] = []
-        for s in symbols:
-            known = self.ids.get(s)
-            out += [known] if known is not None else [self.byte_ids[b] for b in s.encode()]
+                    if k >= 0 and after[k] >= 0 and (v := merges.get(p := tokens[k] * m + tokens[after[k]])) is not None:
+                        heapq.heappush(heap, (v // m, k, p))
+            tokens = [t for t in tokens if t >= 0]
+        if max(tokens) < len(self.byte_of):
+            return tuple(tokens)
+        out, at = [], 0  # characters without a piece become their bytes
+        for t in tokens:
+            if t < len(self.byte_of):
+                out.append(t)
+                at += self.letters[t]
+            else:
+                out += [self.byte_ids[b] for b in word[at].encode()]
+                at += 1
         return tuple(out)
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
