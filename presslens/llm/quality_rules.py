@@ -15,8 +15,8 @@ compared by their 64-bit hashes.
 from __future__ import annotations
 
 import math
-import warnings
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,15 +122,16 @@ class Trust:
         return 1 / (1 + F.exp(-F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)))
 
 
-def fit(patterns: DataFrame, n_rules: int, rounds: int = 12, start: float = 0.8, strength: float = 5.0, tolerance: float = 1e-3, prior: float = 0.5) -> Trust:
+def fit(patterns: DataFrame, n_rules: int, rounds: int | None = None, start: float = 0.8, strength: float = 5.0, tolerance: float = 1e-3, prior: float = 0.5) -> Trust:
     """``patterns`` has ``votes``, an array by rule, and ``n``, how many documents vote so.
 
-    ``strength`` documents at accuracy ``start`` are added for each rule, so that rules which hardly
+    Rounds go on until no accuracy moves by ``tolerance`` (each raises the penalised likelihood, so they
+    settle); ``rounds`` ends them sooner. ``strength`` documents at accuracy ``start`` are added for each rule, so that rules which hardly
     vote keep a usable accuracy and an empty table gives the start.
     """
     trust = Trust(prior, (start,) * n_rules)
     vote = lambda i: F.get("votes", F.lit(i))
-    for _ in range(rounds):
+    for done in count(1):
         weighed = patterns.withColumn("p", trust.probability("votes"))
         right = [F.sum(F.when(vote(i) > 0, F.col("n") * F.col("p")).when(vote(i) < 0, F.col("n") * (1 - F.col("p")))).alias(f"right_{i}") for i in range(n_rules)]
         voted = [F.sum(F.col("n") * F.abs(vote(i))).alias(f"voted_{i}") for i in range(n_rules)]
@@ -139,10 +140,8 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = 12, start: float = 0.8,
         new = Trust(prior, tuple(min(max(x, 0.55), 0.99) for x in share))
         moved = max(abs(a - b) for a, b in zip(new.accuracy, trust.accuracy, strict=True))
         trust = new
-        if moved < tolerance:
+        if moved < tolerance or done == rounds:
             break
-    else:
-        warnings.warn(f"accuracies still moved by {moved:.4f} after {rounds} rounds of expectation-maximisation", stacklevel=2)
     return trust
 
 
@@ -204,7 +203,7 @@ with recursive split as (
   union all
   select r + 1, list(new order by j), max(abs(new - old)) from (
     select r, j, any_value(acc[j]) as old, least(greatest((sum(n * case when votes[j] > 0 then p when votes[j] < 0 then 1 - p else 0 end) + 4.0) / (sum(n * abs(votes[j])) + 5.0), 0.55), 0.99)::double as new
-    from (select r, acc, votes, n, 1 / (1 + exp(-list_sum(list_transform(range(1, 12), lambda k: votes[k] * ln(acc[k] / (1 - acc[k])))))) as p, unnest(range(1, 12)) as j from em, patterns where r < 12 and moved >= 1e-3)
+    from (select r, acc, votes, n, 1 / (1 + exp(-list_sum(list_transform(range(1, 12), lambda k: votes[k] * ln(acc[k] / (1 - acc[k])))))) as p, unnest(range(1, 12)) as j from em, patterns where moved >= 1e-3)
     group by r, j) group by r
 ), last as (select acc from em order by r desc limit 1), q as (
   select v.*, 1 / (1 + exp(-list_sum(list_transform(range(1, 12), lambda k: votes[k] * ln(acc[k] / (1 - acc[k])))))) as quality, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from v, last

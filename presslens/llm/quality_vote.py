@@ -8,7 +8,7 @@ meets all of them in blocks of cosine products, and its ``NEIGHBOURS`` nearest v
 similarity. Only the text enters a score.
 
 Labels are learned only from rows whose CRC-32 of doc_id leaves a remainder other than 0 by 5. Null
-labels say nothing; a document with several labels has their mean. A null text is read as empty,
+labels say nothing; a document with several labels has their mean, one with several texts is learned from one of them. A null text is read as empty,
 and an empty one has its shape terms, so it is scored like any other. Without any label scores are
 0.5. A null doc_id hashes like an empty string. Repeated rows are scored alike; no rows: no rows.
 """
@@ -56,7 +56,7 @@ def shape(text: bytes) -> np.ndarray:
 
 def features(texts: list[bytes | None], idf: np.ndarray) -> np.ndarray:
     """A row of unit length for each text: trigrams, then one term for the level of each shape."""
-    x = np.zeros((len(texts), TERMS), np.float32)
+    x = np.zeros((len(texts), TERMS))
     for row, text in enumerate(texts):
         counts = grams(text or b"")
         x[row, :GRAMS] = np.log1p(counts) * idf
@@ -83,7 +83,7 @@ class Model:
         cosines = self.project(features(texts, self.idf)) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, axis=1).astype(np.float64), 1e-3) ** SHARPNESS
+        weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 1e-3) ** SHARPNESS
         return np.clip((weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1), 0, 1)
 
 
@@ -109,7 +109,7 @@ def remainder(key: str) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = LABELLED, seed: int = 3) -> Model:
     n, total = document_frequencies(docs, text)
-    idf = np.log((1 + total) / (1 + n)).astype(np.float32) + np.float32(0.05)
+    idf = np.log((1 + total) / (1 + n)) + 0.05
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & (remainder(key) != 0)).groupBy(F.col(key).alias("k")).agg(F.avg(label).alias("y"))
     chosen = materialize(known.orderBy(F.xxhash64("k"), "k").limit(most), "labelled")  # bounded by ``most``
     spec = docs.sparkSession.sparkContext.broadcast(idf)
@@ -122,19 +122,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 x = features(part.column(2).to_pylist(), spec.value)
                 used = [np.flatnonzero(r) for r in x]
                 terms = pa.array([u.astype(np.int16) for u in used], pa.list_(pa.int16()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), terms, pa.array([r[u] for r, u in zip(x, used, strict=True)], pa.list_(pa.float32()))], names=["k", "y", "terms", "weights"])
-
-    met = docs.select(F.col(key).alias("d"), F.col(text).cast("binary").alias("t")).join(F.broadcast(chosen), F.col("d") == F.col("k")).select("k", "y", "t")
-    rows = met.mapInArrow(run, f"k {kind}, y double, terms array<short>, weights array<float>").orderBy(F.xxhash64("k"), "k", "weights").limit(most).collect()
-    x = np.zeros((len(rows), TERMS), np.float32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), terms, pa.array([r[u] for r, u in zip(x, used, strict=True)], pa.list_(pa.float64()))], names=["k", "y", "terms", "weights"])
+
+    # one text for each label, however often its document is repeated; of several that with the smallest hash
+    body = F.col(text).cast("binary")
+    met = docs.select(F.col(key).alias("d"), F.struct(F.xxhash64(body).alias("h"), body.alias("t")).alias("t")).join(F.broadcast(chosen), F.col("d") == F.col("k"))
+    once = met.groupBy("k").agg(F.first("y").alias("y"), F.min("t").alias("t")).select("k", "y", "t.t")
+    rows = once.mapInArrow(run, f"k {kind}, y double, terms array<short>, weights array<double>").collect()  # bounded by ``most``
+    rows.sort(key=lambda r: r["k"])
+    x = np.zeros((len(rows), TERMS))
     for i, r in enumerate(rows):
         x[i, r["terms"]] = r["weights"]
     y = np.array([r["y"] for r in rows])
     if not len(y):
-        return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y)
+        return Model(idf, np.zeros((TERMS, 1)), np.zeros((0, 1)), y)
     # randomised range finder with a few power steps, then an exact decomposition of the small rest
     rank = min(DIMENSIONS, len(y))
-    basis = x.T @ np.random.default_rng(seed).standard_normal((len(y), min(rank + 16, len(y)))).astype(np.float32)
+    basis = x.T @ np.random.default_rng(seed).standard_normal((len(y), min(rank + 16, len(y))))
     for _ in range(4):
         basis = np.linalg.qr(basis)[0]
         basis = x.T @ (x @ basis)

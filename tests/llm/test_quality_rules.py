@@ -57,6 +57,14 @@ def test_em_matches_plain_python_and_finds_the_bad_rule(spark):
     assert trust.accuracy[2] < 0.75 < trust.accuracy[0]
 
 
+def test_em_runs_until_it_settles(spark):
+    rows = [([-1, 1, -1], 135), ([-1, 0, 0], 246), ([1, 0, -1], 53), ([0, -1, 0], 226), ([1, -1, 1], 233), ([0, 1, -1], 307)]
+    patterns = spark.createDataFrame(rows, "votes array<int>, n long").coalesce(1)
+    settled = quality_rules.fit(patterns, 3, tolerance=1e-5)
+    assert settled.accuracy == pytest.approx((0.9783, 0.55, 0.8676), abs=1e-3)  # where plain Python ends after 113 rounds
+    assert quality_rules.fit(patterns, 3, rounds=12, tolerance=1e-3).accuracy[0] < 0.96
+
+
 def test_kept_documents_keep_their_columns(spark):
     docs = spark.createDataFrame([(i, t, "src", i) for i, t in enumerate(TEXTS)], "doc_id long, text string, source string, q_kept long")
     kept = quality_rules.kept_documents(docs)
