@@ -4,10 +4,11 @@ From each line on, and back from each line, the shortest run of lines that reach
 words leads its documents to the first one that holds it: links grow with the lines, not with the
 square of a run's holders, so rare lines and very common ones need no different treatment (rarity only
 bounds the pairs in the plain form of the method), and every block of so many words is made of such runs. Each linked pair is aligned on arrays of line
-hashes, patience-wise: the lines that both hold are put in the longest order that both share, runs of
-neighbours become blocks, and what is left is aligned again until nothing is. Blocks of
-``BLOCK_WORDS`` words or more go from the later document. Where a shared line is repeated, so does
-every run of so many words that stands anywhere in the earlier document.
+hashes, patience-wise: the lines that both hold are put in the longest order that both share, and runs
+of neighbours become blocks. Blocks of ``BLOCK_WORDS`` words or more go from the later document. Where a
+shared line is repeated, or stands outside that order, so does every run of so many words that stands
+anywhere in the earlier document; those are found by a suffix automaton, not by aligning again, in
+proportion to the lines.
 
 A line's first holder never loses it, so no line vanishes from the corpus. Lines are what stands
 between newlines; those without a word are no evidence, and go only from inside a block. Lines are
@@ -56,26 +57,36 @@ def rising(values: Sequence[int]) -> list[int]:
     return out[::-1]
 
 
-def common_blocks(earlier: Sequence[int], later: Sequence[int]) -> list[tuple[int, int]]:
-    """Runs (start, end) of lines of ``later`` that stand together in ``earlier`` too.
+def aligned(left: Sequence[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Of (line of the later, line of the earlier document): runs of neighbours in the longest order that both share, and what is left."""
+    chosen = [left[k] for k in rising([i for _, i in left])]
+    blocks, start = [], 0
+    for k in range(1, len(chosen) + 1):
+        if k == len(chosen) or chosen[k][0] != chosen[k - 1][0] + 1 or chosen[k][1] != chosen[k - 1][1] + 1:
+            blocks.append((chosen[start][0], chosen[k - 1][0] + 1))
+            start = k
+    gone = set(chosen)
+    return blocks, [x for x in left if x not in gone]
 
-    A line counts where each document first has it.
-    """
+
+def first_places(earlier: Sequence[int], later: Sequence[int]) -> list[tuple[int, int]]:
+    """(line of ``later``, line of ``earlier``) of each shared line, where each document first has it."""
     place: dict[int, int] = {}
     for i, h in enumerate(earlier):
         place.setdefault(h, i)
     seen: set[int] = set()
-    left = [(j, place[h]) for j, h in enumerate(later) if h in place and not (h in seen or seen.add(h))]
-    blocks: list[tuple[int, int]] = []
+    return [(j, place[h]) for j, h in enumerate(later) if h in place and not (h in seen or seen.add(h))]
+
+
+def common_blocks(earlier: Sequence[int], later: Sequence[int]) -> list[tuple[int, int]]:
+    """Runs (start, end) of lines of ``later`` that stand together in ``earlier`` too, by alignments until nothing is left.
+
+    A line counts where each document first has it.
+    """
+    left, blocks = first_places(earlier, later), []
     while left:
-        chosen = [left[k] for k in rising([i for _, i in left])]
-        start = 0
-        for k in range(1, len(chosen) + 1):
-            if k == len(chosen) or chosen[k][0] != chosen[k - 1][0] + 1 or chosen[k][1] != chosen[k - 1][1] + 1:
-                blocks.append((chosen[start][0], chosen[k - 1][0] + 1))
-                start = k
-        gone = set(chosen)
-        left = [x for x in left if x not in gone]
+        found, left = aligned(left)
+        blocks += found
     return sorted(blocks)
 
 
@@ -123,14 +134,16 @@ def matched(earlier: Sequence[int], later: Sequence[int]) -> list[int]:
 def doomed(earlier: Sequence[int], later: Sequence[int], words: Sequence[int], least: int = BLOCK_WORDS) -> list[int]:
     """Lines of ``later`` to delete: those of every long enough run that stands anywhere in ``earlier``.
 
-    Where no shared line is repeated, the common blocks are all such runs.
+    One alignment finds all such runs if it takes in every shared line and none is repeated. Else lines
+    have moved, which would take an alignment for each, and the automaton finds the runs in one pass.
     """
     out: set[int] = set()
-    for a, b in common_blocks(earlier, later):
+    blocks, moved = aligned(first_places(earlier, later))
+    for a, b in blocks:
         if sum(words[a:b]) >= least:
             out.update(range(a, b))
     shared = set(earlier).intersection(later)
-    if any(sum(h in shared for h in x) > len(shared) for x in (earlier, later)):
+    if moved or any(sum(h in shared for h in x) > len(shared) for x in (earlier, later)):
         sums, done = [0, *accumulate(words)], 0
         for j, run in enumerate(matched([h if h in shared else None for h in earlier], later)):
             if sums[j + 1] - sums[j + 1 - run] >= least:

@@ -98,6 +98,20 @@ def test_every_common_run_goes_from_repeated_lines():
         assert line_dedup.doomed(a, b, w) == brute_doomed(a, b, w)
 
 
+def test_moved_lines_take_time_in_proportion():
+    import random
+    import time
+
+    n = 200_000
+    order = list(range(n))
+    random.Random(7).shuffle(order)
+    began = time.time()
+    for later in (order[::-1], list(range(n))[::-1], order):
+        assert line_dedup.doomed(list(range(n)), later, [9] * n) == list(range(n))
+    assert line_dedup.doomed(list(range(n)), list(range(n))[::-1], [2] * n) == []
+    assert time.time() - began < 40
+
+
 def test_repeated_lines_go_wherever_they_stand(spark):
     x = "a line of quite some words that is repeated"
     rows = [(1, text("head", x, x, "own one")), (2, text("head", x, "own two", x, x, x, "end", "head"))]
