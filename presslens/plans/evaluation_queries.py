@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from presslens.functions.weights import event_weight
-from presslens.operators import api, gold, indices, models, quality, silver, validation, windows
+from presslens.operators import api, counts, gold, indices, models, quality, scans, silver, validation, windows
 from presslens.plans.catalog import query
 from presslens.plans.scores_queries import STATES, pairs_of, states_of
 from presslens.plans.tables_queries import BOTH, DENSE, EV, PAIRS, daily_dense, events, r, rounded
@@ -80,6 +80,14 @@ def m6(s, d):
     return rounded(models.negbin(df, "n", ["tone"], "exposure", kappa=5.0).table(df), "coef", "se", "t", "p")
 
 
+@query("m6_negbin_effects")
+def m6_effects(s, d):
+    """Size, slope on the count before, and sender and receiver effects of every relation, from quarterly cells with zeros."""
+    fit = counts.negbin_effects(counts.count_cells(events(s, d)), "n", "exposure", xs=["history"], tolerance=1e-3)
+    whole = fit.relations.select("relation_id", F.lit("relation").alias("kind"), F.lit(None).cast("string").alias("entity_id"), F.col("const").alias("effect"), "kappa", F.col("history").alias("slope"), F.col("n").alias("cells"))
+    return rounded(whole.unionByName(fit.effects, True), "effect", "kappa", "slope", n=3)
+
+
 @query("m7_rolling_anomaly", f"with {DENSE}, z as (select date, entity_id, case when count(v) over w >= 90 then (v - avg(v) over w) / (stddev_samp(v) over w + 1e-6) end as z from dense window w as (partition by entity_id order by date range between interval 365 days preceding and interval 8 days preceding)) select date, entity_id, round(z, 3) as zscore from z where abs(z) >= 3")
 def m7(s, d):
     z = windows.seasonal_z(daily_dense(s, d), ["entity_id"], "v")
@@ -91,6 +99,18 @@ def m8(s, d):
     return rounded(models.kalman_level(view(s, d, "target_daily"), ["entity_id"], "px", 1.0, 10.0), "level", "variance", n=3)
 
 
+@query("m8_kalman_series", """with recursive o as (select entity_id, date, px, row_number() over (partition by entity_id order by date) as n, count(*) over (partition by entity_id) as total from target_daily),
+ f as (select entity_id, date, n, total, px as m, 10.0::double as p from o where n = 1 union all
+  select o.entity_id, o.date, o.n, o.total, f.m + (f.p + 1) / (f.p + 1 + 10) * (o.px - f.m), (1 - (f.p + 1) / (f.p + 1 + 10)) * (f.p + 1) from f join o on o.entity_id = f.entity_id and o.n = f.n + 1),
+ b as (select entity_id, n, m as sm, p as sp from f where n = total union all
+  select f.entity_id, f.n, f.m + f.p / (f.p + 1) * (b.sm - f.m), f.p + (f.p / (f.p + 1)) ** 2 * (b.sp - f.p - 1) from b join f on f.entity_id = b.entity_id and f.n = b.n - 1)
+ select f.entity_id, f.date, round(m + 1e-7, 3) as level, round(p, 6) as variance, round(sm + 1e-7, 3) as smoothed, round(sp, 6) as smoothed_variance from f join b using (entity_id, n)""")
+def m8_series(s, d):
+    found = scans.kalman_series(view(s, d, "target_daily"), ["entity_id"], "px", 1.0, 10.0)
+    moved = found.withColumns({c: F.col(c) + 1e-7 for c in ("level", "smoothed")})
+    return rounded(rounded(moved, "level", "smoothed", n=3), "variance", "smoothed_variance", n=6)
+
+
 @query("m9_dynamic_pca")
 def m9(s, d):
     wide = states_of(s, d).groupBy("date", "entity_id").pivot("state_name", ["cooperation", "material_conflict", "verbal_conflict"]).agg(F.sum("weighted_score")).fillna(0.0)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from presslens.config import UNCERTAINTY_TERMS
 from presslens.functions.weights import event_weight
-from presslens.operators import evidence, gold, graph, indices, silver, windows
+from presslens.operators import evidence, gold, graph, indices, scans, silver, windows
 from presslens.plans.catalog import query
 from presslens.plans.tables_queries import BOTH, DENSE, EV, EXPO, NORM, PAIRS, daily_dense, events, r, rounded
 from presslens.sources.fixtures import table, view
@@ -106,6 +106,14 @@ def w13(s, d):
     return rounded(windows.exp_smooth(view(s, d, "target_daily"), ["entity_id"], "px", 0.2), "smoothed")
 
 
+@query("w13_exp_smooth_series", """with recursive o as (select entity_id, date, px, row_number() over (partition by entity_id order by date) as n from target_daily),
+ s as (select entity_id, date, n, px as smoothed from o where n = 1 union all select o.entity_id, o.date, o.n, 0.3 * o.px + 0.7 * s.smoothed from s join o on o.entity_id = s.entity_id and o.n = s.n + 1)
+ select entity_id, date, round(smoothed + 1e-7, 3) as smoothed from s""")
+def w13_series(s, d):
+    found = scans.exp_smooth_series(view(s, d, "target_daily"), ["entity_id"], "px", 0.3)
+    return found.select("entity_id", "date", F.round(F.col("smoothed") + 1e-7, 3).alias("smoothed"))
+
+
 @query("w14_leaderboard", "select p_brand as run_id, score, dense_rank() over (order by score desc)::int as rank, round(percent_rank() over (order by score desc), 6) as percent_rank from (select p_brand, max(p_size) as score from part group by 1)")
 def w14(s, d):
     runs = table(s, d, "part").groupBy(F.col("p_brand").alias("run_id")).agg(F.max("p_size").alias("score"))
