@@ -86,8 +86,9 @@ def prefix_scan(
     local = materialize(dealt.mapInArrow(run, kind), "scan")
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tails = pa.Table.from_batches(list(batches))  # a row for each task of the first pass
-        if tails.num_rows:
+        found = [b for b in batches if b.num_rows]
+        if found:
+            tails = pa.Table.from_batches(found)  # a row for each task of the first pass
             column = lambda n: tails.column(n).to_numpy()
             key, part = column("s_key"), column("s_part")
             begin = runs(key)
