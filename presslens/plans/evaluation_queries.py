@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from presslens.functions.weights import event_weight
-from presslens.operators import api, counts, gold, indices, models, quality, scans, silver, validation, windows
+from presslens.operators import api, counts, factors, gold, indices, models, quality, scans, silver, validation, windows
 from presslens.plans.catalog import query
 from presslens.plans.scores_queries import STATES, pairs_of, states_of
 from presslens.plans.tables_queries import BOTH, DENSE, EV, PAIRS, daily_dense, events, r, rounded
@@ -118,6 +118,19 @@ def m9(s, d):
     return s.createDataFrame([(i, float(v)) for i, v in enumerate(fit.explainedVariance.toArray())], "component int, share double").withColumn("share", F.round("share", 4))
 
 
+@query("m9_window_pca", f"""with {STATES}, wide as (select date, entity_id, coalesce(sum(v) filter (where state_name = 'cooperation'), 0) as a, coalesce(sum(v) filter (where state_name = 'material_conflict'), 0) as b from states group by 1, 2),
+ ends as (select distinct date_trunc('month', date)::date as month from wide), c as (select month, count(*) as n, var_samp(a) as aa, var_samp(b) as bb, covar_samp(a, b) as ab from ends join wide on date >= month - to_months(11) and date < month + to_months(1) group by 1 having count(*) >= 10),
+ l as (select *, (aa + bb) / 2 + sqrt((aa - bb) ** 2 / 4 + ab * ab) as l1 from c), v as (select *, ab / sqrt(ab * ab + (l1 - aa) ** 2) as va, (l1 - aa) / sqrt(ab * ab + (l1 - aa) ** 2) as vb from l),
+ o as (select *, case when va * lag(va) over w + vb * lag(vb) over w < 0 then 1 else 0 end as turn, first_value(case when abs(va) > abs(vb) then sign(va) else sign(vb) end) over w as lead from v window w as (order by month)),
+ d as (select *, lead * case when sum(turn) over (order by month) % 2 = 1 then -1 else 1 end as s from o)
+ select month, n, round(l1 / (aa + bb), 6) as share, round(s * va, 6) as cooperation, round(s * vb, 6) as material_conflict from d""")
+def m9_windows(s, d):
+    names = ["cooperation", "material_conflict"]
+    wide = states_of(s, d).groupBy("date", "entity_id").pivot("state_name", names).agg(F.sum("weighted_score")).fillna(0.0)
+    found = factors.window_components(wide, names, 12, 1)
+    return rounded(found.select("month", "n", "share", *[F.get("loadings", F.lit(i)).alias(x) for i, x in enumerate(names)]), "share", *names, n=6)
+
+
 @query("m10_score", f"with {PANEL} select date, entity_id, round(1.5 + 0.25 * x - 2.0 * n, 4) as p from panel")
 def m10(s, d):
     return rounded(models.score(panel(s, d), {"x": 0.25, "n": -2.0}, 1.5), "p").select("date", "entity_id", "p")
