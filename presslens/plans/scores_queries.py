@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from presslens.config import UNCERTAINTY_TERMS
 from presslens.functions.weights import event_weight
-from presslens.operators import evidence, gold, graph, indices, scans, silver, windows
+from presslens.operators import evidence, gold, graph, graph_series, indices, scans, silver, windows
 from presslens.plans.catalog import query
 from presslens.plans.tables_queries import BOTH, DENSE, EV, EXPO, NORM, PAIRS, daily_dense, events, r, rounded
 from presslens.sources.fixtures import table, view
@@ -396,6 +396,38 @@ def g3(s, d):
     return graph.tension_clusters(total, 100.0)
 
 
+MONTHLY = f"with recursive {EV}, {BOTH}, {EXPO}, {PAIRS}, {NORM}, g as (select date_trunc('month', date)::date as month, src_entity_id as a, dst_entity_id as b, sum(adj) as w from left_norm group by 1, 2, 3)"
+
+
+@query("g1_monthly_pagerank", MONTHLY + """, links as (select month, a, b, w / sum(w) over (partition by month, a) as p from g where w > 0), nodes as (select month, a as node from links union select month, b from links),
+ n as (select month, count(*) as n from nodes group by 1), r(i, month, node, rank) as (select 0, month, node, 1.0::double / n from nodes join n using (month)
+  union all select i + 1, month, node, 0.15 / n + 0.85 * (got + (1 - sum(got) over (partition by month)) / n) from (select r.i, r.month, x.node, n.n, coalesce(sum(s.rank * l.p), 0) as got
+   from (select distinct i, month from r where i < 60) r join nodes x on x.month = r.month join n on n.month = r.month left join links l on l.month = r.month and l.b = x.node left join r s on s.month = r.month and s.node = l.a group by 1, 2, 3, 4))
+ select month, node, round(rank, 6) as rank from r where i = 60""")
+def g1_monthly(s, d):
+    return rounded(graph_series.pagerank_series(monthly(s, d), tolerance=1e-8), "rank", n=6)
+
+
+@query("g2_monthly_communities")
+def g2_monthly(s, d):
+    found = graph_series.communities_series(monthly(s, d))
+    return rounded(graph_series.lineages(found, "add_months(month, -1)"), "modularity", n=6)
+
+
+HOT = 22.0
+
+
+@query("g3_monthly_clusters", f"""with recursive {EV}, {PAIRS}, tense as (select date_trunc('month', date)::date as month, src_entity_id as a, dst_entity_id as b, sum(case relation_id when 'cooperation' then -1.0 when 'verbal_conflict' then 1.0 when 'material_conflict' then 1.0 else 0.0 end * weighted_score) as t from pairs group by 1, 2, 3),
+ hot as (select month, a, b from tense where t >= {HOT} and a <> b union select month, b, a from tense where t >= {HOT} and a <> b), reach as (select month, a, b from hot union select r.month, r.a, h.b from reach r join hot h on h.month = r.month and h.a = r.b),
+ c as (select month, a as node, min(least(a, b)) as label from reach group by 1, 2), sh as (select x.month, x.label, y.month as was, y.label as old, count(*) as n from c x join c y on y.node = x.node and y.month = (x.month - to_months(1))::date group by 1, 2, 3, 4),
+ mu as (select * from (select *, row_number() over (partition by month, label order by n desc, old) as u, row_number() over (partition by was, old order by n desc, label) as d from sh) where u = 1 and d = 1),
+ chain as (select c.month, c.label, c.month as rm, c.label as rl, 0 as age from (select distinct month, label from c) c left join mu using (month, label) where mu.old is null union all select m.month, m.label, h.rm, h.rl, h.age + 1 from chain h join mu m on m.was = h.month and m.old = h.label)
+ select c.month, c.node, c.label, rm::varchar || '|' || rl as lineage, age::bigint as age from c join chain using (month, label)""")
+def g3_monthly(s, d):
+    tension = indices.bilateral_tension(pairs_of(s, d)).groupBy(F.trunc("date", "month").alias("month"), "src_entity_id", "dst_entity_id").agg(F.sum("tension").alias("tension"))
+    return graph_series.lineages(graph_series.clusters_series(tension, HOT), "add_months(month, -1)")
+
+
 @query("g4_narrative_similarity", """with s as (select actor1_entity_id as e, theme_id, sum(num_mentions)::double as v from world_event group by 1, 2), n as (select e, sqrt(sum(v * v)) as norm from s group by 1)
  select x.e as a, y.e as b, round(sum(x.v * y.v) / (nx.norm * ny.norm), 4) as similarity from s x join s y on x.theme_id = y.theme_id and x.e < y.e join n nx on nx.e = x.e join n ny on ny.e = y.e group by x.e, y.e, nx.norm, ny.norm""")
 def g4(s, d):
