@@ -16,9 +16,26 @@ def by_day(keys: Sequence[str], day: str = "date") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(F.unix_date(day))
 
 
+def in_blocks(df: DataFrame, day: str, back: int, width: int | None = None) -> DataFrame:
+    """``df`` with w_block, and each row again in the later blocks of days whose frames reach back to it; w_own marks a row in its own block.
+
+    Windows by (keys, w_block) then see all that frames of ``back`` days need, and a long series is as many tasks as it
+    has blocks. The wider a block, the fewer rows are copied.
+    """
+    width = width or back + 1
+    at = F.unix_date(day)
+    first = F.floor(at / width)
+    return df.withColumn("w_block", F.explode(F.sequence(first, F.floor((at + back) / width)))).withColumn("w_own", F.col("w_block") == first)
+
+
+def own_rows(df: DataFrame) -> DataFrame:
+    return df.filter("w_own").drop("w_block", "w_own")
+
+
 def rolling_sum(df: DataFrame, keys: Sequence[str], value: str, days: int, out: str, day: str = "date") -> DataFrame:
     """Over the last ``days`` days, this one included. Days without a row need none."""
-    return df.withColumn(out, F.sum(value).over(by_day(keys, day).rangeBetween(-(days - 1), 0)))
+    blocks = in_blocks(df, day, days - 1, max(366, 4 * days))
+    return own_rows(blocks.withColumn(out, F.sum(value).over(by_day([*keys, "w_block"], day).rangeBetween(-(days - 1), 0))))
 
 
 def decay_sum(df: DataFrame, keys: Sequence[str], value: str, out: str, half_life: float = DEFAULT.half_life_days, day: str = "date") -> DataFrame:
@@ -42,12 +59,25 @@ def decay_sum(df: DataFrame, keys: Sequence[str], value: str, out: str, half_lif
 def seasonal_z(df: DataFrame, keys: Sequence[str], value: str, out: str = "zscore", by: str | None = None, cfg: Config = DEFAULT, day: str = "date", min_periods: int | None = None) -> DataFrame:
     """(value - mean) / (sd + epsilon) over days t-365 to t-8; null with fewer than ``min_periods`` of them.
 
-    ``by``: None, 'weekday' or 'month' compares like days only.
+    ``by``: None, 'weekday' or 'month' compares like days only. Count, sum and sum of squares of a frame are the
+    running ones up to its end less those before its start, so a day costs the same whatever the frame's length; they run
+    inside blocks of days, around the block's mean.
     """
     extra: list[Column] = {None: [], "weekday": [F.weekday(day)], "month": [F.month(day)]}[by]
-    w = Window.partitionBy(*keys, *extra).orderBy(F.unix_date(day)).rangeBetween(-cfg.lookback_days, -cfg.gap_days)
-    enough = F.count(value).over(w) >= (cfg.min_periods if min_periods is None else min_periods)
-    return df.withColumn(out, F.when(enough, (F.col(value) - F.avg(value).over(w)) / (F.stddev_samp(value).over(w) + cfg.epsilon)))
+    w = Window.partitionBy(*keys, *extra, "w_block").orderBy(F.unix_date(day))
+    x = F.col(value).cast("double")
+    centred = in_blocks(df, day, cfg.lookback_days).withColumn("w_mean", F.avg(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("w_x", x - F.col("w_mean"))
+
+    def inside(c: Column) -> Column:
+        upto = lambda last: F.coalesce(F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, -last)), F.lit(0.0))
+        return upto(cfg.gap_days) - upto(cfg.lookback_days + 1)
+
+    summed = centred.withColumns({"w_n": inside(F.col("w_x").isNotNull().cast("double")), "w_s": inside(F.col("w_x")), "w_ss": inside(F.col("w_x") * F.col("w_x"))})
+    n, mean = F.col("w_n"), F.col("w_s") / F.col("w_n")
+    sd = F.when(n > 1, F.sqrt(F.greatest((F.col("w_ss") - n * mean * mean) / (n - 1), F.lit(0.0))))
+    enough = n >= (cfg.min_periods if min_periods is None else min_periods)
+    scored = summed.withColumn(out, F.when(enough & (n > 0), (F.col("w_x") - mean) / (sd + cfg.epsilon)))
+    return own_rows(scored).drop("w_mean", "w_x", "w_n", "w_s", "w_ss")
 
 
 def winsorize(df: DataFrame, keys: Sequence[str], value: str, out: str, fit_end: str, low: float = 0.01, high: float = 0.99, day: str = "date") -> DataFrame:
