@@ -125,22 +125,39 @@ def windowed(daily: DataFrame, keys: Sequence[str], sums: Sequence[str], means:
     return out.withColumns({k: F.lit(v) for k, v in VERSIONS.items()} | {"created_at": F.current_timestamp()})
 
 
-def gold_pair_day_relation(events: DataFrame, cfg: Config = DEFAULT, min_periods: int | None = None) -> DataFrame:
-    """The Gold table of directed pairs: a row per date with events, pair, relation and window."""
-    keys = ["src_entity_id", "dst_entity_id", "relation_id"]
+PAIR, STATE = ("src_entity_id", "dst_entity_id", "relation_id"), ("entity_id", "state_name")
+
+
+def pair_daily(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """What the windows of pairs add up: a row per date with events, pair and relation. A date needs only its own events."""
     daily = normalize_pair(pair_day_relation(events, cfg), entity_exposure(events), cfg=cfg).withColumn("tone_sum", F.col("avg_tone") * F.col("event_count")).drop("src_exposure", "dst_exposure")
     named = events.select(F.col("event_date").alias("date"), F.col("actor1_entity_id").alias("src_entity_id"), F.col("actor2_entity_id").alias("dst_entity_id"), "relation_id", "source_domain")
-    daily = daily.join(source_diversity(named, ["date", *keys]), ["date", *keys])
+    return daily.join(source_diversity(named, ["date", *PAIR]), ["date", *PAIR])
+
+
+def pair_windows(daily: DataFrame, cfg: Config = DEFAULT, min_periods: int | None = None) -> DataFrame:
     sums = ["event_count", "mention_count", "source_count", "goldstein_sum", "weighted_score", "exposure_adjusted_score", "tone_sum"]
-    out = windowed(daily, keys, sums, ["source_diversity"], "exposure_adjusted_score", cfg, min_periods)
+    out = windowed(daily, PAIR, sums, ["source_diversity"], "exposure_adjusted_score", cfg, min_periods)
     return out.withColumns({"avg_tone": F.col("tone_sum") / F.col("event_count"), "uncertainty": 1 / F.sqrt("event_count")}).drop("tone_sum")
 
 
+def gold_pair_day_relation(events: DataFrame, cfg: Config = DEFAULT, min_periods: int | None = None) -> DataFrame:
+    """The Gold table of directed pairs: a row per date with events, pair, relation and window."""
+    return pair_windows(pair_daily(events, cfg), cfg, min_periods)
+
+
+def state_daily(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    return normalize_entity(country_day_state(events, cfg).drop("uncertainty"), entity_exposure(events), "weighted_score", cfg=cfg)
+
+
+def state_windows(daily: DataFrame, cfg: Config = DEFAULT, min_periods: int | None = None) -> DataFrame:
+    out = windowed(daily, STATE, ["raw_count", "weighted_score", "exposure_adjusted_score"], [], "exposure_adjusted_score", cfg, min_periods)
+    return out.withColumn("uncertainty", 1 / F.sqrt("raw_count"))
+
+
 def gold_country_day_state(events: DataFrame, cfg: Config = DEFAULT, min_periods: int | None = None) -> DataFrame:
     """The Gold table of country states: a row per date with events, entity, state and window."""
-    daily = normalize_entity(country_day_state(events, cfg).drop("uncertainty"), entity_exposure(events), "weighted_score", cfg=cfg)
-    out = windowed(daily, ["entity_id", "state_name"], ["raw_count", "weighted_score", "exposure_adjusted_score"], [], "exposure_adjusted_score", cfg, min_periods)
-    return out.withColumn("uncertainty", 1 / F.sqrt("raw_count"))
+    return state_windows(state_daily(events, cfg), cfg, min_periods)
 
 
 def gold_entity_theme_day(events: DataFrame, cfg: Config = DEFAULT, min_periods: int | None = None) -> DataFrame:
