@@ -1,20 +1,25 @@
 """Personal data by bootstrapped contextual extraction.
 
-Four patterns (email, ip, card, phone) find the seeds, and a fifth kind, secret, has assigned and quoted
-strings of ``SECRET_LENGTH`` characters or more that mix letters with digits. Every other token with a
-digit or an at sign is a candidate, groups of digits joined by single blanks, dots, slashes or hyphens
-count as one token. Seeds and candidates carry the lexical patterns that they stand in: the two tokens
-before them, the tokens on either side, the same with one left out, and the token before with the form
-of what it leads to. Patterns and instances make up a graph with edge counts, which Spark scores in
-rounds until the trusted patterns stay the same: a pattern's score for a kind is the share of its
-occurrences that instances known for that kind account for, and an instance's is the best of its
-patterns'. Patterns that reach ``TRUSTED`` and stand on ``SUPPORT`` different instances mark the
-candidates they hold; those spans are added to the seeds', which all stay. What has the whole form of a
-kind and fails its check (a card number that Luhn's rule refutes) counts against its patterns and is
-never marked.
-
-Offsets are in code points, ends exclusive. Instances and patterns are known by 64-bit hashes of their
-whole strings. A null text is read as empty. Rows are kept apart even if they are equal or share a
+Four patterns (email, ip, card, phone) find the seeds. A fifth kind, secret, starts from ``EXAMPLES``
+different strings (those with the smallest hashes) of the assigned and quoted ones of ``SECRET_LENGTH``
+characters or more that mix letters with digits; all others have to be found by what those few teach.
+Every other token with a digit or an at sign is a candidate, groups of digits joined by single blanks,
+dots, slashes or hyphens count as one token. Seeds and candidates carry the lexical patterns that they
+stand in: the two tokens before them, the tokens on either side, the same with one left out, and the token
+before with the form of what it leads to.
+
+First, a pattern is believed for a kind if ``SUPPORT`` different seeds stand in it and they make up
+``TRUSTED`` of what speaks for or against it; candidates of a shape that the kind's seeds have say nothing
+yet, all others speak against it. What it holds of such a shape becomes known. Then patterns and instances
+make up a graph with edge counts, which Spark scores in rounds until the trusted patterns stay the same: a
+pattern's score for a kind is the share of its occurrences that instances known for that kind account for,
+and an instance's is the best of its patterns'. Patterns that reach ``TRUSTED`` and stand on ``SUPPORT``
+different instances mark the candidates they hold; all of these spans are added to the seeds', which all
+stay. What has the whole form of a kind and fails its check (a card number that Luhn's rule refutes) counts
+against its patterns and is never marked.
+
+Offsets are in code points, ends exclusive. Instances, shapes and patterns are known by 64-bit hashes of
+their whole strings. A null text is read as empty. Rows are kept apart even if they are equal or share a
 doc_id. Candidates never overlap seeds. An empty table gives no rows.
 """
 
@@ -36,7 +41,7 @@ BASE, SECRET = 4, 4
 ROUNDS, TRUSTED, SUPPORT, SMOOTH = 12, 0.8, 5, 1.0
 #: Kinds of mentions that are no seeds: open ones, and those that a check has refuted.
 OPEN, REFUTED = -1, -2
-SECRET_LENGTH = 20
+SECRET_LENGTH, EXAMPLES = 20, 20
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -117,6 +122,11 @@ def form(word: str) -> str:
     return f"{RUNS.sub(lambda m: m.group(1) + '+', LETTERS.sub('a', DIGITS.sub('9', word)))} {len(word).bit_length()}"
 
 
+def shape(word: str) -> str:
+    """Which kinds of characters a token has, and how many, in powers of two."""
+    return "".join(sorted({"9" if c in "0123456789" else "a" if c.isalpha() else c for c in word})) + f" {len(word).bit_length()}"
+
+
 def contexts(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str, str]]:
     """The two tokens before each span and the one after it, lower-cased, digits as 9. ``spans`` come by start; the text is read once."""
     before, after = [("^", "^")] * len(spans), ["$"] * len(spans)
@@ -168,10 +178,10 @@ def mentions(text: str, seeds: list[tuple[int, int, int]]) -> list[tuple[int, in
 
 
 def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per row, without its text: the key, its seeds' spans (base ones first) and its mentions."""
+    """One row per row, without its text: the key, its base seeds' spans and its mentions."""
     kind = docs.schema[key].dataType.simpleString()
     span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-    mention = pa.struct([*span, ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
+    mention = pa.struct([*span, ("instance", pa.int64()), ("shape", pa.int64()), ("patterns", pa.list_(pa.int64()))])
     code = lambda x: xxhash.xxh64_intdigest(x) - 2**63
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,16 +192,32 @@ def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
                 base = base_spans(body)
                 held = sorted((a, b) for _, a, b in base)
                 seeds = base + [(SECRET, a, b) for a, b in secrets(body) if not any(x < b and a < y for x, y in held)]
-                spans.append([{"kind": k, "start": a, "end": b} for k, a, b in seeds])
-                said.append([{"kind": k, "start": a, "end": b, "instance": code(i), "patterns": list(map(code, p))} for k, a, b, i, p in mentions(body, seeds)])
+                spans.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
+                said.append([{"kind": k, "start": a, "end": b, "instance": code(i), "shape": code(shape(i)), "patterns": list(map(code, p))} for k, a, b, i, p in mentions(body, seeds)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(span)), pa.array(said, pa.list_(mention))], names=["key", "seeds", "mentions"])
 
     fields = "kind:int,start:int,end:int"
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {kind}, seeds array<struct<{fields}>>, mentions array<struct<{fields},instance:bigint,patterns:array<bigint>>>")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(run, f"key {kind}, seeds array<struct<{fields}>>, mentions array<struct<{fields},instance:bigint,shape:bigint,patterns:array<bigint>>>")
+
+
+def shaped_patterns(occurrences: DataFrame) -> DataFrame:
+    """(pattern, shape, kind): what may be believed before any candidate is known. ``occurrences``: pattern, instance, shape, kind."""
+    edges = occurrences.groupBy("pattern", "instance", "shape", "kind").agg(F.count("*").alias("n"))
+    seeds = edges.filter("kind >= 0")
+    shapes = seeds.groupBy(F.col("kind").alias("k"), "shape").agg(F.count_distinct("instance").alias("instances")).filter(F.col("instances") >= SUPPORT).select("k", "shape", F.lit(True).alias("known"))
+    held = seeds.groupBy("pattern", F.col("kind").alias("k")).agg(F.sum("n").alias("mass"), F.count_distinct("instance").alias("support")).filter(F.col("support") >= SUPPORT)
+    # a pattern's occurrences by what they are: few rows, however often it occurs
+    kinds = edges.groupBy("pattern", "shape", "kind").agg(F.sum("n").alias("n"))
+    met = held.join(kinds, "pattern").join(shapes, ["k", "shape"], "left")
+    silent = (F.col("kind") == F.col("k")) | ((F.col("kind") == OPEN) & F.col("known").isNotNull())
+    weighed = met.groupBy("pattern", "k").agg(F.max("mass").alias("mass"), F.sum(F.when(silent, 0).otherwise(F.col("n"))).alias("against"))
+    trusted = weighed.filter(F.col("mass") / (F.col("mass") + F.col("against") + SMOOTH) >= TRUSTED).select("pattern", "k")
+    return trusted.join(shapes, "k").select("pattern", "shape", F.col("k").alias("kind"))
 
 
-def trusted_patterns(occurrences: DataFrame) -> DataFrame:
-    """(pattern, kind) that are to be believed. ``occurrences``: pattern, instance, kind (below 0: not a seed).
+def trusted_patterns(occurrences: DataFrame, learned: DataFrame | None = None) -> DataFrame:
+    """(pattern, kind) that are to be believed. ``occurrences``: pattern, instance, kind (below 0: not a seed). ``learned``
+    (instance, k): candidates that are known already, each of one kind.
 
     Each round weighs an edge by how sure its instance is of a kind: 1 for a seed, 0 for what a check has
     refuted, else the best score among its patterns so far. Rounds end when the trusted patterns stay the same.
@@ -202,6 +228,9 @@ def trusted_patterns(occurrences: DataFrame) -> DataFrame:
         totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
         sure = edges.filter("kind >= 0").select("pattern", "instance", F.col("kind").alias("k"), "n", F.lit(1.0).alias("p"))
         open_ = edges.filter(F.col("kind") == OPEN).select("pattern", "instance", "n")
+        if learned is not None:
+            sure = work.keep(sure.unionByName(open_.join(learned, "instance").select("pattern", "instance", "k", "n", F.lit(1.0).alias("p"))), "sure")
+            open_ = work.keep(open_.join(learned, "instance", "left_anti"), "open")
         known, mark = sure, None
         for _ in range(ROUNDS):
             mass = known.groupBy("pattern", "k").agg(F.sum(F.col("n") * F.col("p")).alias("mass"), F.sum(F.when(F.col("p") >= TRUSTED, 1).otherwise(0)).alias("support"))
@@ -224,15 +253,27 @@ def written(spans: Column) -> Column:
 
 
 def extract(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, base, spans) of each row: arrays of (kind, start, end), ``spans`` with secrets and what the contexts added."""
+    """(key, base, spans, n_learned) of each row: arrays of (kind, start, end); ``spans`` also has secrets and what the contexts
+    added, which ``n_learned`` counts."""
     rows = materialize(scanned(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "mentions")
-    each = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.kind", "m.start", "m.end", "m.instance", F.explode("m.patterns").alias("pattern"))
-    best = trusted_patterns(each.select("pattern", "instance", "kind")).withColumnRenamed("kind", "told")
-    more = each.filter(F.col("kind") == OPEN).join(best, "pattern").groupBy("row", "start", "end").agg(F.min("told").alias("kind"))
-    added = more.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more")).withColumnRenamed("row", "r")
+    said = rows.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
+    examples = materialize(said.filter(F.col("kind") == SECRET).select("instance").distinct().orderBy("instance").limit(EXAMPLES).withColumn("example", F.lit(True)), "examples")
+    kind = F.when((F.col("kind") == SECRET) & F.col("example").isNull(), OPEN).otherwise(F.col("kind"))
+    named = said.join(F.broadcast(examples), "instance", "left").withColumn("kind", kind).drop("example")  # at most EXAMPLES rows
+    each = named.select("row", "kind", "start", "end", "instance", "shape", F.explode("patterns").alias("pattern"))
+    shaped = materialize(shaped_patterns(each), "shaped")
+    open_ = each.filter(F.col("kind") == OPEN)
+    early = open_.join(shaped.withColumnRenamed("kind", "told"), ["pattern", "shape"])
+    learned = materialize(early.groupBy("instance").agg(F.min("told").alias("k")), "learned")
+    best = trusted_patterns(each.select("pattern", "instance", "kind"), learned).withColumnRenamed("kind", "told")
+    late = open_.join(best, "pattern")
+    span = ["row", "start", "end"]
+    told = early.select(*span, "told").unionByName(late.select(*span, "told")).groupBy(*span).agg(F.min("told").alias("kind")).withColumn("new", F.lit(True))
+    own = named.filter(F.col("kind") == SECRET).select(*span, "kind", F.lit(False).alias("new"))
+    added = told.unionByName(own).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"), F.count_if("new").alias("n_learned")).withColumnRenamed("row", "r")
     joined = rows.join(added, F.col("row") == F.col("r"), "left")
-    base = F.filter("seeds", lambda s: s["kind"] < BASE)
-    return joined.select(F.col("key").alias(key), base.alias("base"), F.when(F.col("more").isNull(), F.col("seeds")).otherwise(F.concat("seeds", "more")).alias("spans"))
+    spans = F.when(F.col("more").isNull(), F.col("seeds")).otherwise(F.concat("seeds", "more"))
+    return joined.select(F.col("key").alias(key), F.col("seeds").alias("base"), spans.alias("spans"), F.coalesce("n_learned", F.lit(0)).alias("n_learned"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,4 +283,4 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
 
     every = F.size("spans").cast("long")
-    return found.select("doc_id", *map(counted, range(BASE)), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), every.alias("n_spans"), (every - F.size("base")).alias("n_added"))
+    return found.select("doc_id", *map(counted, range(BASE)), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), every.alias("n_spans"), (every - F.size("base")).alias("n_added"), "n_learned")

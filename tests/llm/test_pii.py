@@ -143,3 +143,35 @@ def test_long_instances_and_words_are_told_apart(spark):
     marks = pii.mentions(rows[0][1], [])
     other = pii.mentions(rows[1][1], [])
     assert marks[1][3] != other[1][3] and len(marks[1][3]) > 200 and marks[0][3] == rows[0][1].split()[0]
+
+
+def test_a_few_examples_find_the_other_secrets(spark, monkeypatch):
+    """Six examples; the others come out of their contexts, and what has another shape or stands elsewhere stays."""
+    monkeypatch.setattr(pii, "EXAMPLES", 6)
+    rng = random.Random(13)
+    rows = [(i, f'some w{"abcdefghijk"[i % 11]} token = "{rng.getrandbits(160):040x}" and more') for i in range(60)]
+    rows += [(100 + i, f"prose with {rng.getrandbits(160):040x} in it, order {i} of 12 and 3") for i in range(20)]
+    rows += [(200, "x token = 17"), (201, 'nothing "' + "ab12" * 10 + '" here')]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pii.extract(docs).collect()
+    assert all(len(r["spans"]) == 1 and r["spans"][0]["kind"] == pii.SECRET for r in got if r["doc_id"] < 60)
+    assert sum(r["n_learned"] for r in got if r["doc_id"] < 60) == 54
+    assert not any(r["spans"] for r in got if 100 <= r["doc_id"] < 200 or r["doc_id"] == 201)
+
+
+def test_patterns_believed_at_first_equal_plain_counts(spark):
+    rng = random.Random(14)
+    rows = [(f"p{rng.randrange(8)}", f"i{rng.randrange(60)}") for _ in range(500)]
+    kinds = {f"i{i}": rng.choice([-1, -1, -2, 0, 0, 0, 1]) for i in range(60)}
+    shapes = {i: ("x" if k == 0 or rng.random() < 0.9 else "y") if k in (0, -1) else "z" for i, k in kinds.items()}
+    rows = [(p, i, shapes[i], kinds[i]) for p, i in rows if not (p in ("p0", "p1", "p2") and kinds[i] in (-2, 1))]
+    got = {tuple(r) for r in pii.shaped_patterns(spark.createDataFrame(rows, "pattern string, instance string, shape string, kind int")).collect()}
+    known = {(k, s) for k in (0, 1) for s in "xyz" if len({i for _, i, t, q in rows if (q, t) == (k, s)}) >= pii.SUPPORT}
+    want = set()
+    for p in {r[0] for r in rows}:
+        for k in (0, 1):
+            mine = [i for q, i, _, kind in rows if q == p and kind == k]
+            against = sum(q == p and kind != k and not (kind == pii.OPEN and (k, s) in known) for q, _, s, kind in rows)
+            if len(set(mine)) >= pii.SUPPORT and len(mine) / (len(mine) + against + pii.SMOOTH) >= pii.TRUSTED:
+                want |= {(p, s, k) for kk, s in known if kk == k}
+    assert got == want and got
