@@ -7,8 +7,8 @@ it is full, and what is left continues clockwise to the next virtual node whose
 Rows then find their place by their rank inside their own cell.
 
 Repeated or null keys share a position on the ring, and one of them may hold a third of all rows. So a
-cell's rows are ranked in ``SALTS`` parts, by a hash of what they carry, each part after the one before
-it; rows that are equal in all that is returned are counted before they are shuffled, ranked as one,
+cell's rows are ranked in parts, by a hash of what they carry, each part after the one before it: in
+``SALTS`` parts, or in more of about ``PART_ROWS`` rows (of a 131,072th of all rows, if that is more); rows that are equal in all that is returned are counted before they are shuffled, ranked as one,
 and dealt out again in bits of ``DEALT``. Which of them gets which slot makes no difference. An empty
 table gives no rows. Only the named columns are read, so clashing names elsewhere do no harm.
 """
@@ -28,7 +28,7 @@ from presslens.llm.common import materialize, table, text_or_empty
 N_SHARDS = 16
 VNODES = 64
 RING_BITS = 14
-SALTS, DEALT = 8, 10_000
+SALTS, DEALT, PART_ROWS, MOST_PARTS = 8, 10_000, 65_536, 131_072
 
 
 def ring_of(n_shards: int, vnodes: int, ring_bits: int) -> list[tuple[int, int]]:
@@ -92,8 +92,15 @@ def shard_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", n_shard
         F.col(key).alias("k"), point.alias("point"), F.shiftrightunsigned(point, 64 - ring_bits).cast("int").alias("cell"),
         (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
     )
-    salt = F.pmod(F.xxhash64("k", "text_crc32", "size"), F.lit(SALTS)).cast("int")
-    packs = materialize(rows.groupBy("k", "point", "cell", "size", "text_crc32").agg(F.count("*").alias("n")).withColumn("salt", salt), "sharding")  # narrow
+    packs = materialize(rows.groupBy("k", "point", "cell", "size", "text_crc32").agg(F.count("*").alias("n")), "sharding")  # narrow
+    cells = packs.groupBy("cell").agg(F.sum("n").alias("n"))
+    each_part = max(PART_ROWS, (cells.agg(F.sum("n")).first()[0] or 0) // MOST_PARTS)
+    wide = cells.filter(F.col("n") > SALTS * each_part).select("cell", F.ceil(F.col("n") / each_part).alias("parts")).collect()  # bounded by the ring
+    n_parts = F.lit(SALTS)
+    if wide:
+        packs = packs.join(F.broadcast(spark.createDataFrame([(r["cell"], r["parts"]) for r in wide], "cell int, parts long")), "cell", "left")
+        n_parts = F.coalesce("parts", F.lit(SALTS))
+    packs = packs.withColumn("salt", F.pmod(F.xxhash64("k", "text_crc32", "size"), n_parts).cast("int"))
     parts = packs.groupBy("cell", "salt").agg(F.sum("n").alias("n"))
     counts: dict[int, int] = defaultdict(int)
     starts = []

@@ -53,6 +53,15 @@ def test_hot_keys_are_whole_and_spread(spark, monkeypatch):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(750))
 
 
+def test_a_large_cell_has_as_many_parts_as_its_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 20)
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    rows = sharding.shard_rows(docs, n_shards=4, ring_bits=6).collect()
+    assert sorted((r["doc_id"] or -1, r["size"]) for r in rows) == sorted((r["doc_id"] or -1, len(r["text"]) + 1) for r in docs.collect())
+    for s in range(4):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(750))
+
+
 def test_movement_at_the_slack_of_the_query(spark):
     """Without slack a new shard takes its share, and few rows move between the others."""
     docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
