@@ -80,6 +80,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, seed: i
     copies = counted.select("row", "rate", "k", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(0), F.col("copies") - 1))).alias("copy"))
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), "k", F.col("copy").cast("string")))
     placed = copies.withColumn("place", place).withColumn("nth", F.monotonically_increasing_id())
+    if n_sources > BROADCAST_SOURCES:  # rows come out of a shuffled join in an order that a second run of its task needn't repeat
+        placed = materialize(placed, "placed")
     dealt = placed.repartition(F.xxhash64("place", "nth")).sortWithinPartitions("place")
     return dealt.select(*[F.col("row").getField(c).alias(c) for c in keep], F.col("copy").alias("mix_copy"), F.col("rate").alias("mix_rate"), F.col("place").alias("mix_order"))
 
