@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample (``SAMPLE`` distinct vectors) and has a b
 leaves; every row is indexed, by descending to the nearest child at each level. A query keeps a
 priority queue of nodes by the cosine to their centre and visits leaves in that order. How many
 is calibrated: for ``CALIBRATION`` queries the exact neighbours among all rows are found in blocks,
-and visits are widened until ``RECALL`` of those neighbours lie in visited leaves.
+and visits are widened until ``RECALL`` of those neighbours lie in visited leaves. A query whose leaves
+hold fewer than k candidates goes on until they do, or to the last leaf.
 
 Rows with the very same vector have the same cosine to everything, so of each distinct vector only
 the k + 1 smallest ids can ever be among somebody's k nearest; the others are left out before
@@ -211,21 +212,29 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
         shelf_of[leaf] = len(rows_on) - 1
         rows_on[-1] += sizes.get(leaf, 0)
     shelves = spark.sparkContext.broadcast(shelf_of)
+    size_of = np.array([sizes.get(leaf, 0) for leaf in range(n_leaves)], np.int64)
+    # rows with a query's own id are none of its candidates
+    counted = good.filter("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.count("*").alias("own"))
 
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, shelf, leaves = [], [], []
+            own_rows = b.column(3).to_numpy()
             for i, q in enumerate(unit(matrix(b.column(1)))):
-                seen = np.sort(np.array(tree.value.leaves(q, visits), np.int32))
+                order = tree.value.leaves(q, visits)
+                if size_of[order].sum() < k + own_rows[i]:  # leaves that hold too few rows: as many more as it takes
+                    order = tree.value.leaves(q, n_leaves)
+                    order = order[: max(visits, int(np.searchsorted(np.cumsum(size_of[order]), k + own_rows[i])) + 1)]
+                seen = np.sort(np.array(order, np.int32))
                 there = shelves.value[seen]
                 for own in np.split(np.arange(len(seen)), np.flatnonzero(np.diff(there)) + 1):
                     at.append(i)
                     shelf.append(there[own[0]])
                     leaves.append(seen[own])
             part = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shelf, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "q", "query_vector", "shelf", "leaves"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(shelf, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "q", "query_vector", "shelf", "leaves"])
 
-    asks = materialize(queries.mapInArrow(visited, "query_id long, q array<double>, query_vector long, shelf int, leaves array<int>"), "visits")
+    asks = materialize(queries.join(counted, "query_id").select("query_id", "q", "query_vector", "own").mapInArrow(visited, "query_id long, q array<double>, query_vector long, shelf int, leaves array<int>"), "visits")
     loads = {r["shelf"]: r["n"] for r in asks.groupBy("shelf").agg(F.count("*").alias("n")).collect()}
     grid = F.broadcast(spark.createDataFrame([(i, max(1, -(-n // BLOCK)), max(1, -(-loads.get(i, 0) // GROUP))) for i, n in enumerate(rows_on)], "shelf int, blocks int, groups int"))
     place = F.broadcast(spark.createDataFrame([(leaf, int(x)) for leaf, x in enumerate(shelf_of)], "leaf int, shelf int"))

@@ -93,3 +93,16 @@ def test_recall_on_the_given_embeddings(spark):
         s[q] = -2
         hits += len(got[ids[q]] & set(ids[np.argsort(-s)[:5]].tolist()))
     assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()
+
+
+def test_queries_among_lone_leaves_find_all_that_they_should(spark, monkeypatch):
+    """Leaves of a single row and one visit by calibration: visits are widened until there are k candidates."""
+    monkeypatch.setattr(ann, "LEAF", 1)
+    monkeypatch.setattr(ann, "RECALL", 0.05)
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(60)] + [(7, [float(x) for x in rng.normal(size=6)]) for _ in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 7 == 0, recall=0.05).groupBy("query_id", "query_vector").count().collect()
+    assert len(got) == 12 and {r["count"] for r in got} == {5}
+    few = ann.search(df.filter("vec_id < 4"), F.col("vec_id") == 0, recall=0.05).collect()
+    assert sorted(r["vec_id"] for r in few) == [1, 2, 3]
