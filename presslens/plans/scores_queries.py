@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from presslens.config import UNCERTAINTY_TERMS
 from presslens.functions.weights import event_weight
-from presslens.operators import evidence, gold, graph, graph_series, indices, scans, silver, windows
+from presslens.operators import cascades, evidence, gold, graph, graph_series, indices, scans, silver, windows
 from presslens.plans.catalog import query
 from presslens.plans.tables_queries import BOTH, DENSE, EV, EXPO, NORM, PAIRS, daily_dense, events, r, rounded
 from presslens.sources.fixtures import table, view
@@ -322,6 +322,47 @@ def x6(s, d):
     return evidence.diffusion(articles(s, d), "theme_id", "source_domain").withColumn("first_seen", F.unix_timestamp("first_seen"))
 
 
+CARRIED = r"""copied as (select sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ')) as group_id, source_domain as source, epoch(date_trunc('second', min(published_ts)))::bigint as first_at from world_article group by 1, 2),
+ started as (select *, min(first_at) over (partition by group_id) as root_at, count(*) over (partition by group_id) as sources from copied),
+ known as (select * from started join (select source, 1 + count(*) filter (where first_at = root_at and sources > 1) as influence from started group by 1) using (source))"""
+
+
+def chosen_sql(name, rows, keys):
+    """Of all earlier carriers of a group the likeliest, by looking at every pair."""
+    same = " and ".join(f"a.{k} = b.{k}" for k in keys)
+    return f"""{name} as (select a.*, b.source as parent, b.first_at as parent_at from {rows} a left join {rows} b on {same} and b.first_at < a.first_at
+ qualify row_number() over (partition by {", ".join(f"a.{k}" for k in keys)}, a.source order by ln(b.influence) + (b.first_at - b.root_at) / (24 * 3600 / ln(2)) desc, b.source) = 1)"""
+
+
+TREE = f"""{CARRIED}, {chosen_sql("linked", "known", ["group_id"])},
+ tree as (select *, 0 as depth, source as root from linked where parent is null union all select l.*, t.depth + 1, t.root from linked l join tree t on l.group_id = t.group_id and l.parent = t.source)"""
+
+
+def carried(s, d):
+    copies = evidence.copy_groups(articles(s, d)).select("article_id", F.col("content_hash").alias("group_id"))
+    return cascades.carriers(articles(s, d), copies)
+
+
+@query("x6_copy_chains", f"with recursive {TREE} select group_id, source, first_at, parent, first_at - parent_at as delay, root, depth from tree")
+def x6_chains(s, d):
+    return cascades.propagation(carried(s, d)).select("group_id", "source", "first_at", "parent", "delay", "root", "depth")
+
+
+@query("x6_cascades", f"""with recursive {TREE}, placed as (select *, row_number() over (partition by group_id order by first_at, source) as k from tree)
+ select group_id, count(*) as sources, max(depth) as max_depth, round(avg(depth), 6) as mean_depth, max(first_at - root_at) filter (where k = 2) as delay_2, max(first_at - root_at) filter (where k = 3) as delay_3, max(first_at - root_at) filter (where k = 5) as delay_5 from placed group by 1""")
+def x6_cascades(s, d):
+    return rounded(cascades.summaries(cascades.propagation(carried(s, d)), (2, 3, 5)), "mean_depth", n=6)
+
+
+@query("x5_source_leads", f"""with {CARRIED}, many as (select * from known where sources > 1), {chosen_sql("linked", "many", ["group_id"])}, times as (select *, row_number() over (partition by group_id order by first_at, source) as place from many),
+ dealt as (select r.i::int as round, m.group_id, m.source, m.influence, row_number() over (partition by r.i, m.group_id order by md5(concat_ws(':', 'leads', r.i, m.group_id, m.source)), m.source) as place from many m, range(1, 20) r(i)),
+ chance as (select e.round, e.group_id, e.source, e.influence, t.first_at, t.root_at from dealt e join times t using (group_id, place)), {chosen_sql("by_chance", "chance", ["round", "group_id"])},
+ n as (select parent as leader, source as follower, count(*) as n from linked where parent is not null group by 1, 2), c as (select round, parent as leader, source as follower, count(*) as m from by_chance where parent is not null group by 1, 2, 3)
+ select n.leader, n.follower, n.n, coalesce(any_value(b.n), 0) as n_back, count(c.round) as at_least, (1 + count(c.round))::double / 20 as p from n left join n b on b.leader = n.follower and b.follower = n.leader left join c on c.leader = n.leader and c.follower = n.follower and c.m >= n.n group by 1, 2, 3""")
+def x5_leads(s, d):
+    return cascades.leads(carried(s, d))
+
+
 @query("x7_amplification", """with c as (select theme_id, language, count(*) as n from world_article group by 1, 2) select theme_id, language, n, round((n / sum(n) over (partition by theme_id)) / (sum(n) over (partition by language) / sum(n) over ()), 4) as ratio from c""")
 def x7(s, d):
     return rounded(evidence.amplification(articles(s, d), "theme_id", "language"), "ratio")
