@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from presslens.config import TENSION_WEIGHTS
 from presslens.functions.weights import event_weight
 from presslens.operators import api, counts, factors, gold, indices, models, quality, scans, silver, validation, windows
 from presslens.plans.catalog import query
@@ -334,6 +335,21 @@ def v23(s, d):
     return rounded(sensitivity(view(s, d, "world_event"), "actor1_entity_id", "num_mentions", (0.4, 0.5, 0.6)), "slope", n=3)
 
 
+GRAD = {
+    "mentions_power": "v * ln(ln(1 + num_mentions))", "sources_power": "v * ln(1 + num_sources)", "goldstein_weight": "v / (1 + 0.6 * abs(goldstein) / 10) * abs(goldstein) / 10",
+    "tone_weight": "v / (1 + 0.4 * h) * h", "tone_scale": "v / (1 + 0.4 * h) * 0.4 * (1 - h * h) * avg_tone / 100", "half_life_days": "v * age * ln(2) / (14.0 * 14.0)",
+}
+
+
+@query("v23_index_gradient", f"""with {EV}, x as (select *, tanh(-avg_tone / 10) as h, date '1997-06-30' - event_date as age, case relation_id when 'cooperation' then -1 else 1 end as sign from ev where relation_id in {tuple(TENSION_WEIGHTS)} and event_date <= date '1997-06-30'), y as (select *, w * exp(-age * ln(2) / 14.0) as v from x)
+ select actor1_entity_id as entity_id, round(sum(sign * v), 4) as "index", {", ".join(f"round(sum(sign * {sql}), 4) as d_{name}" for name, sql in GRAD.items())}, {", ".join(f"round(coalesce(sum(v) filter (where relation_id = '{name}'), 0), 4) as d_{name}" for name in TENSION_WEIGHTS)} from y group by 1""")
+def v23_gradient(s, d):
+    from presslens.operators.robustness import index_gradient
+
+    found = index_gradient(events(s, d), "actor1_entity_id", "1997-06-30")
+    return rounded(found, *found.columns[1:])
+
+
 # --- data quality
 def check(name, sql, f):
     query(name, sql)(f)
@@ -490,6 +506,19 @@ def r3(s, d):
     return ran(streams.stream_counts(event_stream(s, d), "7 days", "1 day"), "complete").select(F.unix_timestamp("start").alias("start"), "event_type", "n", r("total").alias("total"))
 
 
+@query("r4_late_corrections", """with h as (select max(ts) - interval 1 day as horizon from events where user_id % 10 <> 3) select ts::date as date, event_type, count(*) as n, round(sum(value), 4) as total, count(*) filter (where user_id % 10 = 3 and ts < horizon) as late from events, h group by 1, 2""")
+def r4(s, d):
+    """Every tenth user's events come after all others, most of them behind the watermark."""
+    at = f"{own_dir(s)}/late-{uuid.uuid4().hex}"
+    sent = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("date", F.to_date("ts"))
+    for behind in (F.col("user_id") % 10 != 3, F.col("user_id") % 10 == 3):
+        sent.filter(behind).write.mode("append").parquet(f"{at}/sent")
+        streams.stream_corrected(streams.stream_files(s, f"{at}/sent", sent.schema), f"{at}/table", f"{at}/checkpoint", ["event_type"], {"n": F.count("*"), "total": F.sum("value")}, "1 day")
+    late = s.read.parquet(f"{at}/table/late").groupBy("date", "event_type").agg(F.count("*").alias("late"))
+    found = streams.corrected(s, f"{at}/table", "gold").join(late, ["date", "event_type"], "left").fillna(0, ["late"])
+    return found.select("date", "event_type", "n", r("total").alias("total"), "late")
+
+
 @query("r5_stream_dedupe", "select user_id, event_type, 1::bigint as n from events group by 1, 2")
 def r5(s, d):
     kept = ran(streams.stream_dedupe(event_stream(s, d), ["user_id", "event_type"], "365 days"))

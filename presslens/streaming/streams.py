@@ -124,3 +124,56 @@ def upsert_dates(df: DataFrame, path: str, checkpoint: str, keys: list[str], agg
             fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(f"{path}/gold")
 
     df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def corrected(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """``gold`` or ``corrections`` under ``path``, without the columns that only place files."""
+    return spark.read.parquet(f"{path}/{part}").drop("batch_number")
+
+
+def stream_corrected(df: DataFrame, path: str, checkpoint: str, keys: list[str], aggs: dict[str, Column], late: str, day: str = "date", ts: str = "ts") -> None:
+    """Gold by day that late rows correct, where a windowed stream would drop them.
+
+    A row is late if its ``ts`` lies more than ``late`` before the last one of all earlier batches. Rows in
+    time go to ``silver``, late ones to the side table ``late``; either way Gold of the days that a batch
+    touches is written anew from both. What late rows change is also written to ``corrections``: each group
+    as it was, with ``sign`` -1, and as it is, with 1, so that who keeps sums of Gold elsewhere adds sign
+    times value. Rows without a time are never late; rows without a day form a day of their own (null).
+
+    A batch that runs again replaces its own files: what was before it is read by batch number. Only the
+    touched days are read back; their number is bounded by the calendar.
+    """
+
+    def store(rows: DataFrame, name: str, number: int, by: str = day) -> None:
+        placed = rows.withColumn("batch_number", F.lit(number))
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "batch_number").parquet(f"{path}/{name}")
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            seen = None
+            if exists(spark, f"{path}/seen"):
+                seen = spark.read.parquet(f"{path}/seen").filter(F.col("batch_number") < number).agg(F.max("last")).first()[0]
+            behind = F.lit(False) if seen is None else F.coalesce(F.col(ts) < F.lit(seen) - F.expr(f"interval {late}"), F.lit(False))
+            touched = [r[0] for r in batch.select(day).distinct().collect()]
+            if not touched:
+                return
+            store(batch.filter(~behind), "silver", number)
+            store(batch.filter(behind), "late", number)
+            batch.agg(F.max(ts).alias("last")).withColumn("batch_number", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_number").parquet(f"{path}/seen")
+            here = F.col(day).isin([x for x in touched if x is not None])
+            here = here | F.col(day).isNull() if None in touched else here
+            placed = T.StructType([*batch.schema.fields, T.StructField("batch_number", T.IntegerType())])
+            read = lambda name: spark.read.schema(placed).parquet(f"{path}/{name}").filter(here & (F.col("batch_number") <= number))
+            rows = read("silver").withColumn("is_new", F.lit(False)).unionByName(read("late").withColumn("is_new", F.col("batch_number") == number))
+            total = lambda part: part.groupBy(day, *keys).agg(*[c.alias(name) for name, c in aggs.items()])
+            changed = batch.filter(behind).select(day, *keys).distinct()
+            same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (day, *keys)]
+            signed = total(rows.filter("not is_new")).withColumn("sign", F.lit(-1)).unionByName(total(rows).withColumn("sign", F.lit(1)))
+            store(signed.alias("a").join(changed.alias("b"), same, "left_semi"), "corrections", number)
+            total(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(f"{path}/gold")
+        finally:
+            batch.unpersist()
+
+    df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

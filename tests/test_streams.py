@@ -61,3 +61,31 @@ def test_decay_matches_the_batch_form(spark, tmp_path):
     (r,) = streams.run_to_table(df, str(tmp_path / "out"), str(tmp_path / "check"), "update").collect()
     spark.conf.set(setting, before)
     assert abs(r["level"] - (5 + 2 / 8 + 1 / 16)) < 1e-9
+
+
+def test_late_rows_correct_their_days(spark, tmp_path):
+    schema = "ts timestamp, k string, v long, date date"
+    src, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")
+
+    def send(*rows):
+        df = spark.createDataFrame(list(rows), "ts string, k string, v long").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.withColumn("date", F.to_date("ts")).coalesce(1).write.mode("append").parquet(src)
+        run()
+
+    def run():
+        streams.stream_corrected(streams.stream_files(spark, src, spark.createDataFrame([], schema).schema), out, check, ["k"], {"n": F.count("*"), "v": F.sum("v")}, "1 day")
+
+    found = lambda part: {(str(r["date"]), r["k"], r["n"], r["v"], r["sign"]) if part == "corrections" else (str(r["date"]), r["k"], r["n"], r["v"]) for r in streams.corrected(spark, out, part).collect()}
+    send(("2024-01-01 00:00:00", "a", 1), ("2024-01-01 01:00:00", None, 2), ("2024-01-05 12:00:00", "a", 3))
+    send(("2024-01-04 12:00:00", "a", 5), ("2024-01-06 00:00:00", "a", 7))  # within a day: in time
+    assert found("gold") == {("2024-01-01", "a", 1, 1), ("2024-01-01", None, 1, 2), ("2024-01-05", "a", 1, 3), ("2024-01-04", "a", 1, 5), ("2024-01-06", "a", 1, 7)}
+    send(("2024-01-01 02:00:00", None, 10), ("2024-01-02 00:00:00", "b", 20), ("2024-01-06 01:00:00", "a", 30), (None, "c", 40))
+    want = {("2024-01-01", "a", 1, 1), ("2024-01-01", None, 2, 12), ("2024-01-02", "b", 1, 20), ("2024-01-05", "a", 1, 3), ("2024-01-04", "a", 1, 5), ("2024-01-06", "a", 2, 37), ("None", "c", 1, 40)}
+    signed = {("2024-01-01", None, 1, 2, -1), ("2024-01-01", None, 2, 12, 1), ("2024-01-02", "b", 1, 20, 1)}
+    assert found("gold") == want and found("corrections") == signed
+    commit = max((tmp_path / "check" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commit.unlink()  # as if it had stopped before it was done
+    commit.with_name(f".{commit.name}.crc").unlink(missing_ok=True)
+    run()
+    assert found("gold") == want and found("corrections") == signed
+    assert spark.read.parquet(f"{out}/late").count() == 2
