@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presslens.config import DEFAULT, Config
+from presslens.operators.evidence import search_evidence
 
 
 def guard(start: str, end: str, entities: Sequence[str] = (), cfg: Config = DEFAULT) -> None:
@@ -46,6 +47,12 @@ def latest_versions(registry: DataFrame, by: str, version: str, created: str) ->
     return registry.groupBy(by).agg(F.max_by(version, F.struct(created, version)).alias("version"), F.count("*").alias("n"))
 
 
+def search(articles: DataFrame, terms: Sequence[str], start: str, end: str, k: int, cfg: Config = DEFAULT, fields: Sequence[str] = ("text",)) -> DataFrame:
+    """The best ``k`` articles of a range of days by BM25 over ``fields`` (text, names of persons and organizations, themes), within the caller's limits."""
+    guard(start, end, cfg=cfg)
+    return search_evidence(articles, terms, start, end, min(k, cfg.max_rows), fields=fields)
+
+
 def page(df: DataFrame, key: str, after: int | str | None, n: int, cfg: Config = DEFAULT) -> DataFrame:
     """The next rows by key; no offset that grows."""
     rest = df if after is None else df.filter(F.col(key) > after)

@@ -44,6 +44,14 @@ def running_before(df: DataFrame, order: Sequence[str], value: Column, out: str,
     return joined.withColumn(out, F.coalesce("range_start", F.lit(0)) + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("range_part", "range_start")
 
 
+def greatest_before(df: DataFrame, order: Sequence[str], value: Column, out: str, groups: Sequence[str]) -> DataFrame:
+    """``df`` with the greatest ``value`` over the rows of its group that come before in ``order`` (which has to be total); else null."""
+    ranged = _dealt(df, order, groups)
+    joined = _beside(ranged, _continued(ranged, groups, F.max(value), F.max("range_total")), groups)
+    inside = Window.partitionBy(*groups, "range_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return joined.withColumn(out, F.greatest("range_start", F.max(value).over(inside))).drop("range_part", "range_start")
+
+
 def least_before(df: DataFrame, at: str, value: Column, out: str, groups: Sequence[str]) -> DataFrame:
     """``df`` with the least ``value`` (a number or struct) among the rows of its group whose ``at``, a long, is smaller; else null."""
     ranged = _dealt(df, [at], groups)  # rows equal in group and ``at`` share a range

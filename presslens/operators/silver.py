@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from presslens.config import DEFAULT, FINE_RULES, RELATIONS, RELATION_RULES, Config
 from presslens.functions.urls import normalize_url
+from presslens.operators.ranges import running_before
 
 UNKNOWN = "unknown"
 SILVER_TYPES = {"quad_class": "int", "num_mentions": "bigint", "num_sources": "bigint", "num_articles": "bigint", "goldstein": "double", "avg_tone": "double"}
@@ -76,20 +77,35 @@ def with_dedupe_key(events: DataFrame) -> DataFrame:
 def dedupe_events(events: DataFrame) -> DataFrame:
     """One row per dedupe_key, the one with the smallest source_event_id, with its copies folded in.
 
-    ``min_by`` and the sums combine before the shuffle, so a hot key costs one row per task.
+    ``min_by`` and the sums combine before the shuffle, by key and address, so a hot key costs a row per
+    task and address. Of addresses the row has the first and the number; ``source_urls`` lists all.
     """
     keep = [c for c in events.columns if c not in ("dedupe_key", "num_mentions", "num_sources", "source_url")]
     kept = F.min_by(F.struct(*keep), F.col("source_event_id")).alias("row")
     folded = events.groupBy("dedupe_key").agg(
         kept, F.sum("num_mentions").alias("num_mentions"), F.max("num_sources").alias("num_sources"),
-        F.sort_array(F.collect_set("source_url")).alias("source_urls"), F.count("*").alias("copies"),
+        F.min("source_url").alias("source_url"), F.count_distinct("source_url").alias("n_urls"), F.count("*").alias("copies"),
     )
-    return folded.select("dedupe_key", "row.*", "num_mentions", "num_sources", "source_urls", "copies")
+    return folded.select("dedupe_key", "row.*", "num_mentions", "num_sources", "source_url", "n_urls", "copies")
+
+
+def source_urls(events: DataFrame) -> DataFrame:
+    """(dedupe_key, source_url, copies): every address of a key, a row each, so that no key's list is held in one row."""
+    return events.filter("source_url is not null").groupBy("dedupe_key", "source_url").agg(F.count("*").alias("copies"))
+
+
+def with_diversity(events: DataFrame, cell: Sequence[str], source: str = "source_domain") -> DataFrame:
+    """``source_diversity``: the effective number of sources of an event's cell. Null in a cell counts as a value."""
+    from presslens.operators.gold import source_diversity
+
+    found = source_diversity(events, list(cell), source)
+    found = found.select("source_diversity", *[F.col(c).alias(f"cell_{c}") for c in cell])
+    return events.join(found, [F.col(c).eqNullSafe(F.col(f"cell_{c}")) for c in cell]).drop(*[f"cell_{c}" for c in cell])
 
 
 def copy_ranks(events: DataFrame) -> DataFrame:
-    """``copy_rank`` from 1 within each dedupe_key."""
-    return events.withColumn("copy_rank", F.row_number().over(Window.partitionBy("dedupe_key").orderBy("source_event_id")))
+    """``copy_rank`` from 1 within each dedupe_key, by source_event_id. A key of many copies is ranked by ranges, in many tasks."""
+    return running_before(events, ["source_event_id"], F.lit(1), "copy_rank", ["dedupe_key"]).withColumn("copy_rank", (F.col("copy_rank") + 1).cast("int"))
 
 
 def stamp(df: DataFrame, feature_version: str, param_version: str) -> DataFrame:

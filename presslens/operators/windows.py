@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from presslens.config import DEFAULT, Config
 from presslens.functions.weights import tau
+from presslens.operators.ranges import greatest_before, running_before
 
 
 def by_day(keys: Sequence[str], day: str = "date") -> WindowSpec:
@@ -108,10 +109,11 @@ def rolling_beta(df: DataFrame, keys: Sequence[str], x: str, y: str, rows: int,
 
 
 def rolling_stability(betas: DataFrame, keys: Sequence[str], beta: str = "beta") -> DataFrame:
-    """Share of windows whose slope has the sign of their mean."""
-    whole = betas.groupBy(*keys).agg(F.signum(F.avg(beta)).alias("s"), F.collect_list(F.signum(beta)).alias("signs"))
-    share = F.try_divide(F.size(F.filter("signs", lambda x: x == F.col("s"))), F.size("signs"))  # null without any slope
-    return whole.select(*keys, share.alias("sign_stability"))
+    """Share of windows whose slope has the sign of their mean; null without any slope."""
+    sign = F.signum(beta)
+    whole = betas.groupBy(*keys).agg(F.signum(F.avg(beta)).alias("s"), F.count(beta).alias("n"), *[F.count_if(sign == s).alias(name) for name, s in (("below", -1), ("zero", 0), ("above", 1))])
+    agreed = F.when(F.col("s") < 0, F.col("below")).when(F.col("s") > 0, F.col("above")).otherwise(F.col("zero"))
+    return whole.select(*keys, F.try_divide(agreed, F.col("n")).alias("sign_stability"))
 
 
 def exp_smooth(df: DataFrame, keys: Sequence[str], value: str, a: float, day: str = "date") -> DataFrame:
@@ -126,9 +128,17 @@ def exp_smooth(df: DataFrame, keys: Sequence[str], value: str, a: float, day: st
 
 
 def leaderboard(runs: DataFrame, score: str) -> DataFrame:
-    """Rank of each run overall. Runs are a registry, of thousands at most."""
-    w = Window.orderBy(F.desc(score))
-    return runs.withColumn("rank", F.dense_rank().over(w)).withColumn("percent_rank", F.percent_rank().over(w))
+    """``rank`` (dense, best first) and ``percent_rank`` of each run overall; equal scores share both, null scores come last.
+
+    Distinct scores are ranked by ranges, each with the number of its runs.
+    """
+    places = runs.groupBy(F.col(score).alias("placed_score")).agg(F.count("*").alias("n")).select("placed_score", "n", F.col("placed_score").isNull().alias("unscored"), (-F.col("placed_score")).alias("down"))
+    placed = running_before(running_before(places, ["unscored", "down"], F.lit(1), "better_scores"), ["unscored", "down"], F.col("n"), "better_runs")
+    ranks = placed.select("placed_score", (F.col("better_scores") + 1).cast("int").alias("rank"), "better_runs")
+    total = places.agg(F.sum("n").alias("all_runs"))  # one row
+    share = F.coalesce(F.try_divide("better_runs", F.col("all_runs") - 1), F.lit(0.0))
+    joined = runs.join(ranks, F.col(score).eqNullSafe(F.col("placed_score"))).join(F.broadcast(total))
+    return joined.withColumn("percent_rank", share).drop("placed_score", "better_runs", "all_runs")
 
 
 def regime_shift(df: DataFrame, keys: Sequence[str], value: str, n: int, threshold: float, day: str = "date") -> DataFrame:
@@ -142,8 +152,16 @@ def regime_shift(df: DataFrame, keys: Sequence[str], value: str, n: int, thresho
 
 
 def narrative_gaps(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: int, tie: str) -> DataFrame:
-    """First appearance, seconds since the one before, and a running number of sessions split by long gaps."""
-    w = Window.partitionBy(*keys).orderBy(ts, tie)
-    gap = F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(w))
-    out = df.withColumn("first_seen", F.min(ts).over(Window.partitionBy(*keys))).withColumn("gap", gap)
-    return out.withColumn("session", F.sum(F.when(F.col("gap") > gap_seconds, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """First appearance, seconds since the one before, and a running number of sessions split by long gaps.
+
+    What came before is the latest of all that did, so it is found by ranges of (``ts``, ``tie``), which has
+    to be a total order: one key uses many tasks. Rows without a time come first, have no gap and leave the
+    next one without.
+    """
+    before = greatest_before(df, [ts, tie], F.col(ts), "ts_before", keys)
+    gaps = before.withColumn("gap", F.unix_timestamp(ts) - F.unix_timestamp("ts_before")).drop("ts_before")
+    split = F.when(F.col("gap") > gap_seconds, 1).otherwise(0)
+    counted = running_before(gaps, [ts, tie], split, "session", keys).withColumn("session", F.col("session") + split)
+    first = df.groupBy(*[F.col(k).alias(f"first_{k}") for k in keys]).agg(F.min(ts).alias("first_seen"))
+    same = [F.col(k).eqNullSafe(F.col(f"first_{k}")) for k in keys]
+    return counted.join(first, same).drop(*[f"first_{k}" for k in keys])

@@ -454,6 +454,13 @@ def k3(s, d):
     return api.page(found.select("article_id", "source_domain", "language"), "article_id", None, 10_000)
 
 
+@query("k3_search_ranked", r"""with d as (select article_id, list_filter(regexp_split_to_array(lower(concat_ws(' ', text, theme_id, source_domain, entity_id)), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from world_article where published_ts >= timestamp '2024-01-01' and published_ts < timestamp '2024-01-12'),
+ c as (select article_id, len(w) as n, len(list_filter(w, lambda x: x = 'license')) as t0, len(list_filter(w, lambda x: x = 'country')) as t1 from d), s as (select count(*) as docs, avg(n) as avg_len, count(*) filter (where t0 > 0) as d0, count(*) filter (where t1 > 0) as d1 from c)
+ select article_id, round(ln(1 + (docs - d0 + 0.5) / (d0 + 0.5)) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * n / avg_len)) + ln(1 + (docs - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * n / avg_len)), 6) as score from c, s where t0 > 0 or t1 > 0 order by score desc, article_id limit 100""")
+def k3_ranked(s, d):
+    return api.search(view(s, d, "world_article"), ["license", "country"], "2024-01-01", "2024-01-12", 100, fields=("text", "theme_id", "source_domain", "entity_id"))
+
+
 @query("k4_entity_theme_pressure", f"with {EV}, {BOTH} select event_date as date, count(*) as article_count, count(distinct source_domain) as source_count from both_ends where entity_id = 'COUNTRY_5' and theme_id = (select min(theme_id) from world_event) and event_date between date '1993-01-01' and date '1998-12-31' group by 1")
 def k4(s, d):
     ev = we(s, d)

@@ -160,7 +160,7 @@ def p10(s, d):
 @query("p11_dedupe_events", f"""select {KEY} as dedupe_key, min(source_event_id) as source_event_id, sum(num_mentions)::bigint as num_mentions, max(num_sources) as num_sources, count(distinct source_url) as n_urls, count(*) as copies
  from world_event group by 1""")
 def p11(s, d):
-    return silver.dedupe_events(silver.with_dedupe_key(view(s, d, "world_event"))).select("dedupe_key", "source_event_id", "num_mentions", "num_sources", F.size("source_urls").cast("long").alias("n_urls"), "copies")
+    return silver.dedupe_events(silver.with_dedupe_key(view(s, d, "world_event"))).select("dedupe_key", "source_event_id", "num_mentions", "num_sources", "n_urls", "copies")
 
 
 @query("p12_stamp", f"with {EV} select source_event_id, relation_id, 'v1' as feature_version, 'p1' as param_version from ev")
@@ -217,6 +217,20 @@ def e8_full(s, d):
     return ranked.select("source_event_id", F.round(weights.full_event_weight(F.col("omega"), F.col("copy_rank")), 5).alias("w"))
 
 
+DIVERSE = """cells as (select event_date, actor1_entity_id, actor2_entity_id, pow(sum(n), 2) / sum(n * n) as diversity from (select event_date, actor1_entity_id, actor2_entity_id, source_domain, count(*) as n from world_event group by all) group by all)"""
+
+
+@query("e8_diverse_event_weight", f"with {DIVERSE} select source_event_id, round({WEIGHT} * (1 + 0.5 * ln(diversity)), 5) as w from world_event join cells using (event_date, actor1_entity_id, actor2_entity_id)")
+def e8_diverse(s, d):
+    seen = silver.with_diversity(view(s, d, "world_event"), ["event_date", "actor1_entity_id", "actor2_entity_id"])
+    return seen.select("source_event_id", F.round(weights.full_event_weight(F.lit(None).cast("double"), F.lit(1), diversity=F.col("source_diversity")), 5).alias("w"))
+
+
+@query("p11_source_urls", f"select {KEY} as dedupe_key, source_url, count(*) as copies from world_event group by 1, 2")
+def p11_urls(s, d):
+    return silver.source_urls(silver.with_dedupe_key(view(s, d, "world_event")))
+
+
 # --- joins
 @query("j1_resolve_entities", """with x as (select source_event_id || '#' || num_mentions || '#' || num_sources || '#' || source_url as rid, replace(actor1_entity_id, 'COUNTRY_', 'NATION_') as alias_text, event_date from world_event),
  m as (select x.rid, x.alias_text, count(distinct a.entity_id) as n, max(a.entity_id) as e, max(a.confidence) as c from x left join entity_alias a on x.alias_text = a.alias_text and x.event_date >= a.valid_from and (a.valid_to is null or x.event_date < a.valid_to) group by 1, 2)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,13 +69,10 @@ class Decayed(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         at, level = self.state.get() if self.state.exists() else (None, 0.0)
         for part in rows:
-            part = part.sort_values("at")
-            for t, v in zip(part["at"], part["value"], strict=True):
-                if at is None or t >= at:
-                    level = v + (level * 2.718281828459045 ** ((at - t) / self.scale) if at is not None else 0.0)
-                    at = t
-                else:  # late: what is left of it by now
-                    level += v * 2.718281828459045 ** ((t - at) / self.scale)
+            if len(part):  # what is left of every value, and of the level, at the last time of all
+                last = part["at"].max() if at is None else max(at, part["at"].max())
+                left = 0.0 if at is None else level * np.exp((at - last) / self.scale)
+                at, level = float(last), float(left + (part["value"] * np.exp((part["at"] - last) / self.scale)).sum())
         self.state.update((at, level))
         yield pd.DataFrame({"key": [key[0]], "at": [at], "level": [level]})
 
