@@ -57,28 +57,50 @@ def decay_sum(df: DataFrame, keys: Sequence[str], value: str, out: str, half_lif
     return joined.withColumn(out, F.col("d_run") * F.exp((F.lit(width) - F.col("d_age")) / t) + F.col("d_carry") * F.exp(-F.col("d_age") / t)).drop("d_block", "d_age", "d_run", "d_carry")
 
 
-def seasonal_z(df: DataFrame, keys: Sequence[str], value: str, out: str = "zscore", by: str | None = None, cfg: Config = DEFAULT, day: str = "date", min_periods: int | None = None) -> DataFrame:
-    """(value - mean) / (sd + epsilon) over days t-365 to t-8; null with fewer than ``min_periods`` of them.
+def scored_in_blocks(blocks: DataFrame, keys: Sequence[str], scores: dict[str, str], cfg: Config = DEFAULT, day: str = "date", min_periods: int | None = None) -> DataFrame:
+    """``blocks`` (of ``in_blocks``) with the seasonal score of each value of ``scores`` (name: value), all in one sorted pass.
 
-    ``by``: None, 'weekday' or 'month' compares like days only. Count, sum and sum of squares of a frame are the
-    running ones up to its end less those before its start, so a day costs the same whatever the frame's length; they run
-    inside blocks of days, around the block's mean.
+    Count, sum and sum of squares of a frame are the running ones up to its end less those before its start, so a day costs the
+    same whatever the frame's length, around the block's mean. Such a difference has no spread as small as a rounding error of
+    the sums; a frame whose values are all equal (to 1e-12 of themselves) is known by its number of changes, and has none.
     """
-    extra: list[Column] = {None: [], "weekday": [F.weekday(day)], "month": [F.month(day)]}[by]
-    w = Window.partitionBy(*keys, *extra, "w_block").orderBy(F.unix_date(day))
-    x = F.col(value).cast("double")
-    centred = in_blocks(df, day, cfg.lookback_days).withColumn("w_mean", F.avg(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("w_x", x - F.col("w_mean"))
+    w = Window.partitionBy(*keys, "w_block").orderBy(F.unix_date(day))
+    x = {out: F.col(value).cast("double") for out, value in scores.items()}
+    each = lambda name, made: {f"w_{name}_{out}": made(out) for out in scores}
+    mean_of = lambda out: F.avg(x[out]).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    same = lambda out: F.abs(F.lead(x[out]).over(w) - x[out]) <= 1e-12 * F.abs(x[out])
+    df = blocks.withColumns(each("mean", mean_of) | each("turn", lambda out: F.when(same(out), 0.0).otherwise(1.0)))
+    df = df.withColumns(each("x", lambda out: x[out] - F.col(f"w_mean_{out}")))
+
+    def upto(c: Column, last: int) -> Column:
+        return F.coalesce(F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, -last)), F.lit(0.0))
 
     def inside(c: Column) -> Column:
-        upto = lambda last: F.coalesce(F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, -last)), F.lit(0.0))
-        return upto(cfg.gap_days) - upto(cfg.lookback_days + 1)
-
-    summed = centred.withColumns({"w_n": inside(F.col("w_x").isNotNull().cast("double")), "w_s": inside(F.col("w_x")), "w_ss": inside(F.col("w_x") * F.col("w_x"))})
-    n, mean = F.col("w_n"), F.col("w_s") / F.col("w_n")
-    sd = F.when(n > 1, F.sqrt(F.greatest((F.col("w_ss") - n * mean * mean) / (n - 1), F.lit(0.0))))
-    enough = n >= (cfg.min_periods if min_periods is None else min_periods)
-    scored = summed.withColumn(out, F.when(enough & (n > 0), (F.col("w_x") - mean) / (sd + cfg.epsilon)))
-    return own_rows(scored).drop("w_mean", "w_x", "w_n", "w_s", "w_ss")
+        return upto(c, cfg.gap_days) - upto(c, cfg.lookback_days + 1)
+
+    turn = lambda out: inside(F.col(f"w_turn_{out}")) - F.last(f"w_turn_{out}").over(w.rangeBetween(Window.unboundedPreceding, -cfg.gap_days))
+    df = df.withColumns(
+        each("n", lambda out: inside(F.col(f"w_x_{out}").isNotNull().cast("double"))) | each("s", lambda out: inside(F.col(f"w_x_{out}")))
+        | each("ss", lambda out: inside(F.col(f"w_x_{out}") * F.col(f"w_x_{out}"))) | each("turns", turn)
+    )
+    least = cfg.min_periods if min_periods is None else min_periods
+
+    def z(out: str) -> Column:
+        n, mean = F.col(f"w_n_{out}"), F.col(f"w_s_{out}") / F.col(f"w_n_{out}")
+        spread = F.when(F.col(f"w_turns_{out}") == 0, 0.0).otherwise(F.greatest((F.col(f"w_ss_{out}") - n * mean * mean) / (n - 1), F.lit(0.0)))
+        return F.when((n >= least) & (n > 0), (F.col(f"w_x_{out}") - mean) / (F.when(n > 1, F.sqrt(spread)) + cfg.epsilon))
+
+    return df.withColumns({out: z(out) for out in scores}).drop(*[f"w_{name}_{out}" for name in ("mean", "turn", "x", "n", "s", "ss", "turns") for out in scores])
+
+
+def seasonal_z(df: DataFrame, keys: Sequence[str], value: str, out: str = "zscore", by: str | None = None, cfg: Config = DEFAULT, day: str = "date", min_periods: int | None = None) -> DataFrame:
+    """(value - mean) / (sd + epsilon) over days t-365 to t-8; null with fewer than ``min_periods`` of them.
+
+    ``by``: None, 'weekday' or 'month' compares like days only. Sums run inside blocks of days.
+    """
+    extra = {None: {}, "weekday": {"w_like": F.weekday(day)}, "month": {"w_like": F.month(day)}}[by]
+    blocks = in_blocks(df.withColumns(extra) if extra else df, day, cfg.lookback_days)
+    return own_rows(scored_in_blocks(blocks, [*keys, *extra], {out: value}, cfg, day, min_periods)).drop(*extra)
 
 
 def winsorize(df: DataFrame, keys: Sequence[str], value: str, out: str, fit_end: str, low: float = 0.01, high: float = 0.99, day: str = "date") -> DataFrame:
