@@ -30,7 +30,7 @@ def until_settled(start: DataFrame, step: Callable[[DataFrame], DataFrame], peri
     return written(done.unionByName(active), what)
 
 
-def pagerank_series(edges: DataFrame, period: str = "month", damping: float = 0.85, weight: str = "weight", tolerance: float = 1e-10, rounds: int = 200) -> DataFrame:
+def pagerank_series(edges: DataFrame, period: str = "month", damping: float = 0.85, weight: str = "weight", tolerance: float = 1e-13, rounds: int = 400) -> DataFrame:
     """(period, node, rank): ranks of each period add up to 1. What nodes without outgoing edges hold is spread evenly over the period's nodes."""
     kept = edges.filter(F.col(weight) > 0).groupBy(period, "src_entity_id", "dst_entity_id").agg(F.sum(weight).alias("w"))
     total = kept.groupBy(period, "src_entity_id").agg(F.sum("w").alias("out"))

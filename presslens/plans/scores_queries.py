@@ -446,7 +446,7 @@ MONTHLY = f"with recursive {EV}, {BOTH}, {EXPO}, {PAIRS}, {NORM}, g as (select d
    from (select distinct i, month from r where i < 60) r join nodes x on x.month = r.month join n on n.month = r.month left join links l on l.month = r.month and l.b = x.node left join r s on s.month = r.month and s.node = l.a group by 1, 2, 3, 4))
  select month, node, round(rank, 6) as rank from r where i = 60""")
 def g1_monthly(s, d):
-    return rounded(graph_series.pagerank_series(monthly(s, d), tolerance=1e-8), "rank", n=6)
+    return rounded(graph_series.pagerank_series(monthly(s, d)), "rank", n=6)
 
 
 @query("g2_monthly_communities")
