@@ -116,8 +116,11 @@ def poisson(panel: DataFrame, y: str, xs: Sequence[str], exposure: str):
 
 
 def negbin(panel: DataFrame, y: str, xs: Sequence[str], exposure: str, kappa: float, rounds: int = 25, tolerance: float = 1e-8) -> Fit:
-    """Negative binomial with log link, offset and given size, by reweighted least squares: one aggregation a step."""
-    df = panel.filter(F.col(exposure) > 0).select(y, *xs, exposure).dropna()
+    """Negative binomial with log link, offset and given size, by reweighted least squares: one aggregation a step.
+
+    The rows are written first, so that no step makes the panel anew.
+    """
+    df = written(panel.filter(F.col(exposure) > 0).select(y, *xs, exposure).dropna(), "negbin")
     terms = [F.lit(1.0), *[F.col(x) for x in xs]]
     k = len(terms)
     start = df.agg(F.log(F.greatest(F.avg(y), F.lit(1e-6)) / F.avg(exposure)).alias("b")).first()["b"]
