@@ -60,7 +60,12 @@ def diversity_factor(diversity: Column, weight: float = DEFAULT.diversity_weight
     return 1 + weight * F.ln(F.greatest(F.coalesce(diversity, F.lit(1.0)), F.lit(1.0)))
 
 
+def sourced_event_weight(source_weight: Column, cfg: Config = DEFAULT) -> Column:
+    """``event_weight`` times the weight of its source, 1 if there is none."""
+    return event_weight(cfg) * F.coalesce(source_weight, F.lit(1.0))
+
+
 def full_event_weight(source_weight: Column, copy_rank: Column, cfg: Config = DEFAULT, diversity: Column | None = None) -> Column:
     """``event_weight`` times the weight of its source (1 if there is none), the penalty of further copies and, if given, the diversity of its cell."""
-    whole = event_weight(cfg) * F.coalesce(source_weight, F.lit(1.0)) * copy_penalty(copy_rank, cfg.copy_penalty)
+    whole = sourced_event_weight(source_weight, cfg) * copy_penalty(copy_rank, cfg.copy_penalty)
     return whole if diversity is None else whole * diversity_factor(diversity, cfg.diversity_weight)

@@ -18,8 +18,14 @@ def _dealt(df: DataFrame, order: Sequence[str], groups: Sequence[str]) -> DataFr
 def _continued(ranged: DataFrame, groups: Sequence[str], folded: Column, across: Column) -> DataFrame:
     """``range_start`` of those ranges whose first group began in an earlier range, from what ``folded`` makes of each.
 
-    A range continues one group at most, so there are fewer rows than ranges and they can be broadcast.
+    A range continues one group at most, so there are fewer rows than ranges and they can be broadcast. A group of two ranges
+    or more is the last of one and the first of the next, so that only rows of ranges' first and last groups are added up.
     """
+    if groups:
+        group = F.struct(*groups)
+        ends = ranged.groupBy("range_part").agg(F.min(group).alias("end_first"), F.max(group).alias("end_last")).withColumnRenamed("range_part", "end_part")
+        at_end = (F.col("range_part") == F.col("end_part")) & (group.eqNullSafe(F.col("end_first")) | group.eqNullSafe(F.col("end_last")))
+        ranged = ranged.join(F.broadcast(ends), at_end, "left_semi")
     totals = ranged.groupBy(*groups, "range_part").agg(folded.alias("range_total"))
     ahead = Window.partitionBy(*groups).orderBy("range_part").rowsBetween(Window.unboundedPreceding, -1)
     return totals.withColumn("range_start", across.over(ahead)).drop("range_total").filter("range_start is not null")

@@ -70,6 +70,11 @@ def dedupe_key() -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
 
 
+def dedupe_digest() -> Column:
+    """The 32 bytes that ``dedupe_key`` shows as 64 digits: what a shuffle of many keys has to carry."""
+    return F.unhex(dedupe_key())
+
+
 def with_dedupe_key(events: DataFrame) -> DataFrame:
     return events.withColumn("dedupe_key", dedupe_key())
 

@@ -205,7 +205,7 @@ def e6(s, d):
 
 @query("e7_copy_penalty", f"with k as (select source_event_id, {KEY} as dedupe_key from world_event) select source_event_id, round(pow(0.6, row_number() over (partition by dedupe_key order by source_event_id) - 1), 6) as delta from k")
 def e7(s, d):
-    ranked = silver.copy_ranks(silver.with_dedupe_key(view(s, d, "world_event")))
+    ranked = silver.copy_ranks(view(s, d, "world_event").select("source_event_id", silver.dedupe_digest().alias("dedupe_key")))
     return ranked.select("source_event_id", F.round(weights.copy_penalty(F.col("copy_rank")), 6).alias("delta"))
 
 
@@ -213,8 +213,9 @@ def e7(s, d):
  * pow(0.6, row_number() over (partition by dedupe_key order by source_event_id) - 1), 5) as w from k""")
 def e8_full(s, d):
     given = s.createDataFrame([("src3", 0.5), ("src7", 1.5)], "name string, omega double")  # configuration
-    ranked = silver.copy_ranks(silver.with_dedupe_key(view(s, d, "world_event"))).join(F.broadcast(given), F.col("source_domain") == F.col("name"), "left")
-    return ranked.select("source_event_id", F.round(weights.full_event_weight(F.col("omega"), F.col("copy_rank")), 5).alias("w"))
+    ev = view(s, d, "world_event").join(F.broadcast(given), F.col("source_domain") == F.col("name"), "left")
+    weighed = ev.select("source_event_id", silver.dedupe_digest().alias("dedupe_key"), weights.sourced_event_weight(F.col("omega")).alias("w"))  # all that goes through the ranges
+    return silver.copy_ranks(weighed).select("source_event_id", F.round(F.col("w") * weights.copy_penalty(F.col("copy_rank")), 5).alias("w"))
 
 
 DIVERSE = """cells as (select event_date, actor1_entity_id, actor2_entity_id, pow(sum(n), 2) / sum(n * n) as diversity from (select event_date, actor1_entity_id, actor2_entity_id, source_domain, count(*) as n from world_event group by all) group by all)"""
