@@ -82,16 +82,17 @@ def with_dedupe_key(events: DataFrame) -> DataFrame:
 def dedupe_events(events: DataFrame) -> DataFrame:
     """One row per dedupe_key, the one with the smallest source_event_id, with its copies folded in.
 
-    ``min_by`` and the sums combine before the shuffle, by key and address, so a hot key costs a row per
+    ``events`` should have no columns but those wanted: all of them travel with a key. ``min_by`` and the sums combine before the shuffle, by key and address, so a hot key costs a row per
     task and address. Of addresses the row has the first and the number; ``source_urls`` lists all.
     """
     keep = [c for c in events.columns if c not in ("dedupe_key", "num_mentions", "num_sources", "source_url")]
-    kept = F.min_by(F.struct(*keep), F.col("source_event_id")).alias("row")
+    more = [c for c in keep if c != "source_event_id"]
+    kept = [F.min("source_event_id").alias("source_event_id"), *([F.min_by(F.struct(*more), F.col("source_event_id")).alias("row")] if more else [])]
     folded = events.groupBy("dedupe_key").agg(
-        kept, F.sum("num_mentions").alias("num_mentions"), F.max("num_sources").alias("num_sources"),
+        *kept, F.sum("num_mentions").alias("num_mentions"), F.max("num_sources").alias("num_sources"),
         F.min("source_url").alias("source_url"), F.count_distinct("source_url").alias("n_urls"), F.count("*").alias("copies"),
     )
-    return folded.select("dedupe_key", "row.*", "num_mentions", "num_sources", "source_url", "n_urls", "copies")
+    return folded.select("dedupe_key", *[f"row.{c}" if c in more else c for c in keep], "num_mentions", "num_sources", "source_url", "n_urls", "copies")
 
 
 def source_urls(events: DataFrame) -> DataFrame:

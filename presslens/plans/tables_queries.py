@@ -160,7 +160,8 @@ def p10(s, d):
 @query("p11_dedupe_events", f"""select {KEY} as dedupe_key, min(source_event_id) as source_event_id, sum(num_mentions)::bigint as num_mentions, max(num_sources) as num_sources, count(distinct source_url) as n_urls, count(*) as copies
  from world_event group by 1""")
 def p11(s, d):
-    return silver.dedupe_events(silver.with_dedupe_key(view(s, d, "world_event"))).select("dedupe_key", "source_event_id", "num_mentions", "num_sources", "n_urls", "copies")
+    ev = view(s, d, "world_event").select(silver.dedupe_digest().alias("dedupe_key"), "source_event_id", "num_mentions", "num_sources", "source_url")
+    return silver.dedupe_events(ev).select(F.lower(F.hex("dedupe_key")).alias("dedupe_key"), "source_event_id", "num_mentions", "num_sources", "n_urls", "copies")
 
 
 @query("p12_stamp", f"with {EV} select source_event_id, relation_id, 'v1' as feature_version, 'p1' as param_version from ev")
