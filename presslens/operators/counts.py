@@ -122,9 +122,10 @@ def count_cells(events: DataFrame, period: str = "quarter", day: str = "event_da
     Exposure is the geometric mean of both ends' numbers of events in the period, history log1p of the count in the period before.
     """
     dated = events.select(F.trunc(day, period).alias("period"), F.col("actor1_entity_id").alias("src_entity_id"), F.col("actor2_entity_id").alias("dst_entity_id"), "relation_id")
-    counts = dated.groupBy("period", "src_entity_id", "dst_entity_id", "relation_id").agg(F.count(F.lit(1)).alias("n"))
-    ends = dated.withColumn("entity_id", F.explode(F.array_distinct(F.array("src_entity_id", "dst_entity_id")))).groupBy("period", "entity_id").agg(F.count(F.lit(1)).alias("active"))
-    grid = dated.select("src_entity_id", "dst_entity_id").distinct().crossJoin(F.broadcast(dated.select("relation_id").distinct()))  # relations come from one short list
+    # written: all else is made of it, and the events are read once
+    counts = written(dated.groupBy("period", "src_entity_id", "dst_entity_id", "relation_id").agg(F.count(F.lit(1)).alias("n")), "counts")
+    ends = counts.withColumn("entity_id", F.explode(F.array_distinct(F.array("src_entity_id", "dst_entity_id")))).groupBy("period", "entity_id").agg(F.sum("n").alias("active"))
+    grid = counts.select("src_entity_id", "dst_entity_id").distinct().crossJoin(F.broadcast(counts.select("relation_id").distinct()))  # relations come from one short list
     a = ends.select("period", F.col("entity_id").alias("src_entity_id"), F.col("active").alias("src_active"))
     b = ends.select("period", F.col("entity_id").alias("dst_entity_id"), F.col("active").alias("dst_active"))
     key = ["period", "src_entity_id", "dst_entity_id", "relation_id"]

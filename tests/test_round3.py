@@ -100,3 +100,10 @@ def test_f10_folding_keeps_the_other_columns_of_the_first(spark):
     got = silver.dedupe_events(spark.createDataFrame(rows, "dedupe_key string, source_event_id string, num_mentions long, num_sources int, source_url string, note string"))
     assert got.columns == ["dedupe_key", "source_event_id", "note", "num_mentions", "num_sources", "source_url", "n_urls", "copies"]
     assert sorted(map(tuple, got.collect()), key=str) == [("j", "c", None, 1, 1, "u", 1, 1), ("k", "a", "early", 5, 5, "u", 2, 2)]
+
+
+def test_f11_cells_read_the_events_once(spark):
+    rows = [(dt.date(2001, 1 + i % 12, 1), f"A{i % 4}", f"A{i % 3}", "r" if i % 2 else "s") for i in range(300)]
+    df, times = counted(spark, spark.createDataFrame(rows, "event_date date, actor1_entity_id string, actor2_entity_id string, relation_id string"))
+    cells = counts.count_cells(df)
+    assert cells.agg(F.sum("n")).first()[0] == len(rows) and times.value == len(rows)
