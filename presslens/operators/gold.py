@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from presslens.config import DEFAULT, Config
 from presslens.functions.weights import event_weight, mention_damp
-from presslens.operators.windows import by_day, seasonal_z
+from presslens.operators.windows import by_day, in_blocks, own_rows, scored_in_blocks
 
 EDGE = ("event_date", "actor1_entity_id", "actor2_entity_id", "relation_id")
 
@@ -115,13 +115,19 @@ VERSIONS = {"feature_version": "f1", "param_version": "p1"}
 
 
 def windowed(daily: DataFrame, keys: Sequence[str], sums: Sequence[str], means: Sequence[str], score: str, cfg: Config = DEFAULT, min_periods: int | None = None) -> DataFrame:
-    """``daily`` once for each of ``cfg.windows``: sums and means over its days up to a row's date, and the seasonal z-score of ``score`` among those sums."""
-    out = None
-    for days in cfg.windows:
-        w = by_day(keys).rangeBetween(-(days - 1), 0)
-        rolled = daily.withColumns({c: F.sum(c).over(w) for c in sums} | {c: F.avg(c).over(w) for c in means} | {"window_days": F.lit(days)})
-        scored = seasonal_z(rolled, keys, score, cfg=cfg, min_periods=min_periods)
-        out = scored if out is None else out.unionByName(scored)
+    """``daily`` once for each of ``cfg.windows``: sums and means over its days up to a row's date, and the seasonal z-score of ``score`` among those sums.
+
+    Blocks of days reach back as far as the sums in a score's frame do, so that all windows come out of one sorted pass over the
+    daily rows; a row is told apart by window only at its end.
+    """
+    rolled = {c: F.sum(c) for c in sums} | {c: F.avg(c) for c in means}
+    w = by_day([*keys, "w_block"])
+    blocks = in_blocks(daily, "date", cfg.lookback_days + max(cfg.windows) - 1)
+    wide = blocks.withColumns({f"{c}_{days}": agg.over(w.rangeBetween(-(days - 1), 0)) for days in cfg.windows for c, agg in rolled.items()})
+    scored = own_rows(scored_in_blocks(wide, keys, {f"zscore_{days}": f"{score}_{days}" for days in cfg.windows}, cfg, min_periods=min_periods))
+    each = [F.struct(F.lit(days).alias("window_days"), *[F.col(f"{c}_{days}").alias(c) for c in (*rolled, "zscore")]) for days in cfg.windows]
+    long = scored.withColumn("w_row", F.explode(F.array(*each)))
+    out = long.select(*[F.col(f"w_row.{c}").alias(c) if c in rolled else c for c in daily.columns], "w_row.window_days", "w_row.zscore")
     return out.withColumns({k: F.lit(v) for k, v in VERSIONS.items()} | {"created_at": F.current_timestamp()})
 
 

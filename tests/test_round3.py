@@ -107,3 +107,13 @@ def test_f11_cells_read_the_events_once(spark):
     df, times = counted(spark, spark.createDataFrame(rows, "event_date date, actor1_entity_id string, actor2_entity_id string, relation_id string"))
     cells = counts.count_cells(df)
     assert cells.agg(F.sum("n")).first()[0] == len(rows) and times.value == len(rows)
+
+
+def test_f12_gold_windows_come_out_of_one_sorted_pass(spark):
+    days = [dt.date(2001, 1, 1) + dt.timedelta(days=i) for i in range(0, 900, 2)]
+    daily = spark.createDataFrame([(d, e, float(i % 9)) for e in "AB" for i, d in enumerate(days)], "date date, k string, v double")
+    out = gold.windowed(daily, ["k"], ["v"], [], "v", min_periods=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {(r["k"], r["date"], r["window_days"]): r["v"] for r in out.collect()}
+    assert got == {(e, d, n): float(sum(i % 9 for i, x in enumerate(days) if 0 <= (d - x).days < n)) for e in "AB" for d in days for n in (7, 14, 30)}
