@@ -254,7 +254,7 @@ def robustness_checks(panel: DataFrame, forms: dict[tuple[str, str], tuple[Colum
     """
     xs, key = ["x", "momentum"], ["feature_id", "kind", "check_id"]
     k = len(xs)
-    wide = panel.withColumn("x_base", forms[base][0])
+    wide = materialize(panel.withColumn("x_base", forms[base][0]), "wide")  # forms and placebo runs both read it
     each = [F.when(F.lit(True) if stay is None else F.coalesce(stay, F.lit(False)), F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("check_id"), x.cast("double").alias("x"))) for (kind, name), (x, stay) in forms.items()]
     seen = ["feature_id", "entity_id", "date", "momentum", F.col(f"y_{horizon}").alias("y"), F.col(f"y_date_{horizon}").alias("y_date")]
     long = wide.select(*seen, F.explode(F.array_compact(F.array(*each))).alias("form")).select("feature_id", "entity_id", "date", "momentum", "y", "y_date", "form.*")
@@ -271,6 +271,6 @@ def robustness_checks(panel: DataFrame, forms: dict[tuple[str, str], tuple[Colum
     drawn = [shuffled(lean, ["x_base"], ["feature_id", "entity_id", "date"], by, range(runs), seed).withColumn("kind", F.lit(kind)) for kind, by in groups.items()]
     mixed = drawn[0].unionByName(drawn[1]).unionByName(drawn[2]).withColumnRenamed("x_base", "x").withColumn("check_id", F.col("run_id").cast("string"))
     placebo = solved(pooled(centred(moments(mixed, [*key, "entity_id"], xs), k), key, k), k, key)
-    every = tested(plain.unionByName(entity).unionByName(region).unionByName(windows).unionByName(placebo))
+    every = materialize(tested(plain.unionByName(entity).unionByName(region).unionByName(windows).unionByName(placebo)), "fits")
     sign = every.filter((F.col("kind") == base[0]) & (F.col("check_id") == base[1])).select("feature_id", F.signum("beta0").alias("base_sign"))
     return every.join(sign, "feature_id").select("feature_id", "kind", "check_id", F.col("n").cast("long").alias("n"), F.col("beta0").alias("coef"), F.col("se0").alias("se"), "t", "p", (F.signum("beta0") == F.col("base_sign")).alias("agrees"))

@@ -117,3 +117,10 @@ def test_f12_gold_windows_come_out_of_one_sorted_pass(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     got = {(r["k"], r["date"], r["window_days"]): r["v"] for r in out.collect()}
     assert got == {(e, d, n): float(sum(i % 9 for i, x in enumerate(days) if 0 <= (d - x).days < n)) for e in "AB" for d in days for n in (7, 14, 30)}
+
+
+def test_f16_checks_make_the_panel_once(spark, panel):
+    df, regions = panel
+    rows, times = counted(spark, df)
+    hypotheses.robustness_checks(rows, {("window", "7"): (F.col("v_7"), None)}, ("window", "7"), 5, regions, STARTS, 1).collect()
+    assert times.value == df.count()
