@@ -25,7 +25,7 @@ def drop_common_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: SimHash fingerprints linked by pivot tables, prefix filtering for what they are too far apart for, all verified."""
     return simhash.one_of_each(docs)
 
 

@@ -1,7 +1,10 @@
 """Near copies by similarity: groups of texts linked by a Jaccard similarity of 0.8 or more of their word shingles.
 
 A text is the set of the 64-bit hashes of its runs of ``SIZE`` words; equal sets are one node from the
-start. Exact prefix filtering finds candidates: in one order of all shingles, two sets this similar
+start. Every node has a SimHash fingerprint of its set, and fingerprints within two bits of each other
+are linked through tables of distances to reference fingerprints (``simhash.links``); nodes with the
+same or linked fingerprints are the first candidates. Pairs of a similarity near 0.8 differ in more bits
+than any such table can use, so exact prefix filtering finds the rest: in one order of all shingles, two sets this similar
 share one of the first fifth (and one more) of each. The order puts shingles that a sample of the
 documents holds often last; it sets the work, not what is found. Before its first shingle that another
 set has too, each has only shingles that the other has not, so the places of that shingle in both bound
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from presslens.llm.common import materialize, whole_runs, workspace
-from presslens.llm.simhash import components
+from presslens.llm.simhash import components, links
 
 SIZE, SEED = 5, 42
 SHORT, HUBS, SKETCH, UNLIKE = 16, 4, 32, 8
@@ -90,6 +93,14 @@ def sketch(found: np.ndarray) -> bytes:
     return np.sort(np.partition(mixed, SKETCH - 1)[:SKETCH] if len(mixed) > SKETCH else mixed).tobytes()
 
 
+def print_of(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed long: a bit is 1 if it is in over half of them."""
+    held = np.zeros(64, np.int64)
+    for at in range(0, len(found), 32_768):
+        held += np.unpackbits(found[at : at + 32_768].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * held > len(found), bitorder="little").view(np.int64)[0])
+
+
 def alike(x: bytes, y: bytes) -> bool:
     """Whether more than ``UNLIKE`` of the smallest hashes of both sketches' union are in both; small sets are compared whole."""
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -100,7 +111,7 @@ def alike(x: bytes, y: bytes) -> bool:
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """(key, th, node, n, sketch, keys) of each row of ``docs`` (key, th, text): its set's hash, size, sketch and prefix."""
+    """(key, th, node, n, fp, sketch, keys) of each row of ``docs`` (key, th, text): its set's hash, size, fingerprint, sketch and prefix."""
     often, counts = often_held(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,10 +119,10 @@ def nodes_of(docs: DataFrame) -> DataFrame:
             sets = [shingles(t.as_py()) for t in batch.column(2)]
             names = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
             keys = pa.array([prefix(s, often, counts) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary()), keys], names=["key", "th", "node", "n", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names), pa.array([len(s) for s in sets], pa.int32()), pa.array([print_of(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), keys], names=["key", "th", "node", "n", "fp", "sketch", "keys"])
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", "th", "text").mapInArrow(run, f"key {kind}, th long, node long, n int, sketch binary, keys array<long>")
+    return docs.select("key", "th", "text").mapInArrow(run, f"key {kind}, th long, node long, n int, fp long, sketch binary, keys array<long>")
 
 
 def shared(nodes: DataFrame) -> DataFrame:
@@ -196,6 +207,15 @@ def pairs_of(lists: DataFrame, by) -> DataFrame:
     return lists.mapInArrow(run, PAIR).distinct()
 
 
+def printed_pairs(firsts: DataFrame) -> DataFrame:
+    """(a, b), a < b: nodes of ``firsts`` (node, fp) beside the smallest node of their fingerprint, and those of linked fingerprints beside each other."""
+    prints = firsts.groupBy("fp").agg(F.min("node").alias("low"))
+    same = firsts.join(prints, "fp").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    x, y = (prints.select(F.col("fp").alias(f"{s}_fp"), F.col("low").alias(s)) for s in ("x", "y"))
+    near = links(prints.select("fp")).distinct().join(x, F.col("a") == F.col("x_fp")).join(y, F.col("b") == F.col("y_fp"))
+    return same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).filter("a <> b")
+
+
 def likely(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     """``pairs`` without those whose sketches are not alike."""
 
@@ -244,7 +264,7 @@ def winners(docs: DataFrame) -> DataFrame:
     """(k, t): key and text hash of the first document of each group of near copies in ``docs`` (key, th, text)."""
     with workspace(docs.sparkSession) as work:
         rows = work.keep(nodes_of(docs), "nodes")
-        firsts = work.keep(rows.groupBy("node").agg(F.min(F.struct("key", "th", "n", "sketch")).alias("first")), "firsts")
+        firsts = work.keep(rows.groupBy("node").agg(F.min(F.struct("key", "th", "n", "sketch")).alias("first"), F.min("fp").alias("fp")), "firsts")
         lists = work.keep(shared(rows), "lists")
 
         def edges_of(candidates: DataFrame) -> DataFrame | None:
@@ -255,7 +275,8 @@ def winners(docs: DataFrame) -> DataFrame:
             chosen = firsts.join(met, F.col("node") == F.col("m"), "left_semi").select(F.col("first.key").alias("k"), F.col("first.th").alias("t"), "node")
             return work.keep(verified(pairs, work.keep(sets_of(docs, chosen), "sets")), "edges")
 
-        edges = edges_of(pairs_of(lists.select("nodes", "sizes", "places"), first_pairs))
+        printed = printed_pairs(firsts.select("node", "fp"))
+        edges = edges_of(printed.unionByName(pairs_of(lists.select("nodes", "sizes", "places"), first_pairs)).distinct())
         edges = firsts.sparkSession.createDataFrame([], PAIR) if edges is None else edges
         roots = components(edges)
         long = lists.filter(F.size("nodes") > SHORT).select("h", F.explode(F.arrays_zip("sizes", "nodes", "places")).alias("e"))

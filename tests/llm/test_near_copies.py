@@ -108,3 +108,15 @@ def test_pairs_of_a_list_connect_all_that_is_similar(monkeypatch, copies, short)
     if copies > 100:  # those with two changes are within reach of each other, similar to none, and have to be compared; 0.62 when written
         assert len(first) + len(rest) < 0.7 * len(first | apart)
         assert len(first | apart) < 0.5 * copies * (copies - 1) / 2
+
+
+def test_fingerprints_linked_by_pivot_tables_propose_pairs(spark):
+    """Copies with one or two of many words changed are candidates by their fingerprints alone."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    rows = [(i, " ".join(base[:50] + ([f"n{i}"] if i else []) + base[50:])) for i in range(6)] + [(9, " ".join(reversed(base)))]
+    docs = spark.createDataFrame(rows, "key long, text string").selectExpr("key", "xxhash64(text) as th", "cast(text as binary) as text")
+    nodes = near_copies.nodes_of(docs).cache()
+    of = {r["node"]: r["key"] for r in nodes.collect()}
+    met = {of[x] for r in near_copies.printed_pairs(nodes.select("node", "fp")).collect() for x in (r["a"], r["b"])}
+    assert len(met) >= 4 and 9 not in met
