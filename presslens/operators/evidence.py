@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presslens.config import DOVISH, FLIPS, HAWKISH
+from presslens.operators.alike import similar_groups
 
 
 def any_of(terms: Sequence[str], whole_words: bool = False) -> str:
@@ -46,30 +47,12 @@ def copy_groups(articles: DataFrame, key: str = "article_id") -> DataFrame:
     return hashed.join(groups, "content_hash")
 
 
-def near_copies(articles: DataFrame, threshold: float = 0.8, key: str = "article_id", bands: int = 10, rows: int = 4) -> DataFrame:
-    """(key, group_id): near copies by MinHash over five-word shingles, verified by their Jaccard similarity.
+def near_copies(articles: DataFrame, threshold: float = 0.8, key: str = "article_id") -> DataFrame:
+    """(key, group_id): articles linked by a Jaccard similarity of ``threshold`` or more of their five-word shingles.
 
-    Exact copies count once. Under a band's key every text is compared with the smallest id there, so a
-    key's texts make as many pairs as there are texts, and bands together link what is alike.
+    Every such link counts (``alike.py``); a text of the same words but for case and white space is an exact copy.
     """
-    from presslens.operators.graph import min_labels
-    from presslens.scratch import materialize as written
-
-    groups = written(copy_groups(articles, key), "copies")
-    firsts = articles.join(groups.filter(F.col(key) == F.col("first_id")).select(key), key, "left_semi")
-    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " ")))
-    shingled = written(firsts.select(key, words.alias("w")).select(key, F.array_distinct(hashes).alias("s")), "shingles")
-    smallest = lambda n: F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(n))))
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[smallest(b * rows + k) for k in range(rows)]).alias("bits")) for b in range(bands)])
-    banded = written(shingled.select(key, F.explode(keys).alias("k")).select(key, "k.*"), "bands")
-    first = banded.groupBy("band", "bits").agg(F.min(key).alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = banded.join(first, ["band", "bits"]).filter(F.col(key) != F.col("a")).select("a", F.col(key).alias("b")).distinct()
-    left, right = shingled.select(F.col(key).alias("a"), F.col("s").alias("sa")), shingled.select(F.col(key).alias("b"), F.col("s").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    alike = pairs.join(left, "a").join(right, "b").filter(shared >= threshold * (F.size("sa") + F.size("sb") - shared))
-    labels = min_labels(alike.select("a", "b"))
-    return groups.join(labels, F.col("first_id") == F.col("node"), "left").select(key, F.coalesce("label", "first_id").alias("group_id"))
+    return similar_groups(articles.select(F.col(key).alias("key"), F.lower("text").cast("binary").alias("text")), threshold).withColumnRenamed("key", key)
 
 
 def lead_lag(a: DataFrame, b: DataFrame, max_lag: int) -> DataFrame:
