@@ -434,5 +434,5 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = piece_encode(table(spark, sf_dir, "documents"), decoded=True)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("n_bytes"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_bytes"),  # an empty text has no pieces
     )

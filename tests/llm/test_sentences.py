@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -102,3 +103,16 @@ def test_models_of_another_kind_are_refused():
     model.trainer_spec.byte_fallback, model.normalizer_spec.escape_whitespaces = True, False
     with pytest.raises(ValueError):
         sentences.Pieces(model.SerializeToString())
+
+
+def test_query_on_texts_without_pieces(spark, tmp_path):
+    rows = [(1, "Hello world"), (2, ""), (3, None), (4, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    library = sentencepiece.SentencePieceProcessor(model_proto=model_with())
+    got = {r["doc_id"]: r for r in sentences.op12_sentencepiece(spark, str(tmp_path)).collect()}
+    for doc_id, text in rows:
+        ids = library.encode(text or "")
+        r = got[doc_id]
+        assert (r["n_tokens"], r["n_bytes"]) == (len(ids), len((text or "").encode()))
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
