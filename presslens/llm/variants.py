@@ -8,7 +8,9 @@ digest of 12 bits, so that all five fit into one number; an equal digest of uneq
 comparison. Two words one letter apart also share their first or their last half (of the shorter one's
 length), so that half belongs to the key of the equi-join: without it, families of words made of the
 same letters would meet in one key. A pair is kept at the first signature and half that it shares,
-which makes pairs unique without a shuffle, and is verified by its edit distance.
+which makes pairs unique without a shuffle, and is verified by its edit distance. Spark sizes the exploded
+signatures like the words that they come from, some 40 times too low, and would broadcast them through
+the driver; so every join of tables that grow with the vocabulary is told to merge.
 
 Nulls: a null text has no words, a null key is written as an empty string. Words are counted over all
 documents; equal words are one row. An empty table gives no rows. A word of any length is taken whole:
@@ -119,7 +121,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     half = F.floor(F.length("word") / 2).cast("int")
     first = (agreeing.bitwiseAND(F.col("upto")) == F.col("mask")) & (~F.col("tail") | (F.substring("word", F.lit(1), half) != F.substring("other", F.lit(1), half)))
     ordered = (F.col("longer") == 1) | (F.col("word") < F.col("other"))
-    return a.join(b, "key").filter(ordered & first & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n")
+    return a.join(b.hint("merge"), "key").filter(ordered & first & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "other_n")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
@@ -139,7 +141,7 @@ def roots(formed: DataFrame) -> DataFrame:
         at = work.keep(formed.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")), "roots")
         while not at.filter("moved").isEmpty():
             further = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-            at = work.keep(at.drop("moved").join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+            at = work.keep(at.drop("moved").join(further.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         return materialize(at.drop("moved"), "roots")
 
 
@@ -148,7 +150,7 @@ def variant_groups(words: DataFrame) -> DataFrame:
     words = materialize(words.select("word", "n"), "words")
     near = materialize(neighbours(words), "neighbours")
     ends = roots(near.filter(F.col("form").isNotNull()))
-    return words.join(near, "word", "left").join(ends, "word", "left").select(
+    return words.join(near.hint("merge"), "word", "left").join(ends.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), "form", "form_n", F.coalesce("root", "word").alias("root"),
     )
 

@@ -98,3 +98,12 @@ def test_words_of_documents(spark, rows_):
     counts = words_of(docs)
     assert rows(variants.variant_groups(variants.counted(variants.with_slips(variants.runs_of(df))))) == plain(counts)
     assert len(counts) > 20 or rows_ == "none"
+
+
+def test_no_table_of_words_goes_through_the_driver(spark):
+    words = spark.createDataFrame([("banana", 50), ("bananas", 6), ("cherry", 9)], "word string, n long")
+    pairs = variants.near_pairs(words)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString() and pairs.count() == 1
+    out = variants.variant_groups(words)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out) == plain({"banana": 50, "bananas": 6, "cherry": 9})
