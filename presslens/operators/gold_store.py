@@ -2,7 +2,8 @@
 
 A refresh computes only what the touched dates reach: their own daily rows, and the windows of every date
 whose sums or baseline read them. Months that hold such dates are written anew under the next version;
-nothing that an older snapshot names is changed. A snapshot is a small table of (table, month, version),
+nothing that an older snapshot names is changed. Events are made once for a refresh, with the columns that
+its tables read: what they are joined from is not joined anew by each aggregate. A snapshot is a small table of (table, month, version),
 there once it is written whole, so that a reader sees all of a refresh or nothing of it.
 """
 
@@ -17,20 +18,22 @@ from pyspark.sql import functions as F
 
 from presslens.config import DEFAULT, Config
 from presslens.operators import gold
-from presslens.scratch import exists, remove
+from presslens.scratch import exists, remove, workspace
 
 
 @dataclass(frozen=True)
 class Layer:
-    """A daily table, made of the events of its date alone, and the windowed one that is made of it."""
+    """A daily table, made of the events of its date alone, the windowed one that is made of it, and the columns of events that they need."""
 
     name: str
+    reads: tuple[str, ...]
     daily: Callable[[DataFrame], DataFrame]
     windows: Callable[[DataFrame], DataFrame]
 
 
-PAIRS = Layer("pair", gold.pair_daily, gold.pair_windows)
-STATES = Layer("state", gold.state_daily, gold.state_windows)
+READS = (*gold.EDGE, "num_mentions", "num_sources", "avg_tone", "goldstein")
+PAIRS = Layer("pair", (*READS, "source_domain"), gold.pair_daily, gold.pair_windows)
+STATES = Layer("state", READS, gold.state_daily, gold.state_windows)
 
 
 def reach(cfg: Config = DEFAULT) -> int:
@@ -117,28 +120,29 @@ class GoldStore:
         dates = [] if whole else [r["date"] for r in touched.select("date").distinct().collect()]  # bounded by the calendar
         own = sorted({d.replace(day=1) for d in dates})
         hit = sorted({m for d in dates for m in months_between(d, date.fromordinal(d.toordinal() + reach(self.cfg)))})
-        for layer in self.layers:
-            day, window = f"{layer.name}_day", f"{layer.name}_window"
-            days, windows = dict(known.get(day, {})), dict(known.get(window, {}))
-            if whole:
-                fresh, keep = layer.daily(events), None
-            else:
-                fresh = layer.daily(events.filter(F.col("event_date").isin(dates)))
-                old = self._paths(day, days, own)
-                keep = self._load(day, old).filter(~F.col("date").isin(dates)).drop("month", "version") if old else None
-            made = self._write(fresh if keep is None else fresh.unionByName(keep), day, version)
-            days = {m: v for m, v in days.items() if not whole and m not in own} | dict.fromkeys(made, version)
-            if whole:
-                needed = self._paths(day, days)
-            else:
-                before = {m for d in hit for m in months_between(date.fromordinal(d.toordinal() - reach(self.cfg)), d)}
-                needed = self._paths(day, days, sorted(before))
-            made = []
-            if needed:
-                rolled = layer.windows(self._load(day, needed).drop("month", "version"))
-                made = self._write(rolled if whole else rolled.filter(F.trunc("date", "month").isin(hit)), window, version)
-            windows = {m: v for m, v in windows.items() if not whole and m not in hit} | dict.fromkeys(made, version)
-            new += [(t, m, v) for t, vs in ((day, days), (window, windows)) for m, v in vs.items()]
+        with workspace(self.spark) as work:
+            names = sorted({c for layer in self.layers for c in layer.reads})
+            own_events = work.keep((events if whole else events.filter(F.col("event_date").isin(dates))).select(*names), "events")
+            for layer in self.layers:
+                day, window = f"{layer.name}_day", f"{layer.name}_window"
+                days, windows = dict(known.get(day, {})), dict(known.get(window, {}))
+                fresh, keep = layer.daily(own_events), None
+                if not whole:
+                    old = self._paths(day, days, own)
+                    keep = self._load(day, old).filter(~F.col("date").isin(dates)).drop("month", "version") if old else None
+                made = self._write(fresh if keep is None else fresh.unionByName(keep), day, version)
+                days = {m: v for m, v in days.items() if not whole and m not in own} | dict.fromkeys(made, version)
+                if whole:
+                    needed = self._paths(day, days)
+                else:
+                    before = {m for d in hit for m in months_between(date.fromordinal(d.toordinal() - reach(self.cfg)), d)}
+                    needed = self._paths(day, days, sorted(before))
+                made = []
+                if needed:
+                    rolled = layer.windows(self._load(day, needed).drop("month", "version"))
+                    made = self._write(rolled if whole else rolled.filter(F.trunc("date", "month").isin(hit)), window, version)
+                windows = {m: v for m, v in windows.items() if not whole and m not in hit} | dict.fromkeys(made, version)
+                new += [(t, m, v) for t, vs in ((day, days), (window, windows)) for m, v in vs.items()]
         self.spark.createDataFrame(new, "table string, month date, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_snapshots/{version}")
         return version
 

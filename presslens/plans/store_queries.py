@@ -1,4 +1,4 @@
-"""Queries on stored Gold. The store of a data folder is made once per application; every read prunes partitions."""
+"""Queries on stored Gold. A layer's store of a data folder is made once per application; every read prunes partitions."""
 
 from __future__ import annotations
 
@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presslens.config import DEFAULT
-from presslens.operators import api, gold_store
+from presslens.operators import api, gold_store, silver
 from presslens.plans.catalog import query
 from presslens.plans.scores_queries import STATES
-from presslens.plans.tables_queries import EV, PAIRS, events, rounded
+from presslens.plans.tables_queries import EV, PAIRS, rounded
 from presslens.scratch import own_dir
-from presslens.sources.fixtures import view
+from presslens.sources.fixtures import lean_events, view
 
 START, END = "1994-01-01", "1996-12-31"
 
@@ -22,9 +22,13 @@ def folder(s: SparkSession, d: str, kind: str) -> str:
     return f"{own_dir(s)}/{kind}-{hashlib.sha256(d.encode()).hexdigest()[:16]}"
 
 
-def store(s: SparkSession, d: str) -> gold_store.GoldStore:
-    """The store over all events of a data folder, made by the first query that asks for it."""
-    found = gold_store.GoldStore(s, folder(s, d, "gold"))
+def events(s: SparkSession, d: str) -> DataFrame:
+    return silver.map_relation(lean_events(s, d))
+
+
+def store(s: SparkSession, d: str, layer: gold_store.Layer) -> gold_store.GoldStore:
+    """A layer's store over all events of a data folder, made by the first query that asks for it; others need not be made for that."""
+    found = gold_store.GoldStore(s, folder(s, d, f"gold-{layer.name}"), [layer])
     if not found.latest():
         found.refresh(events(s, d))
     return found
@@ -32,19 +36,19 @@ def store(s: SparkSession, d: str) -> gold_store.GoldStore:
 
 @query("k1_stored_world_state", f"with {STATES} select date, entity_id, state_name, round(v, 4) as weighted_score from states where entity_id = 'COUNTRY_3' and state_name = 'cooperation' and date between date '{START}' and date '{END}'")
 def k1(s, d):
-    found = api.get_world_state(store(s, d).read("state_day", START, END), "COUNTRY_3", "cooperation", START, END)
+    found = api.get_world_state(store(s, d, gold_store.STATES).read("state_day", START, END), "COUNTRY_3", "cooperation", START, END)
     return rounded(found, "weighted_score").select("date", "entity_id", "state_name", "weighted_score")
 
 
 @query("k2_stored_relation_timeseries", f"with {EV}, {PAIRS} select date, event_count, mention_count from pairs where src_entity_id = 'COUNTRY_1' and dst_entity_id = 'COUNTRY_2' and relation_id = 'cooperation' and date between date '{START}' and date '{END}'")
 def k2(s, d):
-    return api.get_relation_timeseries(store(s, d).read("pair_day", START, END), "COUNTRY_1", "COUNTRY_2", "cooperation", START, END).select("date", "event_count", "mention_count")
+    return api.get_relation_timeseries(store(s, d, gold_store.PAIRS).read("pair_day", START, END), "COUNTRY_1", "COUNTRY_2", "cooperation", START, END).select("date", "event_count", "mention_count")
 
 
 @query("t1_stored_top_pairs", f"""with {EV}, {PAIRS}, w as (select a.date, a.src_entity_id, a.dst_entity_id, a.relation_id, sum(b.event_count)::bigint as event_count, sum(b.mention_count)::bigint as mention_count from pairs a join pairs b on a.src_entity_id = b.src_entity_id and a.dst_entity_id = b.dst_entity_id and a.relation_id = b.relation_id and b.date <= a.date and b.date > a.date - 30
  where a.date between date '1996-03-01' and date '1996-05-31' group by 1, 2, 3, 4) select * from w order by event_count desc, date, src_entity_id, dst_entity_id, relation_id limit 100""")
 def t1(s, d):
-    found = store(s, d).read("pair_window", "1996-03-01", "1996-05-31").filter(F.col("window_days") == 30)
+    found = store(s, d, gold_store.PAIRS).read("pair_window", "1996-03-01", "1996-05-31").filter(F.col("window_days") == 30)
     return found.select("date", "src_entity_id", "dst_entity_id", "relation_id", "event_count", "mention_count").orderBy(F.desc("event_count"), "date", "src_entity_id", "dst_entity_id", "relation_id").limit(100)
 
 
